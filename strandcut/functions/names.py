@@ -34,7 +34,7 @@ def parent_name(path: Column) -> Column:
 
 def split_ext(name: Column) -> dict[str, Column]:
     """Stem and extension; the extension keeps its dot and may be empty."""
-    ext = F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)
+    ext = F.regexp_extract(name, r"^\.*[^.].*(\.[^.]*)$", 1)
     return {"stem": F.left(name, F.length(name) - F.length(ext)), "ext": ext}
 
 

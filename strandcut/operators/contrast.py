@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandcut.functions.vectors import doubles, dot, flip, random_bit
 
@@ -15,6 +16,9 @@ BANK_SIZE = 65_536
 TEMPERATURE = 0.07
 # Ceiling for a bank sent to the executors: the default one at 256 dimensions.
 BANK_BYTES = 128 << 20
+# Queries scored at once: with a full bank their logits take about 64 MB.
+BLOCK_ROWS = 128
+LOGITS = T.StructField("logits", T.ArrayType(T.DoubleType()))
 
 
 def random_flip(df: DataFrame, key: str, vec: str, seed: int, *, p: float = 0.5, width: int | None = None) -> DataFrame:
@@ -62,18 +66,24 @@ def _logits(q: pd.Series, k: pd.Series, bank: np.ndarray, temperature: float) ->
 
 
 def contrastive_logits(
-    df: DataFrame, q: str, k: str, bank: np.ndarray, temperature: float = TEMPERATURE, out: str = "logits"
+    df: DataFrame, keys: Sequence[str], q: str, k: str, bank: np.ndarray, temperature: float = TEMPERATURE
 ) -> DataFrame:
-    """Add the logit row: own key first, then every key of the bank, over the temperature."""
+    """The logit row of each query: own key first, then every key of the bank.
+
+    Returns ``keys`` and ``logits``, an array of one more than the bank's
+    length. Rows leave in small blocks, as a full bank makes each 512 kB long.
+    """
     shared = df.sparkSession.sparkContext.broadcast(bank)
+    rows = df.select(*keys, doubles(F.col(q)).alias("__q"), doubles(F.col(k)).alias("__k"))
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        keys = shared.value
-        for qs, ks in batches:
-            yield pd.Series(list(_logits(qs, ks, keys, temperature))) if len(qs) else pd.Series([], dtype=object)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                block = batch.iloc[at:at + BLOCK_ROWS]
+                z = _logits(block["__q"], block["__k"], shared.value, temperature)
+                yield block[list(keys)].assign(logits=list(z))
 
-    return df.withColumn(out, score(doubles(F.col(q)), doubles(F.col(k))))
+    return rows.mapInPandas(score, T.StructType([*rows.select(*keys).schema, LOGITS]))
 
 
 def info_nce(
@@ -87,9 +97,9 @@ def info_nce(
         keys = shared.value
         for qs, ks in batches:
             losses = []
-            # Blocks of 128 rows keep the logits of a full bank near 64 MB.
-            for at in range(0, len(qs), 128):
-                z = _logits(qs.iloc[at:at + 128], ks.iloc[at:at + 128], keys, temperature)
+            for at in range(0, len(qs), BLOCK_ROWS):
+                stop = at + BLOCK_ROWS
+                z = _logits(qs.iloc[at:stop], ks.iloc[at:stop], keys, temperature)
                 top = z.max(axis=1)
                 losses.append(np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - z[:, 0])
             yield pd.Series(np.concatenate(losses) if losses else np.zeros(0))
