@@ -66,7 +66,8 @@ def label_bounds(spec: Column) -> tuple[Column, Column]:
         .when(plus > 0, first + second)
         .otherwise(F.array_max(nums))
     )
-    return F.array_min(nums), high
+    low = F.when(plus > 0, first).otherwise(F.array_min(nums))
+    return low, high
 
 
 def label_flag(spec: Column) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from strandcut.session import shared_dir
 
 CHUNK_BITS = 20
+LEVELS = 3
 HASH_DIGITS = 4
 
 
@@ -44,6 +45,7 @@ def prefix_sums(
     totals: bool = False,
     chunk: Sequence[Column] | None = None,
     bits: int = CHUNK_BITS,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """Add running sums of ``sums`` over ``order`` within ``part``.
 
@@ -51,23 +53,37 @@ def prefix_sums(
     the single integer ``order`` column is cut every ``2**bits`` values. With
     ``totals`` each sum also gets a ``<name>_total`` column over the whole
     partition. Key columns must not be null.
+
+    The chunk rows are summed up the same way, ``levels`` deep: with 20 bits
+    and three levels no task orders more than ``2**20`` rows (``2**23`` on the
+    top level) for any unique 63-bit key, dense or sparse.
     """
     part, order = as_list(part), as_list(order)
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
-    cut_names = [f"__cut{i}" for i in range(len(cuts))]
+    cut_names = [f"__cut{levels}_{i}" for i in range(len(cuts))]
     tagged = df.withColumns(dict(zip(cut_names, cuts))).withColumns(
         {f"__in_{name}": expr for name, expr in sums.items()}
     )
     keys = part + cut_names
 
     carried = tagged.groupBy(*keys).agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in sums])
-    across = Window.partitionBy(*part).orderBy(*cut_names)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__carry_{n}") for n in sums]
-    if totals:
-        every = Window.partitionBy(*part)
-        carry_cols += [F.sum(f"__sum_{n}").over(every).alias(f"{n}_total") for n in sums]
-    carried = carried.select(*keys, *carry_cols)
+    if levels > 2 and chunk is None:
+        above = {f"__carry_{n}": F.col(f"__sum_{n}") for n in sums}
+        carried = prefix_sums(
+            carried, part, cut_names[0], above, totals=totals, bits=bits, levels=levels - 1
+        ).drop(*[f"__sum_{n}" for n in sums])
+        if totals:
+            carried = carried.withColumnsRenamed({f"__carry_{n}_total": f"{n}_total" for n in sums})
+    else:
+        across = Window.partitionBy(*part).orderBy(*cut_names)
+        earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+        carry_cols = [
+            F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__carry_{n}") for n in sums
+        ]
+        if totals:
+            every = Window.partitionBy(*part)
+            carry_cols += [F.sum(f"__sum_{n}").over(every).alias(f"{n}_total") for n in sums]
+        carried = carried.select(*keys, *carry_cols)
 
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from strandcut.functions import geometry as G
 from strandcut.operators.profiles import KERNEL, LEVELS
-from strandcut.schemas import LINES
 
 WHITE = 255
 BLACK = 0
@@ -131,7 +130,10 @@ def map_images(lines: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def gray_lines(raw: DataFrame) -> DataFrame:
-    """Rows of Spark's image source to the table of lines."""
+    """Rows of Spark's image source to gray lines; further columns are kept."""
+    schema = T.StructType(
+        [f for f in raw.schema if f.name not in ("nChannels", "data")] + [T.StructField("px", T.BinaryType())]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -139,9 +141,9 @@ def gray_lines(raw: DataFrame) -> DataFrame:
                 to_gray(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
                 for h, w, c, d in zip(batch["h"], batch["w"], batch["nChannels"], batch["data"])
             ]
-            yield batch[["image_id", "dir", "h", "w"]].assign(px=[g.tobytes() for g in gray])
+            yield batch.drop(columns=["nChannels", "data"]).assign(px=[g.tobytes() for g in gray])
 
-    return raw.mapInPandas(run, LINES)
+    return raw.mapInPandas(run, schema)
 
 
 def to_line_height(a: np.ndarray) -> np.ndarray:

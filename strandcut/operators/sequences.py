@@ -74,8 +74,11 @@ def collect_columns(
     listed = paged.groupBy(*part, "page_no").agg(
         F.sort_array(F.collect_list(F.struct(order, *cols))).alias("__rows")
     )
-    arrays = [F.transform("__rows", lambda s, c=c: s[c]).alias(c) for c in cols]
-    return listed.select(*part, "page_no", *arrays)
+
+    def column(c: str) -> Column:
+        return F.transform("__rows", lambda s: s[c]).alias(c)
+
+    return listed.select(*part, "page_no", *[column(c) for c in cols])
 
 
 def context_features(

@@ -33,12 +33,17 @@ def directory_slices(lines: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFra
     return P.fit_slice(P.slice_pixels(clean))
 
 
-def number_slices(slices: DataFrame, lines: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
-    """Add ``idx``, the slice's number in its directory.
+def number_lines(raw: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
+    """Add ``first_no`` (number of the line's first slice in its directory) and ``line_w``.
 
-    Numbers come from the widths of the lines (few bytes per image); pixels are
-    joined with them only once.
+    Numbers come from the widths, a few bytes per image. Give this the rows of
+    the image source, before pixels go to Python: slices inherit the columns of
+    their line, and ``first_no + slice_no`` is the slice's number.
     """
-    firsts = number_images(lines, "dir", "image_id", "w", pad=side_pad)
-    firsts = firsts.select("dir", "image_id", "first_no", F.col("w").alias("line_w"))
-    return slices.join(firsts, ["dir", "image_id"]).withColumn("idx", F.col("first_no") + F.col("slice_no"))
+    firsts = number_images(raw, "dir", "image_id", "w", pad=side_pad)
+    firsts = firsts.select("image_id", "first_no", F.col("w").alias("line_w"))
+    return raw.join(firsts, "image_id")
+
+
+def with_index(slices: DataFrame) -> DataFrame:
+    return slices.withColumn("idx", F.col("first_no") + F.col("slice_no"))

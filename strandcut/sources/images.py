@@ -37,10 +37,10 @@ def flatten_images(raw: DataFrame) -> DataFrame:
     )
 
 
-def scan_lines(
+def scan_raw_lines(
     spark: SparkSession, path: str, *, prefix: str = "", max_h: int | None = None, spread: bool = True
 ) -> DataFrame:
-    """Line images under ``path`` as gray pixels; ``dir`` is the parent folder.
+    """Line images under ``path`` as Spark decodes them; ``dir`` is the parent folder.
 
     ``prefix`` limits the file names. ``max_h`` drops tall lines before any
     Python step. ``spread`` shuffles the lines by id, since files of a folder
@@ -56,9 +56,12 @@ def scan_lines(
     flat = flatten_images(raw)
     if max_h is not None:
         flat = flat.where(F.col("h") < max_h)
-    if spread:
-        flat = flat.repartition("image_id")
-    return gray_lines(flat)
+    return flat.repartition("image_id") if spread else flat
+
+
+def scan_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Line images under ``path`` as gray pixels; options as in :func:`scan_raw_lines`."""
+    return gray_lines(scan_raw_lines(spark, path, **options))
 
 
 def scan_uploads(spark: SparkSession, landing_dir: str) -> DataFrame:
