@@ -6,6 +6,13 @@ Every operator takes a DataFrame plus column names and returns a lazy
 DataFrame.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from strandcut.session import get_session
 
+# Kernels travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["get_session"]
