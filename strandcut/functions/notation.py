@@ -25,13 +25,27 @@ def symbols(spec: Column) -> Column:
     return F.regexp_replace(spec, r"[0-9]+", "")
 
 
-def _plus_count(spec: Column) -> Column:
-    return F.length(F.regexp_replace(spec, r"[^+]", ""))
+def plus_count(spec: Column) -> Column:
+    return F.length(spec) - F.length(F.replace(spec, F.lit("+"), F.lit("")))
+
+
+# All well-formed rows: numbers may stand anywhere among the signs, so next to
+# the usual 35, 35++, 35+3, 35-40 and 35* the pattern admits +35 or 12*34.
+WELL_FORMED = (
+    r"^(?:(?=[*]*[0-9])[0-9*]+"
+    r"|[+]*[0-9]+[+]+[*]*|[+]+[*]*[0-9]+[*]*"
+    r"|[0-9]+[+-][*]*[0-9]+[*]*|[+-][*]*[0-9]+[*]+[0-9]+[*]*)$"
+)
+
+
+def well_formed(spec: Column) -> Column:
+    """One pattern match; the cheap test for the hot path."""
+    return spec.rlike(WELL_FORMED) & ~F.endswith(spec, F.lit("\n"))
 
 
 def label_error(spec: Column) -> Column:
     """Null for a well-formed row, else the name of the broken rule."""
-    n, sym, plus = F.size(numbers(spec)), symbols(spec), _plus_count(spec)
+    n, sym, plus = F.size(numbers(spec)), symbols(spec), plus_count(spec)
     return (
         F.when(spec.rlike(r"[^0-9*+\-]"), F.lit("character"))
         .when(n == 0, F.lit("no_number"))
@@ -42,13 +56,14 @@ def label_error(spec: Column) -> Column:
     )
 
 
-def expand_label_spec(spec: Column) -> Column:
+def expand_label_spec(spec: Column, nums: Column | None = None) -> Column:
     """Array of the indexes a well-formed row names.
 
     A reversed range names its two ends, as does any pair without ``+``/``-``.
+    ``nums`` is a column that already holds the row's numbers.
     """
-    nums, plus = numbers(spec), _plus_count(spec)
-    first, second = F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
+    nums = numbers(spec) if nums is None else nums
+    plus, first, second = plus_count(spec), F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
     return (
         F.when((plus > 0) & (F.size(nums) == 1), F.sequence(first, first + plus))
         .when(plus > 0, F.sequence(first, first + second))
@@ -57,10 +72,10 @@ def expand_label_spec(spec: Column) -> Column:
     )
 
 
-def label_bounds(spec: Column) -> tuple[Column, Column]:
+def label_bounds(spec: Column, nums: Column | None = None) -> tuple[Column, Column]:
     """Smallest and largest index a row names, without expanding it."""
-    nums, plus = numbers(spec), _plus_count(spec)
-    first, second = F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
+    nums = numbers(spec) if nums is None else nums
+    plus, first, second = plus_count(spec), F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
     high = (
         F.when((plus > 0) & (F.size(nums) == 1), first + plus)
         .when(plus > 0, first + second)

@@ -19,7 +19,8 @@ def clean_label_lines(df: DataFrame, raw: str, out: str = "spec") -> DataFrame:
 
 def label_errors(df: DataFrame, spec: str) -> DataFrame:
     """The malformed rows, with the broken rule in ``error``: the quarantine table."""
-    return df.withColumn("error", notation.label_error(F.col(spec))).where(F.col("error").isNotNull())
+    bad = df.where(~notation.well_formed(F.col(spec)))
+    return bad.withColumn("error", notation.label_error(F.col(spec)))
 
 
 def expand_labels(df: DataFrame, spec: str, *, strict: bool = False) -> DataFrame:
@@ -28,15 +29,15 @@ def expand_labels(df: DataFrame, spec: str, *, strict: bool = False) -> DataFram
     Malformed rows are left to :func:`label_errors`; with ``strict`` the first
     of them fails the job.
     """
-    error = notation.label_error(F.col(spec))
+    good = notation.well_formed(F.col(spec))
     if strict:
         fail = F.raise_error(F.concat(F.lit("bad label row: "), F.col(spec)))
-        checked = df.where(F.when(error.isNotNull(), fail.cast("boolean")).otherwise(F.lit(True)))
-    else:
-        checked = df.where(error.isNull())
-    return checked.select(
+        good = F.when(good, F.lit(True)).otherwise(fail.cast("boolean"))
+    # The numbers are read once per row, in a column of their own.
+    read = df.where(good).withColumn("__nums", notation.numbers(F.col(spec)))
+    return read.select(
         *df.columns,
-        F.explode(notation.expand_label_spec(F.col(spec))).alias("idx"),
+        F.explode(notation.expand_label_spec(F.col(spec), F.col("__nums"))).alias("idx"),
         notation.label_flag(F.col(spec)).alias("import_flag"),
     )
 

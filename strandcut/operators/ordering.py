@@ -21,6 +21,7 @@ from strandcut.session import shared_dir
 
 CHUNK_BITS = 20
 LEVELS = 3
+HOT_ROWS = 1 << 20
 HASH_DIGITS = 4
 
 
@@ -46,31 +47,44 @@ def prefix_sums(
     chunk: Sequence[Column] | None = None,
     bits: int = CHUNK_BITS,
     levels: int = LEVELS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add running sums of ``sums`` over ``order`` within ``part``.
 
     ``chunk`` lists expressions that never decrease along ``order``; by default
     the single integer ``order`` column is cut every ``2**bits`` values. With
     ``totals`` each sum also gets a ``<name>_total`` column over the whole
-    partition. Key columns must not be null.
+    partition.
+
+    Only partitions of more than ``hot_rows`` rows are cut; the others are one
+    chunk and need no carry (None cuts all, and so do ``totals``). There are at
+    most ``rows / hot_rows`` hot partitions, so their list is broadcast.
 
     The chunk rows are summed up the same way, ``levels`` deep: with 20 bits
     and three levels no task orders more than ``2**20`` rows (``2**23`` on the
     top level) for any unique 63-bit key, dense or sparse.
     """
     part, order = as_list(part), as_list(order)
+    columns = df.columns
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
+    split = bool(part) and not totals and hot_rows is not None
+    if split:
+        sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
+        hot = sizes.where(F.col("__rows") > hot_rows).select(*part, F.lit(True).alias("__hot"))
+        df = df.join(F.broadcast(hot), part, "left")
+        cuts = [F.when(F.col("__hot"), c) for c in cuts]
     cut_names = [f"__cut{levels}_{i}" for i in range(len(cuts))]
     tagged = df.withColumns(dict(zip(cut_names, cuts))).withColumns(
         {f"__in_{name}": expr for name, expr in sums.items()}
     )
     keys = part + cut_names
 
-    carried = tagged.groupBy(*keys).agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in sums])
+    chunked = tagged.where("__hot") if split else tagged
+    carried = chunked.groupBy(*keys).agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in sums])
     if levels > 2 and chunk is None:
         above = {f"__carry_{n}": F.col(f"__sum_{n}") for n in sums}
         carried = prefix_sums(
-            carried, part, cut_names[0], above, totals=totals, bits=bits, levels=levels - 1
+            carried, part, cut_names[0], above, totals=totals, bits=bits, levels=levels - 1, hot_rows=None
         ).drop(*[f"__sum_{n}" for n in sums])
         if totals:
             carried = carried.withColumnsRenamed({f"__carry_{n}_total": f"{n}_total" for n in sums})
@@ -91,9 +105,9 @@ def prefix_sums(
     local = tagged.withColumns(
         {f"__local_{n}": F.coalesce(F.sum(f"__in_{n}").over(inside), F.lit(0)) for n in sums}
     )
-    joined = local.join(carried, keys)
-    out = [F.col(c) for c in df.columns if c not in sums]
-    out += [(F.col(f"__local_{n}") + F.col(f"__carry_{n}")).alias(n) for n in sums]
+    joined = local.join(carried, keys, "left")
+    out = [F.col(c) for c in columns if c not in sums]
+    out += [(F.col(f"__local_{n}") + F.coalesce(f"__carry_{n}", F.lit(0))).alias(n) for n in sums]
     if totals:
         out += [F.col(f"{n}_total") for n in sums]
     return joined.select(*out)

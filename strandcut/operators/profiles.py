@@ -40,33 +40,33 @@ def ink_profile(
     return grid.join(counted, [*image, "x"], "left").withColumn("ink", F.coalesce("ink", F.lit(0).cast("bigint")))
 
 
-def smooth_array(values: Column, n: Column) -> Column:
-    """Binomial 5-tap smoothing with mirrored borders (the border value is not repeated)."""
-    n = n.cast("int")
-    period = F.greatest(2 * (n - 1), F.lit(1))
-
-    def tap(i: Column, shift: int) -> Column:
-        at = F.pmod(i + shift, period)
-        at = F.when(n == 1, F.lit(0)).when(at >= n, period - at).otherwise(at)
-        return F.get(values, at)
+def smooth_profile(profile: DataFrame, image: str | Sequence[str]) -> DataFrame:
+    """Binomial 5-tap smoothing of a dense long profile with mirrored borders.
 
-    def blurred(_: Column, i: Column) -> Column:
-        total = sum(
-            (F.lit(float(w)) * tap(i, k - 2) for k, w in enumerate(KERNEL)), F.lit(0.0)
-        )
-        return total / F.lit(float(sum(KERNEL)))
+    The border value is not repeated: the tap before the first column is the
+    second column, the one before that the third. Which neighbours are missing
+    tells how far a column is from an end.
+    """
+    image = as_list(image)
+    along = Window.partitionBy(*image).orderBy("x")
+    near = profile.select(
+        *image,
+        "x",
+        F.col("ink").alias("own"),
+        *[F.lag("ink", k).over(along).alias(f"prev{k}") for k in (1, 2)],
+        *[F.lead("ink", k).over(along).alias(f"next{k}") for k in (1, 2)],
+    )
 
-    return F.transform(values, blurred)
+    def inner(side: str, other: str) -> Column:
+        return F.coalesce(F.col(f"{side}1"), F.col(f"{other}1"), F.col("own"))
 
+    def outer(side: str, other: str) -> Column:
+        beside_end = F.when(F.col(f"{side}1").isNotNull(), F.col("own"))
+        return F.coalesce(F.col(f"{side}2"), beside_end, F.col(f"{other}2"), F.col("own"))
 
-def smooth_profile(profile: DataFrame, image: str | Sequence[str]) -> DataFrame:
-    """Smooth a dense long profile; one array per image, as long as it is wide."""
-    image = as_list(image)
-    rows = profile.groupBy(*image).agg(F.sort_array(F.collect_list(F.struct("x", "ink"))).alias("__p"))
-    rows = rows.select(*image, F.transform("__p", lambda s: s["ink"].cast("double")).alias("__v"))
-    # The array is placed in its own row before it is read by position.
-    smoothed = rows.withColumn("__s", smooth_array(F.col("__v"), F.size("__v")))
-    return smoothed.select(*image, F.posexplode("__s").alias("x", "smooth"))
+    taps = (outer("prev", "next"), inner("prev", "next"), F.col("own"), inner("next", "prev"), outer("next", "prev"))
+    total = sum((F.lit(float(k)) * t for k, t in zip(KERNEL, taps)), F.lit(0.0))
+    return near.select(*image, "x", (total / F.lit(float(sum(KERNEL)))).alias("smooth"))
 
 
 def strip_ends(

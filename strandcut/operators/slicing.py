@@ -38,21 +38,14 @@ def slice_windows(
 def slice_text(df: DataFrame, text: str, *, size: int = G.SLICE_WIDTH, step: int = G.SLICE_STEP) -> DataFrame:
     """One row per slice of a text, with ``slice_no`` and ``piece``.
 
-    The text is read once into cells of ``step`` characters and neighbouring
-    cells are joined, so the work is linear in the length of the text.
+    A single pass over the text: each match moves on by ``step`` characters and
+    captures the ``size`` characters ahead, so long texts stay linear.
     """
-    if size % step:
-        raise ValueError("step must divide size")
-    per = size // step
-    split = df.withColumn("__cells", F.regexp_extract_all(F.col(text), F.lit("(?s).{1,%d}" % step), F.lit(0)))
-    cells = wide = F.col("__cells")
-    for i in range(1, per):
-        rest = F.slice(cells, F.lit(i + 1), F.greatest(F.size(cells) - i, F.lit(0)))
-        wide = F.zip_with(wide, rest, lambda a, b: F.concat(a, b))
-    n = G.slice_count(F.length(text), size, step).cast("int")
-    kept = split.withColumn("__pieces", F.slice(wide, F.lit(1), n))
+    if step > size:
+        raise ValueError("step must not exceed size")
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
     other = [c for c in df.columns if c != text]
-    return kept.select(*other, F.posexplode("__pieces").alias("slice_no", "piece"))
+    return df.select(*other, F.posexplode(pieces).alias("slice_no", "piece"))
 
 
 def slice_array(vec: Column, slice_no: Column, *, size: int = G.SLICE_WIDTH, step: int = G.SLICE_STEP) -> Column:

@@ -37,7 +37,7 @@ def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "smooth_profile",
     f"""
-    SELECT t.user_id, t.x::INTEGER AS x, round(sum(t.weight * p.ink) / 16.0, 5)::DOUBLE AS smooth
+    SELECT t.user_id, t.x::BIGINT AS x, round(sum(t.weight * p.ink) / 16.0, 5)::DOUBLE AS smooth
     FROM (SELECT user_id, x, weight, CASE
                  WHEN width = 1 THEN 0
                  WHEN m >= width THEN 2 * (width - 1) - m ELSE m END AS src

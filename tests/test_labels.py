@@ -20,6 +20,7 @@ def test_notation_agrees_with_a_plain_reader_on_all_short_strings(spark):
         "spec",
         notation.label_error(F.col("spec")).alias("error"),
         F.when(notation.label_error(F.col("spec")).isNull(), notation.expand_label_spec(F.col("spec"))).alias("idx"),
+        notation.well_formed(F.col("spec")).alias("good"),
         notation.label_flag(F.col("spec")).alias("flag"),
         notation.label_bounds(F.col("spec"))[0].alias("low"),
         notation.label_bounds(F.col("spec"))[1].alias("high"),
@@ -27,7 +28,7 @@ def test_notation_agrees_with_a_plain_reader_on_all_short_strings(spark):
     assert len(got) == len(specs)
     for r in got:
         want = brute.expand(r.spec)
-        assert (r.error is None) == (want is not None), r
+        assert (r.error is None) == r.good == (want is not None), r
         if want:
             assert (r.idx, r.flag) == (want[0], want[1]), r
             assert (r.low, r.high) == (min(want[0]), max(want[0])), r

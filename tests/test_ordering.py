@@ -125,6 +125,23 @@ def test_context_crosses_chunk_borders(spark, bits):
     assert {(r.p, r.o): (r.x_prev1, r.x_prev2, r.x_next1, r.x_next2) for r in got} == want
 
 
+@pytest.mark.parametrize("hot_rows", [None, 0, 50, 1000])
+@pytest.mark.parametrize("chunk", [False, True])
+def test_only_hot_parts_are_cut(spark, hot_rows, chunk):
+    rows = [r[:3] for r in sparse_rows(8)] + [(None, o, 0) for o in range(5)]
+    df = spark.createDataFrame(rows if hot_rows is not None else [r for r in rows if r[0] is not None], "p int, o bigint, label int")
+    order = ["label", "o"] if chunk else "o"
+    cuts = [F.col("label"), F.shiftright("o", 3)] if chunk else None
+    got = ordering.running_position(df, "p", order, "n", chunk=cuts, bits=3, hot_rows=hot_rows).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.p, []).append(((r.label, r.o) if chunk else r.o, r.n))
+    assert sum(map(len, groups.values())) == df.count()
+    for p, items in groups.items():
+        if p is not None:
+            assert [n for _, n in sorted(items)] == list(range(len(items)))
+
+
 @pytest.mark.parametrize("n", [0, 1, 79, 80, 81, 120, 121, 333])
 @pytest.mark.parametrize("include_last", [False, True])
 def test_count_windows(spark, n, include_last):
