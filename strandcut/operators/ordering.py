@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from strandcut.session import shared_dir
 
-CHUNK_BITS = 20
+CHUNK_BITS = 16
+CARRY_BITS = 24
 LEVELS = 3
 HOT_ROWS = 1 << 20
 HASH_DIGITS = 4
@@ -46,6 +47,7 @@ def prefix_sums(
     totals: bool = False,
     chunk: Sequence[Column] | None = None,
     bits: int = CHUNK_BITS,
+    carry_bits: int = CARRY_BITS,
     levels: int = LEVELS,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
@@ -60,9 +62,9 @@ def prefix_sums(
     chunk and need no carry (None cuts all, and so do ``totals``). There are at
     most ``rows / hot_rows`` hot partitions, so their list is broadcast.
 
-    The chunk rows are summed up the same way, ``levels`` deep: with 20 bits
-    and three levels no task orders more than ``2**20`` rows (``2**23`` on the
-    top level) for any unique 63-bit key, dense or sparse.
+    The chunk rows are summed up the same way, ``levels`` deep, ``carry_bits``
+    at a time. By default an ordered group has at most ``2**16`` data rows or
+    ``2**24`` narrow chunk rows, for any unique 64-bit key, dense or sparse.
     """
     part, order = as_list(part), as_list(order)
     columns = df.columns
@@ -84,7 +86,8 @@ def prefix_sums(
     if levels > 2 and chunk is None:
         above = {f"__carry_{n}": F.col(f"__sum_{n}") for n in sums}
         carried = prefix_sums(
-            carried, part, cut_names[0], above, totals=totals, bits=bits, levels=levels - 1, hot_rows=None
+            carried, part, cut_names[0], above, totals=totals,
+            bits=carry_bits, carry_bits=carry_bits, levels=levels - 1, hot_rows=None,
         ).drop(*[f"__sum_{n}" for n in sums])
         if totals:
             carried = carried.withColumnsRenamed({f"__carry_{n}_total": f"{n}_total" for n in sums})

@@ -23,12 +23,17 @@ BLACK = 0
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
+def _levels(values: np.ndarray) -> np.ndarray:
+    """Round halves up to whole gray levels."""
+    return np.clip(np.floor(values + 0.5), 0, WHITE).astype(np.uint8)
+
+
 def to_gray(image: np.ndarray) -> np.ndarray:
     """One gray plane from an (h, w, channels) image in blue, green, red order."""
     if image.shape[2] == 1:
         return image[:, :, 0]
     mixed = image[:, :, :3].astype(np.float64) @ np.array([0.114, 0.587, 0.299])
-    return np.clip(np.rint(mixed), 0, WHITE).astype(np.uint8)
+    return _levels(mixed)
 
 
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -46,7 +51,7 @@ def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
     if width != image.shape[1]:
         low, high, share = taps(image.shape[1], width)
         src = src[:, low] * (1 - share) + src[:, high] * share
-    return np.clip(np.rint(src), 0, WHITE).astype(np.uint8)
+    return _levels(src)
 
 
 def blur(image: np.ndarray, weights: Sequence[float] = KERNEL) -> np.ndarray:
@@ -63,7 +68,7 @@ def blur(image: np.ndarray, weights: Sequence[float] = KERNEL) -> np.ndarray:
         at = np.where(at >= n, period - at, at)
         wide = np.take(out, at, axis=axis)
         out = sum(t * np.take(wide, np.arange(i, i + n), axis=axis) for i, t in enumerate(taps))
-    return np.clip(np.rint(out), 0, WHITE).astype(np.uint8)
+    return _levels(out)
 
 
 def gaussian_taps(sigma: float) -> np.ndarray:
@@ -186,6 +191,22 @@ def binarise(lines: DataFrame) -> DataFrame:
     return map_images(lines, threshold)
 
 
+def column_ink(lines: DataFrame, out: str = "ink") -> DataFrame:
+    """Replace the pixels by the number of black ones in each column."""
+    kept = [f for f in lines.schema if f.name != "px"]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [
+                (_pixels(h, w, px) == BLACK).sum(axis=0).astype(np.int32)
+                for h, w, px in zip(batch["h"], batch["w"], batch["px"])
+            ]
+            yield batch.drop(columns="px").assign(**{out: counts})
+
+    return lines.mapInPandas(run, schema)
+
+
 def pad_sides(lines: DataFrame, columns: int = G.SIDE_PAD) -> DataFrame:
     return map_images(lines, lambda a: pad(a, 0, 0, columns, columns))
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandcut.operators.ordering import CHUNK_BITS, as_list, chunk_of
+from strandcut.operators.ordering import as_list, chunk_of
+
+# A chunk row per 2**18 order values: up to four million of them for the
+# longest partition with order values below 2**40.
+CHUNK_BITS = 18
 
 
 def char_spans(

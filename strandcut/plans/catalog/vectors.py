@@ -20,7 +20,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_form(df: DataFrame, keys: list[str], vec: Column, digits: int) -> DataFrame:
-    rows = df.select(*keys, F.posexplode(vec).alias("i", "x"))
+    # The plain form would add a filter on the array, and so score it twice.
+    rows = df.select(*keys, F.posexplode_outer(vec).alias("i", "x"))
     return rows.withColumn("x", F.round("x", digits))
 
 
