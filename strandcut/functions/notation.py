@@ -36,18 +36,23 @@ WELL_FORMED = (
     r"|[+]*[0-9]+[+]+[*]*|[+]+[*]*[0-9]+[*]*"
     r"|[0-9]+[+-][*]*[0-9]+[*]*|[+-][*]*[0-9]+[*]+[0-9]+[*]*)$"
 )
+# Beyond 18 digits a number may not fit a bigint, and no directory is that long.
+TOO_LONG = r"[0-9]{19}"
+# Longest stretch of indexes held in one array.
+BLOCK = 1 << 16
 
 
 def well_formed(spec: Column) -> Column:
     """One pattern match; the cheap test for the hot path."""
-    return spec.rlike(WELL_FORMED) & ~F.endswith(spec, F.lit("\n"))
+    return spec.rlike(WELL_FORMED) & ~spec.rlike(TOO_LONG) & ~F.endswith(spec, F.lit("\n"))
 
 
 def label_error(spec: Column) -> Column:
     """Null for a well-formed row, else the name of the broken rule."""
-    n, sym, plus = F.size(numbers(spec)), symbols(spec), plus_count(spec)
+    n, sym, plus = F.size(F.regexp_extract_all(spec, F.lit(r"([0-9]+)"), F.lit(1))), symbols(spec), plus_count(spec)
     return (
         F.when(spec.rlike(r"[^0-9*+\-]"), F.lit("character"))
+        .when(spec.rlike(TOO_LONG), F.lit("number_too_long"))
         .when(n == 0, F.lit("no_number"))
         .when(~sym.rlike(r"^([+]+|-)?[*]*$"), F.lit("symbol_order"))
         .when(F.contains(sym, F.lit("-")) & (n != 2), F.lit("range_needs_two"))
@@ -72,6 +77,24 @@ def expand_label_spec(spec: Column, nums: Column | None = None) -> Column:
     )
 
 
+def label_blocks(spec: Column, nums: Column | None = None) -> Column:
+    """The indexes a row names as ``[low, high]`` stretches of at most ``BLOCK``.
+
+    The form to explode: however long a range is, no row holds all of it.
+    """
+    nums = numbers(spec) if nums is None else nums
+    first, second = F.get(nums, F.lit(0)), F.get(nums, F.lit(1))
+    low, high = label_bounds(spec, nums)
+    ranged = (plus_count(spec) > 0) | (F.contains(spec, F.lit("-")) & (second >= first))
+    step = F.lit(BLOCK).cast("bigint")
+    cut = F.transform(
+        F.sequence(low, high, step),
+        lambda s: F.struct(s.alias("low"), F.least(s + BLOCK - 1, high).alias("high")),
+    )
+    single = F.transform(nums, lambda n: F.struct(n.alias("low"), n.alias("high")))
+    return F.when(ranged, cut).otherwise(single)
+
+
 def label_bounds(spec: Column, nums: Column | None = None) -> tuple[Column, Column]:
     """Smallest and largest index a row names, without expanding it."""
     nums = numbers(spec) if nums is None else nums

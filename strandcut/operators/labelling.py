@@ -33,12 +33,16 @@ def expand_labels(df: DataFrame, spec: str, *, strict: bool = False) -> DataFram
     if strict:
         fail = F.raise_error(F.concat(F.lit("bad label row: "), F.col(spec)))
         good = F.when(good, F.lit(True)).otherwise(fail.cast("boolean"))
-    # The numbers are read once per row, in a column of their own.
+    # The numbers are read once per row, in a column of their own; a long range
+    # is exploded in two steps.
     read = df.where(good).withColumn("__nums", notation.numbers(F.col(spec)))
-    return read.select(
+    blocks = read.select(
         *df.columns,
-        F.explode(notation.expand_label_spec(F.col(spec), F.col("__nums"))).alias("idx"),
         notation.label_flag(F.col(spec)).alias("import_flag"),
+        F.explode(notation.label_blocks(F.col(spec), F.col("__nums"))).alias("__block"),
+    )
+    return blocks.select(
+        *df.columns, F.explode(F.sequence("__block.low", "__block.high")).alias("idx"), "import_flag"
     )
 
 

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from strandcut.session import shared_dir
 
@@ -37,6 +37,16 @@ def chunk_of(order: str | Column, bits: int = CHUNK_BITS) -> Column:
     return F.shiftright(col.cast("bigint"), bits)
 
 
+def hot_parts(df: DataFrame, part: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The partitions of more than ``hot_rows`` rows, marked for broadcast.
+
+    There are at most ``rows / hot_rows`` of them. Counting is combined before
+    the shuffle, so it costs a narrow scan.
+    """
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
+    return F.broadcast(sizes.where(F.col("__rows") > hot_rows).select(*part, F.lit(True).alias("__hot")))
+
+
 def prefix_sums(
     df: DataFrame,
     part: str | Sequence[str] | None,
@@ -59,8 +69,7 @@ def prefix_sums(
     partition.
 
     Only partitions of more than ``hot_rows`` rows are cut; the others are one
-    chunk and need no carry (None cuts all, and so do ``totals``). There are at
-    most ``rows / hot_rows`` hot partitions, so their list is broadcast.
+    chunk and need no carry (None cuts all, and so do ``totals``).
 
     The chunk rows are summed up the same way, ``levels`` deep, ``carry_bits``
     at a time. By default an ordered group has at most ``2**16`` data rows or
@@ -71,9 +80,7 @@ def prefix_sums(
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
     split = bool(part) and not totals and hot_rows is not None
     if split:
-        sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
-        hot = sizes.where(F.col("__rows") > hot_rows).select(*part, F.lit(True).alias("__hot"))
-        df = df.join(F.broadcast(hot), part, "left")
+        df = df.join(hot_parts(df, part, hot_rows), part, "left")
         cuts = [F.when(F.col("__hot"), c) for c in cuts]
     cut_names = [f"__cut{levels}_{i}" for i in range(len(cuts))]
     tagged = df.withColumns(dict(zip(cut_names, cuts))).withColumns(
@@ -182,6 +189,19 @@ def hash_position(
     ).drop("__hash")
 
 
+def with_neighbours(
+    df: DataFrame, window: WindowSpec, cols: Sequence[str], k: int, fill: Column | None = None
+) -> DataFrame:
+    """Add ``<col>_prev1..k`` and ``<col>_next1..k`` along a window's order."""
+    extra = {}
+    for c in cols:
+        for i in range(1, k + 1):
+            for word, fn in (("prev", F.lag), ("next", F.lead)):
+                value = fn(c, i).over(window)
+                extra[f"{c}_{word}{i}"] = F.coalesce(value, fill) if fill is not None else value
+    return df.withColumns(extra)
+
+
 def neighbours(
     df: DataFrame,
     part: str | Sequence[str] | None,
@@ -192,7 +212,7 @@ def neighbours(
     fill: Column | None = None,
     bits: int = CHUNK_BITS,
 ) -> DataFrame:
-    """Add ``<col>_prev1..k`` and ``<col>_next1..k`` along a dense ``position``.
+    """As :func:`with_neighbours`, along a dense ``position``, for groups of any size.
 
     Rows within ``k`` of a chunk border are sent to the adjoining chunk too,
     so each chunk sees its whole neighbourhood without a wider group.
@@ -204,10 +224,5 @@ def neighbours(
     homes = F.array_distinct(F.array(own, chunk_of(F.col(position) - k, bits), chunk_of(F.col(position) + k, bits)))
     spread = df.withColumn("__own", own).withColumn("__home", F.explode(homes))
     w = Window.partitionBy(*part, "__home").orderBy(position)
-    extra = {}
-    for c in cols:
-        for i in range(1, k + 1):
-            for word, fn in (("prev", F.lag), ("next", F.lead)):
-                value = fn(c, i).over(w)
-                extra[f"{c}_{word}{i}"] = F.coalesce(value, fill) if fill is not None else value
-    return spread.withColumns(extra).where(F.col("__own") == F.col("__home")).drop("__own", "__home")
+    seen = with_neighbours(spread, w, cols, k, fill)
+    return seen.where(F.col("__own") == F.col("__home")).drop("__own", "__home")

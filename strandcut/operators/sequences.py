@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandcut.operators.ordering import (
     CHUNK_BITS,
+    HOT_ROWS,
     as_list,
+    hot_parts,
     neighbours,
     prefix_sums,
     running_position,
+    with_neighbours,
 )
 
 
@@ -82,11 +86,29 @@ def collect_columns(
 
 
 def context_features(
-    df: DataFrame, part: str | Sequence[str] | None, order: str, value: str, k: int = 2, *, bits: int = CHUNK_BITS
+    df: DataFrame,
+    part: str | Sequence[str] | None,
+    order: str,
+    value: str,
+    k: int = 2,
+    *,
+    bits: int = CHUNK_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the ``k`` values before and after each slice; 0 beyond the ends."""
-    placed = running_position(df, part, order, "__at", bits=bits)
-    return neighbours(placed, part, "__at", [value], k, fill=F.lit(0), bits=bits).drop("__at")
+    """Add the ``k`` values before and after each slice; 0 beyond the ends.
+
+    Partitions of up to ``hot_rows`` rows take one ordinary window. The rows of
+    larger ones are numbered and looked at chunk by chunk.
+    """
+    part = as_list(part)
+    if not part:
+        placed = running_position(df, None, order, "__at", bits=bits)
+        return neighbours(placed, None, "__at", [value], k, fill=F.lit(0), bits=bits).drop("__at")
+    hot = hot_parts(df, part, hot_rows)
+    placed = running_position(df.join(hot, part, "left_semi"), part, order, "__at", bits=bits, hot_rows=None)
+    large = neighbours(placed, part, "__at", [value], k, fill=F.lit(0), bits=bits).drop("__at")
+    small = with_neighbours(df.join(hot, part, "left_anti"), Window.partitionBy(*part).orderBy(order), [value], k, F.lit(0))
+    return small.unionByName(large)
 
 
 def batch_ids(df: DataFrame, order: str, size: int = 256, *, bits: int = CHUNK_BITS) -> DataFrame:

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandcut.operators.ordering import as_list, chunk_of
+from strandcut.operators.ordering import HOT_ROWS, as_list, chunk_of, hot_parts
 
-# A chunk row per 2**18 order values: up to four million of them for the
-# longest partition with order values below 2**40.
-CHUNK_BITS = 18
+# With order values below 2**40, a large partition has up to a million chunks.
+CHUNK_BITS = 20
 
 
 def char_spans(
@@ -23,6 +22,7 @@ def char_spans(
     pos: str,
     *,
     bits: int = CHUNK_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Spans ``[beg, end]`` of label-0 runs along ``order`` within ``part``.
 
@@ -31,28 +31,27 @@ def char_spans(
     last position when nothing follows). ``order`` must be an integer that is
     unique within ``part``.
 
-    Runs are found inside chunks of ``2**bits`` order values. What a chunk
-    needs from the others (does a run reach into it, where was the last slice,
-    where is the next separator) is one row per chunk.
+    A partition of up to ``hot_rows`` rows is read in one go. Larger ones are
+    cut into chunks of ``2**bits`` order values; what a chunk needs from the
+    others (does a run reach into it, where was the last slice, where is the
+    next separator) is one row per chunk.
     """
     part = as_list(part)
-    keys = [*part, "__chunk"]
     rows = df.select(
         *part,
         F.col(order).cast("bigint").alias("__ord"),
         (F.col(label) == 0).alias("__in"),
         F.col(pos).cast("bigint").alias("__pos"),
-        chunk_of(order, bits).alias("__chunk"),
-    )
-    # Rows without a key belong to no image. Saying so here keeps both uses of
-    # the shuffled rows alike, so that Spark shuffles them once.
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
+    ).join(hot_parts(df.select(*part), part, hot_rows), part, "left")
+    rows = rows.select("*", F.when(F.col("__hot"), chunk_of("__ord", bits)).alias("__chunk")).drop("__hot")
+    keys = [*part, "__chunk"]
     inside = Window.partitionBy(*keys).orderBy("__ord")
     stepped = rows.withColumns(
         {"__was_in": F.lag("__in").over(inside), "__was_pos": F.lag("__pos").over(inside)}
     ).withColumn("__opens", (F.col("__in") & ~F.coalesce("__was_in", F.lit(False))).cast("bigint"))
-    stepped = stepped.withColumn("__run", F.sum("__opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    stepped = stepped.withColumn(
+        "__run", F.sum("__opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
 
     # A run row covers its label-0 slices and the separators up to the next run;
     # run 0 holds separators that lead the chunk. Keys extend the window's keys,
@@ -63,7 +62,26 @@ def char_spans(
         F.min_by("__pos", F.when(~F.col("__in"), F.col("__ord"))).alias("__close"),
         F.max_by("__pos", "__ord").alias("__last"),
     )
+    links = _chunk_links(runs.where(F.col("__chunk").isNotNull()), part)
+    whole = runs.where(F.col("__run") > 0).join(links, keys, "left")
+    joined = F.coalesce("__joined", F.lit(False))
+    return whole.where(~(F.col("__leads") & joined)).select(
+        *part,
+        (F.coalesce("__base", F.lit(0)) + F.col("__run") - 1 - joined.cast("bigint")).alias("span_no"),
+        F.coalesce("__before", F.when(F.col("__leads"), F.col("__carry_pos")), F.lit(0)).alias("beg"),
+        F.coalesce("__close", "__next_close", "__final_pos", "__last").alias("end"),
+    )
 
+
+def _chunk_links(runs: DataFrame, part: list[str]) -> DataFrame:
+    """What each chunk of a large partition takes over from its other chunks.
+
+    ``__joined``: its first run goes on from the chunk before. ``__carry_pos``:
+    last position before it. ``__next_close``: first separator after it.
+    ``__final_pos``: last position of the partition. ``__base``: spans opened
+    before it.
+    """
+    keys = [*part, "__chunk"]
     chunks = runs.groupBy(*keys).agg(
         F.max("__run").alias("__n"),
         F.max("__leads").alias("__leads_in"),
@@ -73,33 +91,19 @@ def char_spans(
     )
     onward = Window.partitionBy(*part).orderBy("__chunk")
     backward = Window.partitionBy(*part).orderBy(F.desc("__chunk"))
+    earlier = onward.rowsBetween(Window.unboundedPreceding, -1)
+    later = backward.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumns(
         {
             "__carry_in": F.coalesce(F.lag("__ends_in").over(onward), F.lit(False)),
             "__carry_pos": F.lag("__last_pos").over(onward),
-            "__next_close": F.last("__first_close", ignorenulls=True).over(
-                backward.rowsBetween(Window.unboundedPreceding, -1)
-            ),
+            "__next_close": F.last("__first_close", ignorenulls=True).over(later),
             "__final_pos": F.first("__last_pos").over(backward),
         }
     ).withColumn("__joined", F.col("__leads_in") & F.col("__carry_in"))
-    chunks = chunks.withColumn(
-        "__base",
-        F.coalesce(
-            F.sum(F.col("__n") - F.col("__joined").cast("bigint")).over(
-                onward.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).select(*keys, "__joined", "__carry_pos", "__next_close", "__final_pos", "__base")
-
-    whole = runs.where(F.col("__run") > 0).join(chunks, keys)
-    return whole.where(~(F.col("__leads") & F.col("__joined"))).select(
-        *part,
-        (F.col("__base") + F.col("__run") - 1 - F.col("__joined").cast("bigint")).alias("span_no"),
-        F.coalesce("__before", F.when(F.col("__leads"), F.col("__carry_pos")), F.lit(0)).alias("beg"),
-        F.coalesce("__close", "__next_close", "__final_pos").alias("end"),
-    )
+    opened = F.col("__n") - F.col("__joined").cast("bigint")
+    chunks = chunks.withColumn("__base", F.coalesce(F.sum(opened).over(earlier), F.lit(0)))
+    return chunks.select(*keys, "__joined", "__carry_pos", "__next_close", "__final_pos", "__base")
 
 
 def cut_positions(df: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:

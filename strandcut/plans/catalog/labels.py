@@ -19,13 +19,13 @@ SPECS_SQL = """
 
 
 def order_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, m = F.col("o_orderkey") % 1000, F.col("o_custkey") % 5
-    forms = [
-        F.concat(n), F.concat(n, F.lit("+")), F.concat(n, F.lit("++")), F.concat(n, F.lit("+"), m),
-        F.concat(n, F.lit("-"), n + m), F.concat(n, F.lit("*")), F.concat(n, F.lit("+*")), F.concat(n, F.lit("*+")),
-    ]
-    spec = F.element_at(F.array(*[f.cast("string") for f in forms]), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("\t"), spec, F.lit("\t")).alias("raw"))
+    form, n, m = F.col("o_orderkey") % 8, F.col("o_orderkey") % 1000, F.col("o_custkey") % 5
+    tail = (
+        F.when(form == 0, "").when(form == 1, "+").when(form == 2, "++").when(form == 3, F.concat(F.lit("+"), m))
+        .when(form == 4, F.concat(F.lit("-"), n + m)).when(form == 5, "*").when(form == 6, "+*").otherwise("*+")
+    )
+    raw = F.concat(F.lit("\t"), n, tail, F.lit("\t"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
 
 
 def clean_specs(spark: SparkSession, sf_dir: str) -> DataFrame:

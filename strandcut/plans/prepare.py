@@ -5,18 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandcut.functions import names
+from strandcut.functions import names, notation
 from strandcut.operators import labelling, metrics, sampling, scoring, sequences
 from strandcut.operators.ordering import ordered_index
 
 
-def labelled_slices(files: DataFrame, label_lines: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Slice files with type and flag from the label rows of their directory."""
+def numbered_files(files: DataFrame) -> DataFrame:
+    """Slice files with the number in their name."""
     named = names.parse_number_pair(names.base_name(F.col("path")))
-    slices = files.select("dir", named["idx"].alias("idx"), "path")
+    return files.select("dir", named["idx"].alias("idx"), "path")
+
+
+def label_problems(files: DataFrame, label_lines: DataFrame) -> DataFrame:
+    """Everything that would make the labels unusable: ``dir``, ``problem``, ``detail``.
+
+    Misplaced or unreadable file names, directories without label rows,
+    malformed rows, and rows beyond the last slice.
+    """
+    specs = labelling.clean_label_lines(label_lines, "raw")
+    counts = files.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
+    good = specs.where(notation.well_formed(F.col("spec")))
+    found = [
+        labelling.file_index_violations(files, "dir", "path").select("dir", F.lit("file_index").alias("problem"), F.col("path").alias("detail")),
+        labelling.missing_labels(counts, label_lines.select("dir").distinct(), "dir").select(
+            "dir", F.lit("no_label_file").alias("problem"), F.lit(None).cast("string").alias("detail")
+        ),
+        labelling.label_errors(specs, "spec").select("dir", F.col("error").alias("problem"), F.col("spec").alias("detail")),
+        labelling.specs_out_of_range(good, counts, "dir", "spec", "n").select(
+            "dir", F.lit("out_of_range").alias("problem"), F.col("spec").alias("detail")
+        ),
+    ]
+    return labelling.collect_all(found)
+
+
+def labelled_slices(files: DataFrame, label_lines: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Slice files with type and flag from the label rows of their directory.
+
+    With ``strict`` a malformed row fails the job; see :func:`label_problems`
+    for the other checks.
+    """
     specs = labelling.clean_label_lines(label_lines, "raw")
     expanded = labelling.expand_labels(specs, "spec", strict=strict)
-    return labelling.apply_labels(slices, labelling.last_flags(expanded, ["dir", "idx"]), ["dir", "idx"])
+    marked = labelling.last_flags(expanded, ["dir", "idx"])
+    return labelling.apply_labels(numbered_files(files), marked, ["dir", "idx"])
 
 
 def slice_sets(labelled: DataFrame, *, fraction: float, seed: int, times: int = 2) -> DataFrame:

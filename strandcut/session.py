@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the frame that needs them does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Image rows are large; keep one Arrow batch to a few hundred of them.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
 }

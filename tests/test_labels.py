@@ -20,6 +20,7 @@ def test_notation_agrees_with_a_plain_reader_on_all_short_strings(spark):
         "spec",
         notation.label_error(F.col("spec")).alias("error"),
         F.when(notation.label_error(F.col("spec")).isNull(), notation.expand_label_spec(F.col("spec"))).alias("idx"),
+        F.when(notation.label_error(F.col("spec")).isNull(), notation.label_blocks(F.col("spec"))).alias("blocks"),
         notation.well_formed(F.col("spec")).alias("good"),
         notation.label_flag(F.col("spec")).alias("flag"),
         notation.label_bounds(F.col("spec"))[0].alias("low"),
@@ -31,14 +32,25 @@ def test_notation_agrees_with_a_plain_reader_on_all_short_strings(spark):
         assert (r.error is None) == r.good == (want is not None), r
         if want:
             assert (r.idx, r.flag) == (want[0], want[1]), r
+            assert [i for b in r.blocks for i in range(b.low, b.high + 1)] == want[0], r
             assert (r.low, r.high) == (min(want[0]), max(want[0])), r
 
 
+def test_long_ranges_are_exploded_in_blocks(spark):
+    df = spark.createDataFrame([("7-200006*",), ("100000+70000",), ("9-3",), ("12*34",)], "spec string")
+    got = labelling.expand_labels(df, "spec")
+    rows = {r.spec: (r.n, r.low, r.high, r.d) for r in got.groupBy("spec").agg(
+        F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"),
+        F.count_distinct("idx").alias("d")).collect()}
+    assert rows == {"7-200006*": (200000, 7, 200006, 200000), "100000+70000": (70001, 100000, 170000, 70001),
+                    "9-3": (2, 3, 9, 2), "12*34": (2, 12, 34, 2)}
+
+
 @pytest.mark.parametrize(
     "spec,error",
     [("*", "no_number"), ("35*+", "symbol_order"), ("35*-40", "symbol_order"), ("3++4", "double_plus"),
      ("1-2-3", "symbol_order"), ("1+2+3", "too_many_numbers"), ("5 6", "character"), ("35 ", "character"),
-     ("a", "character"), ("1-", "range_needs_two")],
+     ("a", "character"), ("1-", "range_needs_two"), ("9" * 25, "number_too_long")],
 )
 def test_error_names(spark, spec, error):
     df = spark.createDataFrame([(spec,)], "spec string")
@@ -122,6 +134,13 @@ def test_files_to_training_sets(spark, tmp_path):
     assert got == {("one", 3): False, ("one", 7): True, ("one", 8): True, ("two", 5): True,
                    ("two", 10): False, ("two", 11): False, ("two", 12): False}
     assert labelled.count() == 110
+    lines = label_files.scan_label_lines(spark, str(tmp_path))
+    assert prepare.label_problems(files, lines).count() == 0
+    more = spark.createDataFrame([("one", 9, "49+"), ("two", 9, "1-2-3"), ("three", 0, "0")], "dir string, line_no int, raw string")
+    extra = spark.createDataFrame([("four", "/r/four/word_seg_0001_type_00.png", 1)], "dir string, path string, length bigint")
+    found = prepare.label_problems(files.unionByName(extra), lines.unionByName(more)).collect()
+    assert {(r.dir, r.problem) for r in found} == {
+        ("one", "out_of_range"), ("two", "symbol_order"), ("three", "out_of_range"), ("four", "file_index"), ("four", "no_label_file")}
     sets = prepare.slice_sets(labelled, fraction=0.3, seed=1, times=3)
     assert sets.count() == 110 + 3 * 2
     assert sets.where("is_test and copy_no = 0").count() == 33

@@ -31,15 +31,15 @@ def by_part(rows):
 SCHEMA = "p int, o bigint, label int, x bigint"
 
 
-@pytest.mark.parametrize("bits", [1, 3, 6, 20])
-def test_spans_do_not_depend_on_the_chunk_size(spark, bits):
+@pytest.mark.parametrize("bits,hot_rows", [(1, 0), (3, 0), (6, 0), (20, 0), (3, 40), (5, 100), (3, 10**6)])
+def test_spans_do_not_depend_on_the_chunk_size(spark, bits, hot_rows):
     rows = sparse_rows(1)
     want = {
         (p, i, beg, end)
         for p, items in by_part(rows).items()
         for i, (beg, end) in enumerate(brute.spans([(lab, x) for _, lab, x in items]))
     }
-    got = char_spans(spark.createDataFrame(rows, SCHEMA), "p", "o", "label", "x", bits=bits).collect()
+    got = char_spans(spark.createDataFrame(rows, SCHEMA), "p", "o", "label", "x", bits=bits, hot_rows=hot_rows).collect()
     assert len(got) == len(want)
     assert {tuple(r) for r in got} == want
 
@@ -47,14 +47,14 @@ def test_spans_do_not_depend_on_the_chunk_size(spark, bits):
 @pytest.mark.parametrize("parts", [1, 7, 31])
 def test_spans_do_not_depend_on_the_partitioning(spark, parts):
     df = spark.createDataFrame(sparse_rows(2), SCHEMA)
-    a = {tuple(r) for r in char_spans(df.repartition(parts), "p", "o", "label", "x", bits=4).collect()}
+    a = {tuple(r) for r in char_spans(df.repartition(parts), "p", "o", "label", "x", bits=4, hot_rows=30).collect()}
     b = {tuple(r) for r in char_spans(df, "p", "o", "label", "x").collect()}
     assert a == b
 
 
 def test_spans_of_a_part_are_ordered_and_apart(spark):
     df = spark.createDataFrame(sparse_rows(3), SCHEMA)
-    got = by_part([tuple(r) for r in char_spans(df, "p", "o", "label", "x", bits=3).collect()])
+    got = by_part([tuple(r) for r in char_spans(df, "p", "o", "label", "x", bits=3, hot_rows=20).collect()])
     for items in got.values():
         assert [n for n, _, _ in items] == list(range(len(items)))
         assert all(a[2] <= b[1] or a[2] <= b[2] for a, b in zip(items, items[1:]))
@@ -111,11 +111,11 @@ def test_hash_position_is_a_repeatable_shuffle(spark):
     assert a != {r.id: r.pos for r in ordering.hash_position(df, "id", 2).collect()}
 
 
-@pytest.mark.parametrize("bits", [2, 3, 20])
-def test_context_crosses_chunk_borders(spark, bits):
+@pytest.mark.parametrize("bits,hot_rows", [(2, 0), (3, 0), (3, 40), (20, 40), (20, 10**6)])
+def test_context_crosses_chunk_borders(spark, bits, hot_rows):
     rows = sparse_rows(6, parts=10)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sequences.context_features(df, "p", "o", "x", 2, bits=bits).collect()
+    got = sequences.context_features(df, "p", "o", "x", 2, bits=bits, hot_rows=hot_rows).collect()
     assert len(got) == len(rows)
     want = {}
     for p, items in by_part(rows).items():
