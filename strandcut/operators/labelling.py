@@ -61,9 +61,9 @@ def label_out_of_range(labels: DataFrame, counts: DataFrame, part: str | Sequenc
     return joined.where(F.col(idx) >= F.coalesce(F.col(n), F.lit(0))).select(*labels.columns)
 
 
-def last_flags(labels: DataFrame, keys: Sequence[str], line_no: str = "line_no", flag: str = "import_flag") -> DataFrame:
-    """One row per labelled slice; the last row that names it sets the flag."""
-    return labels.groupBy(*keys).agg(F.max_by(flag, line_no).alias(flag))
+def last_flags(labels: DataFrame, keys: Sequence[str], line: str = "line_at", flag: str = "import_flag") -> DataFrame:
+    """One row per labelled slice; the last row, by ``line``, that names it sets the flag."""
+    return labels.groupBy(*keys).agg(F.max_by(flag, line).alias(flag))
 
 
 def apply_labels(

@@ -138,16 +138,18 @@ def ordered_index(df: DataFrame, keys: Sequence[str], name: str = "idx") -> Data
     """Number all rows 0, 1, 2 … in the order of any sortable ``keys``.
 
     The rows are range-partitioned on the keys, so a run of equal leading keys
-    is still spread by the later ones; the row's own number in its task breaks
-    full ties. The sorted rows are checkpointed to the shared folder, which
-    fixes their place for good, and the count of each range partition (one row
-    per partition) tells where it starts.
+    is still spread by the later ones, and copies are spread by a row number.
+    That number is given after sorting each task's rows by content, so a task
+    that is run again gives equal rows equal numbers. The sorted rows are
+    checkpointed to the shared folder, which fixes their place for good, and
+    the count of each range partition (one row per partition) tells where it
+    starts.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
+    shared_dir(df.sparkSession)
     ties = "__tie"
     placed = (
-        df.withColumn(ties, F.monotonically_increasing_id())
+        df.sortWithinPartitions(*keys, F.xxhash64(*df.columns))
+        .withColumn(ties, F.monotonically_increasing_id())
         .repartitionByRange(*[F.col(k) for k in keys], F.col(ties))
         .sortWithinPartitions(*keys, ties)
         .drop(ties)

@@ -1,6 +1,14 @@
 """The operators as queries over the given tables, each with its SQL twin."""
 
-from strandcut.plans.catalog import evaluation, labels, pictures, profiles, segments, vectors  # noqa: F401
+from strandcut.plans.catalog import (  # noqa: F401
+    evaluation,
+    labels,
+    pictures,
+    profiles,
+    segments,
+    sinks,
+    vectors,
+)
 from strandcut.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

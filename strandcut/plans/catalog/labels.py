@@ -78,7 +78,7 @@ def label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def apply_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    flags = marks.select("doc_id", F.col("doc_id").alias("line_no"), (F.col("toxic") == 1).alias("import_flag"))
+    flags = marks.select("doc_id", F.col("doc_id").alias("line_at"), (F.col("toxic") == 1).alias("import_flag"))
     slices = table(spark, sf_dir, "documents").select("doc_id")
     return labelling.apply_labels(slices, labelling.last_flags(flags, ["doc_id"]), "doc_id")
 

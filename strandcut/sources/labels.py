@@ -11,18 +11,24 @@ LABEL_FILE = "labels.txt"
 
 
 def scan_label_lines(spark: SparkSession, root: str, file_name: str = LABEL_FILE) -> DataFrame:
-    """Rows of each directory's label file in file order: ``dir``, ``line_no``, ``raw``."""
-    files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+    """Rows of each directory's label file: ``dir``, ``line_at``, ``raw``.
+
+    ``line_at`` orders the rows of a file: the offset of the file block a row
+    was read from, then its place in the task that read it. Files are read by
+    the line, so a long one may be split over tasks.
+    """
+    rows = (
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", file_name)
         .text(root)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .withColumn("row", F.monotonically_increasing_id())
     )
-    rows = files.select(
-        parent_name(F.col("_metadata.file_path")).alias("dir"),
-        F.posexplode(F.split("value", "\n")).alias("line_no", "raw"),
+    return rows.select(
+        parent_name(F.col("file_path")).alias("dir"),
+        F.struct(F.col("file_block_start").alias("block"), "row").alias("line_at"),
+        F.col("value").alias("raw"),
     )
-    return rows
 
 
 def scan_predicted(spark: SparkSession, root: str, file_name: str = "predict_labels.txt") -> DataFrame:

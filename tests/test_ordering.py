@@ -103,6 +103,18 @@ def test_ordered_index_with_strings_and_ties(spark, parts):
     assert [(r.k, r.l) for r in got] == sorted((k, l) for k, l, _ in rows)
 
 
+def test_ordered_index_spreads_copies(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "copy").otherwise(F.col("id").cast("string")).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordering.ordered_index(df.repartition(6), ["k"], "n")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(r.n for r in got.collect()) == list(range(4000))
+    copies = got.where("k = 'copy'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(copies) > 2
+
+
 def test_hash_position_is_a_repeatable_shuffle(spark):
     df = spark.range(500)
     a = {r.id: r.pos for r in ordering.hash_position(df, "id", 1, digits=1).collect()}
