@@ -22,7 +22,7 @@ HEADLINE = [
     "slice_image", "count_windows", "sequence_pack", "context_features", "contact_sheet", "label_expand",
     "apply_labels", "clean_lines", "dense_index", "train_test_split", "oversample", "shuffle_order",
     "ink_profile", "smooth_profile", "otsu", "accuracy_batch_mean", "weighted_ce", "epoch_summary",
-    "two_views", "score_linear", "mlp_head", "gated_fusion", "contrastive_logits", "info_nce",
+    "picture_ink", "picture_slices", "two_views", "score_linear", "mlp_head", "gated_fusion", "contrastive_logits", "info_nce",
 ]
 
 

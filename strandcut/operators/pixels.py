@@ -20,6 +20,8 @@ from strandcut.operators.profiles import KERNEL, LEVELS
 
 WHITE = 255
 BLACK = 0
+# Lines whose slices are made at once; a slice set is four times its line.
+LINES_PER_BLOCK = 64
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -271,24 +273,30 @@ def slice_pixels(
     )
     names = [f.name for f in keep]
 
+    def cut(a: np.ndarray) -> np.ndarray:
+        """All slices of a picture, (n, h, size)."""
+        if a.shape[1] < size:
+            return np.empty((0, a.shape[0], size), dtype=np.uint8)
+        views = np.lib.stride_tricks.sliding_window_view(a, size, axis=1)[:, ::step]
+        return np.ascontiguousarray(views.transpose(1, 0, 2))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                a = _pixels(row["h"], row["w"], row["px"])
-                begs = np.arange(0, max(a.shape[1] - size + 1, 0), step)
-                if not len(begs):
-                    continue
-                yield pd.DataFrame(
-                    {
-                        **{n: [row[n]] * len(begs) for n in names},
-                        "slice_no": np.arange(len(begs)),
-                        "beg": begs,
-                        "end": begs + size - 1,
-                        "h": a.shape[0],
-                        "w": size,
-                        "px": [np.ascontiguousarray(a[:, b:b + size]).tobytes() for b in begs],
-                    }
-                )[[f.name for f in schema]]
+            for at in range(0, len(batch), LINES_PER_BLOCK):
+                block = batch.iloc[at:at + LINES_PER_BLOCK]
+                cuts = [cut(_pixels(h, w, px)) for h, w, px in zip(block["h"], block["w"], block["px"])]
+                counts = [len(c) for c in cuts]
+                numbers = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
+                made = {n: np.repeat(block[n].to_numpy(), counts) for n in names}
+                made |= {
+                    "slice_no": numbers,
+                    "beg": numbers * step,
+                    "end": numbers * step + (size - 1),
+                    "h": np.repeat(block["h"].to_numpy(), counts),
+                    "w": np.full(len(numbers), size, dtype=np.int32),
+                    "px": [one.tobytes() for c in cuts for one in c],
+                }
+                yield pd.DataFrame(made)
 
     return lines.mapInPandas(run, schema)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
@@ -40,6 +41,35 @@ def score_slices(
     return df.withColumn(out, score(*[doubles(F.col(c)) for c in inputs]))
 
 
+def score_pixels(
+    slices: DataFrame,
+    make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    out: str = "scores",
+    *,
+    mean: float = 0.0,
+    std: float = 1.0,
+    batch_size: int = BATCH_SIZE,
+) -> DataFrame:
+    """Add ``out`` for slices of one size, read straight from their bytes.
+
+    Pixels are made floats and normalised inside the batch, so that a slice
+    crosses into Python once and as bytes.
+    """
+
+    @F.pandas_udf("array<double>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for px in batches:
+            scored: list[np.ndarray] = []
+            for at in range(0, len(px), batch_size):
+                part = px.iloc[at:at + batch_size]
+                x = np.frombuffer(b"".join(part), dtype=np.uint8).reshape(len(part), -1).astype(np.float32)
+                scored.extend(np.asarray(predict((x - mean) / std), dtype=np.float64))
+            yield pd.Series(scored, index=px.index, dtype=object)
+
+    return slices.withColumn(out, score("px"))
+
+
 def linear_model(weight: np.ndarray, bias: np.ndarray) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """One linear layer; ``weight`` is (outputs, inputs)."""
 

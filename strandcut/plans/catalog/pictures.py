@@ -6,11 +6,13 @@ the last row is filled up with white.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcut.functions.vectors import doubles
+from strandcut.functions.geometry import SLICE_HEIGHT, SLICE_WIDTH
 from strandcut.operators import pixels as P
+from strandcut.operators import scoring
 from strandcut.operators.slicing import drop_tall
 from strandcut.plans.catalog.registry import query, table
 
@@ -20,7 +22,8 @@ HEIGHT = 16
 def text_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     latin = F.regexp_replace("text", "[^\\x{0}-\\x{FF}]", "?")
     w = F.ceil(F.length("text") / HEIGHT).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    # As after an image scan: spread the lines before the costly kernels.
+    return table(spark, sf_dir, "documents").repartition("doc_id").select(
         "doc_id",
         F.lit(HEIGHT).alias("h"),
         w.alias("w"),
@@ -110,8 +113,8 @@ def picture_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def picture_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of the gray levels of every slice."""
+    """Every slice of every line, scored by a model that adds up its gray levels."""
     lines = drop_tall(text_pictures(spark, sf_dir), "h")
-    slices = P.to_floats(P.slice_pixels(P.strip_and_pad(lines)))
-    total = F.aggregate(doubles(F.col("pixels")), F.lit(0.0), lambda s, x: s + x)
-    return slices.select("doc_id", "slice_no", "beg", total.alias("brightness"))
+    total = scoring.linear_model(np.ones((1, SLICE_HEIGHT * SLICE_WIDTH)), np.zeros(1))
+    scored = scoring.score_pixels(P.slice_pixels(P.strip_and_pad(lines)), total)
+    return scored.select("doc_id", "slice_no", "beg", F.get("scores", F.lit(0)).alias("brightness"))

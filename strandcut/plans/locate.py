@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from strandcut.functions import geometry as G
 from strandcut.functions import names
-from strandcut.functions.vectors import normalise
 from strandcut.operators import pixels as P
 from strandcut.operators import review, scoring
 from strandcut.operators.spans import char_spans, cut_positions
 
 
-def score(slices: DataFrame, make_predict_fn: Callable, *, height: int = 64, width: int = G.SLICE_WIDTH) -> DataFrame:
+# Fixed values the pixels are normalised with.
+PIXEL_MEAN, PIXEL_STD = 0.485, 0.229
+
+
+def score(slices: DataFrame, make_predict_fn: Callable) -> DataFrame:
     """Slices with their predicted ``label``; pixels leave the row once scored.
 
     Views are not flipped at random here, so a slice always gets the same score.
     """
-    ready = P.to_floats(slices).withColumn("pixels", normalise(F.col("pixels")))
-    scored = scoring.score_slices(ready, ["pixels"], [height * width], make_predict_fn)
-    return scoring.label_slices(scored).drop("pixels")
+    scored = scoring.score_pixels(slices, make_predict_fn, mean=PIXEL_MEAN, std=PIXEL_STD)
+    return scoring.label_slices(scored).drop("px")
 
 
 def line_spans(scored: DataFrame) -> DataFrame:

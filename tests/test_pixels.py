@@ -229,6 +229,22 @@ def test_from_images_to_spans_and_sheets(spark, image_dir, tmp_path):
     assert listed == sorted(r.idx for r in scored.where("dir = 'two' and label = 1").collect())
 
 
+def test_both_ways_of_scoring_agree(spark):
+    from strandcut.functions.vectors import normalise
+    from strandcut.operators import scoring
+
+    rng = np.random.default_rng(3)
+    df = P.slice_pixels(lines_of(spark, **{f"n{i}": rng.integers(0, 256, (6, 300)).astype(np.uint8) for i in range(9)}))
+    model = scoring.linear_model(rng.normal(size=(2, 96)), rng.normal(size=2))
+    a = scoring.score_pixels(df, model, mean=0.485, std=0.229, batch_size=7)
+    floats = P.to_floats(df).withColumn("pixels", normalise(F.col("pixels")))
+    b = scoring.score_slices(floats, ["pixels"], [96], model)
+    got = {(r.image_id, r.slice_no): r.scores for r in a.collect()}
+    want = {(r.image_id, r.slice_no): r.scores for r in b.collect()}
+    assert len(got) == 9 * 72 and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-2) for k in got)
+
+
 def test_corpus_and_upload_slices(spark, image_dir):
     root, _ = image_dir
     lines = images.scan_lines(spark, str(root), prefix="s")
