@@ -157,6 +157,11 @@ def to_line_height(a: np.ndarray) -> np.ndarray:
     return resize_bilinear(a, 128 if a.shape[0] > 80 else 64, a.shape[1])
 
 
+def to_slice_height(a: np.ndarray, height: int = 64) -> np.ndarray:
+    """Resizing the line resizes its slices: rows are mixed within a column only."""
+    return a if a.shape[0] == height else resize_bilinear(a, height, a.shape[1])
+
+
 def fit_height(lines: DataFrame) -> DataFrame:
     """Tall lines to 128 rows, others to 64; the width stays."""
     return map_images(lines, to_line_height)

@@ -19,7 +19,7 @@ from strandcut.operators.ordering import (
 
 # Beyond this many rows a lookup by number indexes the table instead of keeping
 # the leading rows of every task.
-TOP_ROWS = 100_000
+TOP_ROWS = 10_000
 
 
 def sample_cap(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:

@@ -25,24 +25,24 @@ def upload_slices(lines: DataFrame) -> DataFrame:
 def directory_slices(lines: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
     """Lines at model height, smoothed, black and white, white on both sides.
 
-    Slices are brought to one height, so that any of them fits the model. The
-    cleaning of a line is one Python step.
+    Lines are brought to one slice height at the end, so that any slice fits
+    the model. Cleaning a line is one Python step, cutting it another.
     """
     sides = partial(P.pad, top=0, bottom=0, left=side_pad, right=side_pad)
-    clean = P.map_images(lines, P.compose(P.to_line_height, P.blur, P.threshold, sides))
-    return P.fit_slice(P.slice_pixels(clean))
+    clean = P.compose(P.to_line_height, P.blur, P.threshold, P.to_slice_height, sides)
+    return P.slice_pixels(P.map_images(lines, clean))
 
 
-def number_lines(raw: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
+def number_lines(lines: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
     """Add ``first_no`` (number of the line's first slice in its directory) and ``line_w``.
 
-    Numbers come from the widths, a few bytes per image. Give this the rows of
-    the image source, before pixels go to Python: slices inherit the columns of
-    their line, and ``first_no + slice_no`` is the slice's number.
+    Numbers come from the widths, a few bytes per image. Give this lines that
+    were written to Parquet: reading widths then reads no pixels. Slices inherit
+    the columns of their line, and ``first_no + slice_no`` is a slice's number.
     """
-    firsts = number_images(raw, "dir", "image_id", "w", pad=side_pad)
+    firsts = number_images(lines, "dir", "image_id", "w", pad=side_pad)
     firsts = firsts.select("image_id", "first_no", F.col("w").alias("line_w"))
-    return raw.join(firsts, "image_id")
+    return lines.join(firsts, "image_id")
 
 
 def with_index(slices: DataFrame) -> DataFrame:

@@ -190,8 +190,8 @@ def ink_model():
 
 def test_from_images_to_spans_and_sheets(spark, image_dir, tmp_path):
     root, _ = image_dir
-    raw = images.scan_raw_lines(spark, str(root), prefix="s")
-    lines = P.gray_lines(extract.number_lines(raw)).cache()
+    tables.write_dataset(images.scan_lines(spark, str(root), prefix="s"), str(tmp_path / "out" / "lines"))
+    lines = extract.number_lines(tables.read_dataset(spark, str(tmp_path / "out" / "lines"))).cache()
     slices = extract.with_index(extract.directory_slices(lines))
     scored = locate.score(slices, ink_model()).cache()
 
@@ -245,6 +245,14 @@ def test_both_ways_of_scoring_agree(spark):
     assert all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-2) for k in got)
 
 
+def test_resizing_a_line_resizes_its_slices(spark):
+    rng = np.random.default_rng(5)
+    df = lines_of(spark, a=rng.integers(0, 256, (128, 61)).astype(np.uint8), b=rng.integers(0, 256, (64, 30)).astype(np.uint8))
+    one = {(r.image_id, r.slice_no): r.px for r in P.fit_slice(P.slice_pixels(df)).collect()}
+    two = {(r.image_id, r.slice_no): r.px for r in P.slice_pixels(P.map_images(df, P.to_slice_height)).collect()}
+    assert one == two and len(one) == 12 + 4
+
+
 def test_corpus_and_upload_slices(spark, image_dir):
     root, _ = image_dir
     lines = images.scan_lines(spark, str(root), prefix="s")

@@ -135,6 +135,16 @@ def test_contrast_by_hand(spark):
     assert contrast.info_nce(df, "q", "k", none).agg(F.max(F.abs("loss"))).first()[0] == pytest.approx(0)
 
 
+@pytest.mark.parametrize("size", [1, 7, 500, 5000])
+def test_bank_of_gappy_arrival_numbers(spark, size):
+    rnd = random.Random(9)
+    seqs = rnd.sample(range(10_000_000), 600) + list(range(20_000_000, 20_000_400))
+    df = spark.createDataFrame([(s,) for s in seqs], "seq bigint").repartition(5)
+    got = contrast.key_bank(df, "seq", size).collect()
+    assert sorted(r.seq for r in got) == sorted(seqs)[-size:]
+    assert all(r.slot == r.seq % size for r in got)
+
+
 def test_views_and_flips(spark):
     vec = [float(i) for i in range(8)]
     df = spark.range(400).withColumn("v", F.array(*[F.lit(x) for x in vec]))
