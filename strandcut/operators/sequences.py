@@ -92,25 +92,42 @@ def context_features(
     value: str,
     k: int = 2,
     *,
+    fill: Column | None = None,
     bits: int = CHUNK_BITS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add the ``k`` values before and after each slice; 0 beyond the ends.
+    """Add the ``k`` values before and after each slice; ``fill`` (0) beyond the ends.
 
     Partitions of up to ``hot_rows`` rows take one ordinary window. The rows of
     larger ones are numbered and looked at chunk by chunk.
     """
-    part = as_list(part)
+    part, fill = as_list(part), F.lit(0) if fill is None else fill
     if not part:
         placed = running_position(df, None, order, "__at", bits=bits)
-        return neighbours(placed, None, "__at", [value], k, fill=F.lit(0), bits=bits).drop("__at")
+        return neighbours(placed, None, "__at", [value], k, fill=fill, bits=bits).drop("__at")
     hot = hot_parts(df, part, hot_rows)
     placed = running_position(df.join(hot, part, "left_semi"), part, order, "__at", bits=bits, hot_rows=None)
-    large = neighbours(placed, part, "__at", [value], k, fill=F.lit(0), bits=bits).drop("__at")
-    small = with_neighbours(df.join(hot, part, "left_anti"), Window.partitionBy(*part).orderBy(order), [value], k, F.lit(0))
+    large = neighbours(placed, part, "__at", [value], k, fill=fill, bits=bits).drop("__at")
+    along = Window.partitionBy(*part).orderBy(order)
+    small = with_neighbours(df.join(hot, part, "left_anti"), along, [value], k, fill)
     return small.unionByName(large)
 
 
+def context_vectors(
+    df: DataFrame, part: str | Sequence[str] | None, order: str, vec: str, dim: int, k: int = 1, **options
+) -> DataFrame:
+    """Add ``context``: each encoding between its ``k`` neighbours on both sides.
+
+    Zeros stand in beyond the ends. This is what a classifier that looks both
+    ways along a line is given.
+    """
+    zeros = F.array_repeat(F.lit(0.0), dim).cast(df.schema[vec].dataType)
+    seen = context_features(df, part, order, vec, k, fill=zeros, **options)
+    before = [F.col(f"{vec}_prev{i}") for i in range(k, 0, -1)]
+    after = [F.col(f"{vec}_next{i}") for i in range(1, k + 1)]
+    return seen.select(*df.columns, F.concat(*before, F.col(vec), *after).alias("context"))
+
+
 def batch_ids(df: DataFrame, order: str, size: int = 256, *, bits: int = CHUNK_BITS) -> DataFrame:
     """Number consecutive batches of ``size`` rows; the last may be short."""
     placed = running_position(df, None, order, "__at", bits=bits)

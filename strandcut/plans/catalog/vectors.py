@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcut.functions import vectors as V
-from strandcut.operators import contrast, metrics, sampling, scoring
+from strandcut.operators import contrast, metrics, sampling, scoring, sequences
 from strandcut.plans.catalog.registry import SEED, query, table
 
 VECTORS_SQL = "(SELECT vec_id, label, embedding::DOUBLE[] AS vec FROM embeddings)"
@@ -240,6 +240,38 @@ def info_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round("loss", 4).alias("loss"))
 
 
+CONTEXT_SQL = f"""
+    (SELECT vec_id, list_concat(list_concat(coalesce(lag(vec) OVER w, z), vec), coalesce(lead(vec) OVER w, z)) AS vec
+     FROM (SELECT *, list_transform(range(64), lambda j: 0.0::DOUBLE) AS z FROM {VECTORS_SQL})
+     WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+"""
+
+
+@query("context_vectors", long_sql("vec_id", "vec", CONTEXT_SQL, 5))
+def context_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label, in order of their number, as the slices of a line."""
+    seen = sequences.context_vectors(embeddings(spark, sf_dir), "label", "vec_id", "vec", 64)
+    return long_form(seen, ["vec_id"], F.col("context"), 5)
+
+
+@query(
+    "sequence_head",
+    f"""
+    SELECT vec_id, round(z[1], 4) AS z0, round(z[2], 4) AS z1 FROM (
+        SELECT vec_id, {layer_sql('h2', 2, 16, 4.0)} AS z FROM (
+            SELECT vec_id, list_transform({layer_sql('h1', 16, 64, 8.0)}, lambda y: greatest(y, 0.0)) AS h2 FROM (
+                SELECT vec_id, list_transform({layer_sql('vec', 64, 192, 8.0)}, lambda y: greatest(y, 0.0)) AS h1
+                FROM {CONTEXT_SQL})))
+    """,
+)
+def sequence_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier head of the sequence variant on vectors with their neighbours."""
+    seen = sequences.context_vectors(embeddings(spark, sf_dir), "label", "vec_id", "vec", 64)
+    layers = [weights(64, 192, 8.0), weights(16, 64, 8.0), weights(2, 16, 4.0)]
+    scored = scoring.score_slices(seen, ["context"], [192], scoring.mlp_head(layers))
+    return scored.select("vec_id", *[F.round(F.get("scores", F.lit(i)), 4).alias(f"z{i}") for i in range(2)])
+
+
 @query("fit_classifier")
 def fit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the train part, report on the test part (no SQL twin: iterative)."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcut.functions import names, notation
 from strandcut.operators import labelling, metrics, sampling, scoring, sequences
 from strandcut.operators.ordering import ordered_index
+from strandcut.schemas import METRICS
 
 
 def numbered_files(files: DataFrame) -> DataFrame:
@@ -77,3 +78,10 @@ def evaluate(model, test: DataFrame, features: str, label: str, epoch: int) -> D
     )
     tags = {"accuracy": "eval/acc", "loss": "eval/loss", "recall": "eval/recall", "precision": "eval/precision"}
     return metrics.metric_long(summary, "epoch", tags)
+
+
+def training_log(spark: SparkSession, model, first_step: int = 0) -> DataFrame:
+    """Loss after each iteration of the fit, as metric rows."""
+    losses = model.summary.objectiveHistory
+    rows = [("train/loss", first_step + i, float(v)) for i, v in enumerate(losses)]
+    return spark.createDataFrame(rows, METRICS)

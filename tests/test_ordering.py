@@ -154,6 +154,17 @@ def test_only_hot_parts_are_cut(spark, hot_rows, chunk):
             assert [n for _, n in sorted(items)] == list(range(len(items)))
 
 
+@pytest.mark.parametrize("hot_rows", [0, 20, 10**6])
+def test_context_vectors(spark, hot_rows):
+    rows = [(p, o, [float(p), float(o)]) for p, n in ((1, 30), (2, 1), (3, 9)) for o in range(n)]
+    df = spark.createDataFrame(rows, "p int, o bigint, v array<float>")
+    got = sequences.context_vectors(df, "p", "o", "v", 2, 2, bits=2, hot_rows=hot_rows).collect()
+    known = {(p, o): v for p, o, v in rows}
+    assert len(got) == 40
+    for r in got:
+        assert r.context == [x for d in (-2, -1, 0, 1, 2) for x in known.get((r.p, r.o + d), [0.0, 0.0])]
+
+
 @pytest.mark.parametrize("n", [0, 1, 79, 80, 81, 120, 121, 333])
 @pytest.mark.parametrize("include_last", [False, True])
 def test_count_windows(spark, n, include_last):

@@ -173,6 +173,8 @@ def test_classifier_saves_and_logs(spark, tmp_path):
     rows = [(i, int(v[0] > 0), v.tolist()) for i, v in enumerate(rng.normal(size=(300, 3)))]
     df = spark.createDataFrame(rows, "i bigint, y int, v array<double>")
     model = scoring.train_slice_classifier(df, "v", "y")
+    curve = [r.value for r in prepare.training_log(spark, model).orderBy("step").collect()]
+    assert len(curve) > 2 and curve[-1] < curve[0]
     assert tables.save_model(model, str(tmp_path), 0) is None
     assert tables.save_model(model, str(tmp_path), 3, every=2) is None
     path = tables.save_model(model, str(tmp_path), 4, every=2)
