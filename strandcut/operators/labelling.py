@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandcut.functions import names, notation
-from strandcut.operators.ordering import as_list, ordered_index, prefix_sums, running_position
+from strandcut.operators.ordering import as_list, hot_parts, ordered_index, prefix_sums, running_position
 
 
 def clean_label_lines(df: DataFrame, raw: str, out: str = "spec") -> DataFrame:
@@ -97,7 +97,8 @@ def dense_index_violations(df: DataFrame, part: str | Sequence[str], idx: str) -
     part = as_list(part)
     counted = df.groupBy(*part, idx).agg(F.count(F.lit(1)).alias("n_rows"))
     # Indexes count the files of a directory, so two levels are plenty.
-    placed = prefix_sums(counted, part, idx, {"__below": F.col("n_rows")}, levels=2)
+    hot = hot_parts(df, part)
+    placed = prefix_sums(counted, part, idx, {"__below": F.col("n_rows")}, levels=2, hot=hot)
     hit = (F.col("__below") <= F.col(idx)) & (F.col(idx) < F.col("__below") + F.col("n_rows"))
     return placed.select(*part, idx, "n_rows", (F.col("n_rows") - hit.cast("bigint")).alias("n_bad")).where(
         F.col("n_bad") > 0

@@ -1,12 +1,13 @@
 """Ordered running values that never put one large group into one task.
 
 A plain ``Window.partitionBy(dir).orderBy(idx)`` sorts a whole directory in
-one task, and an unpartitioned window sorts the whole table in one. Here the
-order is cut into chunks first. Because the order column is an integer that is
-unique within its partition, a chunk of ``2**bits`` consecutive values holds at
-most ``2**bits`` rows, however hot the partition is. The running value is taken
-inside each chunk; one small row per chunk carries what the chunks before it
-add up to, and is joined back on the same keys, so the data is shuffled once.
+one task, and an unpartitioned window sorts the whole table in one. Here large
+groups are cut into chunks of the order first. Because the order column is an
+integer that is unique within its partition, a chunk of ``2**bits`` consecutive
+values holds at most ``2**bits`` rows, however hot the partition is. The running
+value is taken inside each chunk; one small row per chunk carries what the
+chunks before it add up to, and is joined back on the same keys, so the data is
+shuffled once.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ def prefix_sums(
     carry_bits: int = CARRY_BITS,
     levels: int = LEVELS,
     hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums of ``sums`` over ``order`` within ``part``.
 
@@ -69,7 +71,8 @@ def prefix_sums(
     partition.
 
     Only partitions of more than ``hot_rows`` rows are cut; the others are one
-    chunk and need no carry (None cuts all, and so do ``totals``).
+    chunk and need no carry (None cuts all, and so do ``totals``). ``hot`` gives
+    the result of :func:`hot_parts` where counting ``df`` itself would be dear.
 
     The chunk rows are summed up the same way, ``levels`` deep, ``carry_bits``
     at a time. By default an ordered group has at most ``2**16`` data rows or
@@ -80,7 +83,7 @@ def prefix_sums(
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
     split = bool(part) and not totals and hot_rows is not None
     if split:
-        df = df.join(hot_parts(df, part, hot_rows), part, "left")
+        df = df.join(hot_parts(df, part, hot_rows) if hot is None else hot, part, "left")
         cuts = [F.when(F.col("__hot"), c) for c in cuts]
     cut_names = [f"__cut{levels}_{i}" for i in range(len(cuts))]
     tagged = df.withColumns(dict(zip(cut_names, cuts))).withColumns(
@@ -134,6 +137,34 @@ def running_position(
     return prefix_sums(df, part, order, {name: F.lit(1).cast("bigint")}, **options)
 
 
+def number_copies(
+    df: DataFrame,
+    part: str | Sequence[str],
+    order: Sequence[str],
+    name: str = "pos",
+    *,
+    hot_rows: int = HOT_ROWS,
+    **options,
+) -> DataFrame:
+    """Number rows along ``order`` within ``part`` where equal rows may abound.
+
+    Returns ``part``, ``order`` and the number. Copies are counted before the
+    shuffle and written out again at the end, in blocks, so they are never
+    ordered or held together.
+    """
+    part, order = as_list(part), as_list(order)
+    counted = df.groupBy(*part, *order).agg(F.count(F.lit(1)).alias("__copies"))
+    hot = hot_parts(df, part, hot_rows)
+    placed = prefix_sums(counted, part, order, {"__first": F.col("__copies")}, hot=hot, **options)
+    last = F.col("__copies") - 1
+    block = 1 << CHUNK_BITS
+    step = F.lit(block).cast("bigint")
+    blocks = placed.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), last, step)))
+    number = F.explode(F.sequence("__from", F.least(F.col("__from") + block - 1, last)))
+    rows = blocks.select(*part, *order, "__first", number.alias("__copy"))
+    return rows.select(*part, *order, (F.col("__first") + F.col("__copy")).alias(name))
+
+
 def ordered_index(df: DataFrame, keys: Sequence[str], name: str = "idx") -> DataFrame:
     """Number all rows 0, 1, 2 … in the order of any sortable ``keys``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandcut.functions import geometry as G
 from strandcut.functions import names
 from strandcut.operators import metrics, review, sampling, sequences, slicing, spans
-from strandcut.operators.ordering import running_position
+from strandcut.operators.ordering import chunk_of, number_copies, running_position
 from strandcut.plans.catalog.registry import (
     EVENTS_SQL,
     is_separator,
@@ -115,8 +115,8 @@ def slice_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     # A crowded order is cut by line number and by ranges of the part number.
-    cuts = [F.col("l_linenumber"), F.shiftright("l_partkey", 16)]
-    return running_position(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "idx", chunk=cuts)
+    cuts = [F.col("l_linenumber"), chunk_of("l_partkey")]
+    return number_copies(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "idx", chunk=cuts)
 
 
 @query(

@@ -103,6 +103,19 @@ def test_ordered_index_with_strings_and_ties(spark, parts):
     assert [(r.k, r.l) for r in got] == sorted((k, l) for k, l, _ in rows)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 10, 10**6])
+def test_numbers_of_copies(spark, hot_rows):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 2), rnd.randint(0, 40), rnd.randint(0, 3)) for _ in range(900)] + [(1, 7, 1)] * 70_000
+    df = spark.createDataFrame(rows, "p int, a bigint, b bigint").repartition(8)
+    cuts = [ordering.chunk_of("a", 3), F.col("a"), F.col("b")]
+    got = ordering.number_copies(df, "p", ["a", "b"], "n", chunk=cuts, hot_rows=hot_rows).collect()
+    assert len(got) == len(rows)
+    for p, items in by_part([(r.p, r.n, r.a, r.b) for r in got]).items():
+        assert [i[0] for i in items] == list(range(len(items)))
+        assert [i[1:] for i in items] == sorted((a, b) for q, a, b in rows if q == p)
+
+
 def test_ordered_index_spreads_copies(spark):
     df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, "copy").otherwise(F.col("id").cast("string")).alias("k"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
