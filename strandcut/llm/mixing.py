@@ -13,6 +13,7 @@ from strandcut.llm.registry import query, table
 
 CHUNK_ROWS = 256
 REPEATS = 3
+SEED = 11
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], repeats: int = REPEATS) -> DataFrame:
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], repeats: int = REPE
 
 
 def queue(
-    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), *, repeats: int = REPEATS, seed: int = 11,
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), *, repeats: int = REPEATS, seed: int = SEED,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> tuple[DataFrame, DataFrame, int]:
     """The shuffled documents with their place in their source, and all queued copies in global order.
@@ -129,6 +130,31 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **options) -> DataF
     return taken.select(*kept, "taken").unionByName(rest.select(*kept, F.lit(0).cast("bigint").alias("taken")))
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy taken, in no order; a part is cut after its last word.
+
+    ``n_chars``, where there, follows. Rows equal in id and text count as one
+    document queued several times, and one of them gives the other columns.
+    """
+    placed, served, _ = queue(docs, weights, **options)
+    copies = served.where("words > 0").groupBy("key", "words").agg(F.count(F.lit(1)).alias("times"))
+    seed = options.get("seed", SEED)
+    keyed = docs.withColumn(
+        "__key", shuffle_key(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    ).dropDuplicates(["__key"])
+    taken = keyed.join(copies, keyed["__key"] == copies["key"]).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("times")))
+    )
+    text = F.when(
+        F.col("words") < count_words(F.col("text")),
+        F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int(words)), '')"),
+    ).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return taken.withColumns(changed).select(*docs.columns)
+
+
 @query("op3_mixing")
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(

@@ -1,6 +1,6 @@
 """All queries of the subpackage, registered on import."""
 
-from strandcut.llm import fingerprints, licences, mixing, sharding, urls  # noqa: F401
+from strandcut.llm import fingerprints, jaccard, licences, mixing, pieces, pii, quality, sharding, urls, vectors  # noqa: F401
 from strandcut.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
