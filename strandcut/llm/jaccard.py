@@ -244,21 +244,20 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = _Words(), held.value
+        words, bits, seen = _Words(), held.value, set()
         for batch in batches:
             at = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
             for part in slices(batch, 1):
                 some = [shingle_set(t, words, width).tobytes() for t in part.column(1).to_pylist()]
+                new = {c: s for c, s in ((xxhash.xxh3_128_digest(s), s) for s in some) if c not in seen}
+                seen.update(new)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(s) for s in some], pa.binary()), part.column(2), pa.array(some, pa.binary())],
-                    names=["cid", "doc_id", "elements"],
+                    [pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], names=["cid", "elements"]
                 )
 
-    rows = docs.select(spot("doc_id").alias("at"), "text", "doc_id").mapInArrow(
-        sets, "cid binary, doc_id long, elements binary"
-    )
-    return rows.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["cid"]).select("cid", "elements")
+    # Sets stay where they are made. What the map lets through besides is in no pair.
+    return docs.select(spot("doc_id").alias("at"), "text").mapInArrow(sets, "cid binary, elements binary")
 
 
 def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
