@@ -364,16 +364,24 @@ def jaccard_groups(
         links = links.unionByName(fresh)
         left = stored(open_lists(with_components(left.drop("comp"))), "jaccard-open")
 
-    index_length = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1
-    x = left.where(F.col("pos") <= index_length).select("token", *[F.col(c).alias(f"x{c}") for c in ("cid", "n", "pos", "comp")])
-    y = left.select("token", *[F.col(c).alias(f"y{c}") for c in ("cid", "n", "pos", "comp")])
+    index_length = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
+    # The part counts come along, so that the join itself rules out what they can.
+    counted = left.join(
+        classes.select("cid", F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda i: F.conv(
+            F.hex(F.substring("sketch", i, F.lit(1))), 16, 10).cast("int")).alias("parts")), "cid"
+    )
+    sides = ("cid", "n", "pos", "comp", "parts")
+    x = counted.where(F.col("pos") < index_length).select("token", *[F.col(c).alias(f"x{c}") for c in sides])
+    y = counted.select("token", *[F.col(c).alias(f"y{c}") for c in sides])
+    apart = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
     # The first shared element of a similar pair lies where enough others can follow.
-    rest = 1 + F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos")) - 1
+    rest = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
+    needed = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
     pairs = x.join(y, "token").where(
         (F.col("xcomp") != F.col("ycomp")) & (F.col("xn") <= F.col("yn"))
         & (100 * F.col("xn") >= percent * F.col("yn"))
         & ((100 + percent) * rest >= percent * (F.col("xn") + F.col("yn")))
-        & (F.lit(boundary) < F.col("yn"))
+        & (F.lit(boundary) < F.col("yn")) & (apart <= F.col("xn") + F.col("yn") - 2 * needed)
     ).select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()
     fresh = stored(_similar(stored(_by_sketch(pairs, classes, percent), "jaccard-pairs"), sets, percent), "jaccard-links")
     links = links.unionByName(fresh)

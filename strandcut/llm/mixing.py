@@ -137,17 +137,19 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **optio
     document queued several times, and one of them gives the other columns.
     """
     placed, served, _ = queue(docs, weights, **options)
-    copies = served.where("words > 0").groupBy("key", "words").agg(F.count(F.lit(1)).alias("times"))
-    seed = options.get("seed", SEED)
-    keyed = docs.withColumn(
-        "__key", shuffle_key(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    ).dropDuplicates(["__key"])
-    taken = keyed.join(copies, keyed["__key"] == copies["key"]).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("times")))
+    copies = served.where("words > 0").groupBy(F.col("key").alias("__key"), F.col("words").alias("__words")).agg(
+        F.count(F.lit(1)).alias("__times")
     )
+    key = shuffle_key(
+        F.lit(options.get("seed", SEED)), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))
+    )
+    taken = (
+        docs.withColumn("__key", key).dropDuplicates(["__key"]).join(copies, "__key")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    )
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
     text = F.when(
-        F.col("words") < count_words(F.col("text")),
-        F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int(words)), '')"),
+        F.col("__words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
     ).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:

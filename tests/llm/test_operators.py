@@ -1,0 +1,402 @@
+"""The operators against plain Python, round trips and planted cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from compare import connect, differences
+from strandcut.llm import (
+    fingerprints, graph, jaccard, licences, mixing, pieces, pii, quality, sharding, urls, vectors,
+)
+from strandcut.llm.queries import ORACLES, QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, tmp_path_factory):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def odd_docs(spark):
+    """Nulls, empty and long texts, copies, ties and rows that repeat."""
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    rows = [
+        (1, None, "en", "a", None), (2, "", "en", None, 0), (3, "one", None, "a", 3), (4, long, "en", "b", len(long)),
+        (5, long + " tail", "en", "b", None), (None, "no id at all here", "de", "a", 5), (6, "é ß 日本 😀", "fr", "c", 8),
+        (7, "the apache license and the MIT License", "en", "c", 1), (7, "the apache license and the MIT License", "en", "c", 1),
+        (8, "mail bob@example.org or +1 (499) 555-6503", "en", None, 1), (-9, "one", "en", "a", 3),
+    ]
+    return frame(spark, rows).withColumns({c: F.lit(1) for c in (
+        "key", "rank", "host", "cut", "n", "cid", "score_", "words", "size", "span", "chunk", "row", "place", "part")})
+
+
+def empty(spark):
+    return frame(spark, [])
+
+
+def plain(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_agrees_with_sql(spark, sf_dir, name):
+    assert differences(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]) == []
+
+
+# 1: urls
+
+
+def judged(spark, addresses):
+    pages = spark.createDataFrame(list(enumerate(addresses)), "page_id long, url string").withColumn("rule", F.lit("x"))
+    return {r.page_id: r for r in urls.judge_urls(pages, urls.rule_table(spark)).collect()}
+
+
+def test_urls_by_brute_force(spark):
+    rng = random.Random(1)
+    hosts = ["net", "example.net", "www.Example.NET", "example.com", "a.b.example.com", "org", "x.org", "xnet", ""]
+    paths = ["", "/", "/en", "/en/", "/en/x/y", "/de/?q", "/fr/#f", "/fr", "?x", "/de/a;b", "//fr/"]
+    addresses = [None, "", "no scheme", "://", "http://a://b.net/"] + [
+        rng.choice(["http", "", "x"]) + "://" + rng.choice(hosts) + rng.choice(paths) for _ in range(300)
+    ]
+    got = judged(spark, addresses)
+    assert len(got) == len(addresses)
+    for i, url in enumerate(addresses):
+        rest = (url or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fit = [(h + p, a) for a, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fit, key=lambda x: len(x[0]), default=(None, "allow"))
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), url
+
+
+def test_urls_with_rules_that_end_inside_a_name_and_empty_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/dir/file.txt"), (2, "http://a.b/dir/filter"), (3, "http://a.b")], "page_id long, url string")
+    rules = spark.createDataFrame([("block", "b", "/dir/fil"), ("allow", "a.b", "/dir/file."), ("block", "a.b", "")], "action string, host string, path string")
+    assert {r.page_id: r.rule for r in urls.judge_urls(pages, rules).collect()} == {1: "a.b/dir/file.", 2: "b/dir/fil", 3: "a.b"}
+    assert urls.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+# 2: pieces
+
+
+def test_pieces_agree_with_the_library():
+    import sentencepiece
+
+    path = pieces.model_path()
+    library, encode = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    rng = random.Random(2)
+    texts = ["", " ", "\n", "a  b", "▁x ▁▁", "日本 😀", "x" * 3000, "<s> <0x41>", "\x00\x01"] + [
+        "".join(rng.choice("abth \n▁é😀\t") for _ in range(rng.randint(1, 60))) for _ in range(400)
+    ]
+    out = encode([(i, t) for i, t in enumerate(texts)] + [(-1, None)])
+    for (_, n, ids, decoded), text in zip(out, [*texts, ""]):
+        want = library.encode(text)
+        assert (n, ids, decoded) == (len(want), ",".join(map(str, want)), library.decode(want))
+        assert encode.v.decode_ids(want) == decoded
+
+
+def test_piece_digests(spark):
+    got = {r.doc_id: r for r in pieces.encode_texts(odd_docs(spark), pieces.model_path(), digests=True).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert (got[1].n_tokens, got[1].ids_sha256, got[2].decoded_sha256) == (0, nothing, nothing)
+    assert pieces.encode_texts(empty(spark), pieces.model_path()).count() == 0
+
+
+# 3: mixing
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.randint(0, 60)), "en", rng.choice("aaaaaabcde") if i % 9 else None, 0) for i in range(700)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    sizes = Counter()
+    for i, text, _, source, _ in rows:
+        sizes[source] += len(text.split())
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight, total = {s: 1 + k % 3 for k, s in enumerate(names)}, sum(sizes.values())
+    full: set = set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in full)
+        unit = left / sum(weight[s] for s in names if s not in full)
+        over = {s for s in names if s not in full and weight[s] * unit > 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    taken = Counter()
+    for r in got:
+        want = 3 * sizes[r.source] if r.source in full else weight[r.source] * unit
+        assert r.target == pytest.approx(want) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    assert sum(taken.values()) == total
+    assert all(abs(taken[s] - (3 * sizes[s] if s in full else weight[s] * unit)) <= len(names) for s in names)
+    assert plain(mixing.mix(frame(spark, rows[::-1]).repartition(5))) == plain(mixing.mix(frame(spark, rows)))
+
+
+def test_mixing_odd_rows(spark):
+    assert mixing.mix(odd_docs(spark)).count() == 11
+    assert mixing.mix(empty(spark)).count() == 0
+    mixed = mixing.mixed_documents(odd_docs(spark))
+    assert mixed.columns == odd_docs(spark).columns
+    words = sum(len((r.text or "").split()) for r in mixed.collect())
+    assert words == mixing.mix(odd_docs(spark)).agg(F.sum("taken")).first()[0]
+
+
+# 4: licences
+
+
+def test_licences(spark):
+    text = "GNU General Public License; MIT\nlicense... cc  by cc-by! Mozilla public LICENSE apache licenses"
+    docs = frame(spark, [(1, text, "", "", 0), (2, "mit", "", "", 0), (3, None, "", "", 0)])
+    got = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word) == (4, 0, 8)
+    assert (got[1].base_labels, got[1].labels) == ("cc-by,gpl,mit", "cc-by,gpl,mit,mpl")
+    assert (got[2].n_words, got[2].n_base, got[2].first_word, got[2].labels, got[2].score) == (1, 0, None, "", 0.0)
+    assert got[3].n_words == 0
+    assert licences.scan_licences(odd_docs(spark)).count() == 11
+    assert licences.scan_licences(empty(spark)).count() == 0
+
+
+# 5: quality
+
+
+def test_quality_on_held_out_labels(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows, labels = [], []
+    for i in range(600):
+        good = rng.random() < 0.7
+        words = [word() for _ in range(rng.randint(5, 80))]
+        text = " ".join(words) if good else " ".join(w.upper() + "!!" for w in words)
+        rows.append((i, text, "en", rng.choice("ab") if good else "c", len(text)))
+        if i < 400:
+            labels.append((i, int(good), 0))
+        rows[-1] = (*rows[-1], good)
+    docs = frame(spark, [r[:5] for r in rows])
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.judge(docs, known).collect()}
+    assert sum(got[i] == rows[i][5] for i in range(400, 600)) >= 195
+    assert quality.judge(odd_docs(spark), known.limit(0)).where("keep").count() == 11
+    model = quality.train(docs, known)
+    assert quality.score_documents(odd_docs(spark), model).count() == 11
+    assert quality.score_documents(empty(spark), model).count() == 0
+
+
+# 6: near duplicates
+
+
+def brute_groups(rows, percent=85, width=4):
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        k = min(width, len(words))
+        sets[i] = {tuple(words[j:j + k]) for j in range(len(words) - k + 1)} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_jaccard_groups_by_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(0, None), (1, ""), (2, "a"), (3, "A "), (4, "a b c")]
+    for length in [*range(3, 30), 60, 120, 400]:
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(length)]
+        for _ in range(5):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, length // 30))):
+                at = rng.randint(0, len(words) - 1)
+                words[at:at + 1] = rng.choice([[], ["x"], [words[at], "y"]])
+            if words:
+                rows.append((len(rows) + 10, " ".join(words + rng.choice([[], ["tail"]]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    got = jaccard.jaccard_groups(odd_docs(spark)).collect()
+    assert len(got) == 11
+    by = {r.doc_id: r.component_id for r in got}
+    assert (by[3], by[4], by[5], by[1], by[None]) == (-9, 4, 4, 1, None)
+    assert jaccard.jaccard_groups(empty(spark)).count() == 0
+
+
+def test_subset_keys_meet_exactly_when_similar():
+    rng = random.Random(7)
+    for _ in range(300):
+        n = rng.randint(3, 14)
+        a = rng.sample(range(100), n)
+        b = a[rng.randint(0, 2):] + rng.sample(range(100, 200), rng.randint(0, 2))
+        keys = [set(jaccard.subset_keys(sorted(x), 18)) for x in (a, b)]
+        small, large = sorted(keys, key=lambda k: len(a) if k is keys[0] else len(b))
+        met = {k for k, lower in small if lower} & {k for k, _ in large}
+        assert bool(met) == (100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b)))
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.comp for r in graph.components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# 7: shards
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 5, 41, 1000])
+def test_shards_are_a_permutation(spark, rows):
+    docs = spark.range(rows).select(F.col("id").alias("doc_id"), F.concat(F.lit("é"), "id").alias("text"))
+    got = sharding.shard_rows(docs.repartition(3), 40).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert (r.size, r.text_crc32) == (len(f"é{r.doc_id}".encode()) + 16, zlib.crc32(f"é{r.doc_id}".encode()))
+    assert len(got) == rows and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert not rows or max(map(len, slots.values())) - (min(map(len, slots.values())) if len(slots) == 40 else 0) <= 1
+    if rows:
+        back = spark.range(rows).select("id", sharding.row_at(sharding.permuted(F.col("id"), rows), rows).alias("b"))
+        assert back.where("id <> b").count() == 0
+
+
+def test_shards_odd_rows(spark):
+    assert sharding.shard_rows(odd_docs(spark), 3).count() == 11
+
+
+# 8: fingerprints
+
+
+def test_fingerprints(spark):
+    rng = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 90))) for _ in range(120)]
+    texts[5] = texts[50]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string"), high=0.5).collect()}
+    for i, text in rows:
+        after = texts[i - 1] if i else texts[-1]
+        n = len(text) // 3
+        edited = text[:len(text) - n] + after[:n]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+    assert got[5].fingerprint == got[50].fingerprint
+    mean = lambda c: np.mean([getattr(r, c) for r in got.values()])
+    assert mean("near_edited") > 3 * mean("near_next")
+
+
+def test_fingerprints_odd_rows(spark):
+    assert fingerprints.fingerprint_edits(odd_docs(spark)).count() == 11
+    assert fingerprints.fingerprint_edits(empty(spark)).count() == 0
+
+
+# 9: personal data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 14 <= len(digits) <= 19 and sum(
+                    sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0,
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(s for _, _, s in sorted(out))
+
+
+def test_pii_against_the_plain_patterns():
+    rng = random.Random(9)
+    bits = ["a@b.co", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (499) 555-6503", "+", "é", " ",
+            "-", "5", "x_y%z@q-r.s.t", "10.0.0.1.7.8.9", "378282246310005", "00000000000000", "😀", "0001.02.3.4"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        base = [s for s in pii.find(text) if s[2] in pii.BASE]
+        assert pii.joined(base) == plain_spans(text), text
+
+
+def test_pii_checks_context_and_masks(spark):
+    found = pii.find("iban GB82 WEST 1234 5698 7654 32, GB83WEST12345698765432, my ssn 123-45-6789, " + "x" * 50 + " no. 123-45-6789")
+    assert [s[2] for s in found] == ["iban", "ssn"] and found[0][3] > 0.9
+    assert pii.masked("to a@b.co now", pii.find("to a@b.co now")) == "to [EMAIL] now"
+    assert pii.masked(None, []) is None
+    assert len(pii.find("a" * 200_000 + "1" * 200_000)) == 0
+    assert pii.find_pii(odd_docs(spark)).count() == 11 and pii.find_pii(empty(spark)).count() == 0
+    masked = pii.mask_documents(odd_docs(spark))
+    assert masked.columns == odd_docs(spark).columns and masked.where("text LIKE '%[PHONE]%'").count() == 1
+
+
+# 10: vectors
+
+
+def test_top_products_by_brute_force(spark):
+    rng = np.random.default_rng(10)
+    points = rng.normal(size=(600, 8)).round(2)
+    points[100:300] = points[100]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    rows += [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1004, []), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.top_products(df, F.col("vec_id") % 50 == 0, block=128, group=5).collect()))
+    whole = np.vstack([np.floor(points * 256), np.zeros((1, 8))]).astype(np.int64)
+    ids = [*range(600), 1004]
+    want = []
+    for q in range(0, 600, 50):
+        scores = whole @ whole[q]
+        best = sorted((-int(s), i) for s, i in zip(scores, ids) if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_products_of_few_and_none(spark):
+    df = spark.createDataFrame([(0, [1.0]), (50, [2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert plain(vectors.top_products(df, F.col("vec_id") % 50 == 0)) == [(0, 1, 50, 131072), (50, 1, 0, 131072)]
+    assert vectors.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# The pipeline
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
