@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 Rows = list[tuple]
 #: Texts of one batch are turned into Python strings together; more are worked on in slices.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:

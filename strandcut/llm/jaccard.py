@@ -28,7 +28,7 @@ SMALL_MOST = 18
 #: What moving and comparing two whole sets costs, in rows of an inverted list.
 CHECK_COST = 40
 STARS = 3
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 NO_ID = -(1 << 63)
 P = np.uint64(0x9E3779B97F4A7C15)
 

@@ -18,7 +18,7 @@ from strandcut.llm.registry import query, table
 
 SPACE = "▁"
 #: Segments remembered by one task; a full memory is emptied.
-MEMORY = 400_000
+MEMORY = 100_000
 #: Longer segments are not remembered.
 SHORT = 64
 
@@ -336,7 +336,7 @@ def encode_texts(
         if digests:
             return lambda rows: [(d, n, _sha(ids), _sha(text)) for d, n, ids, text in encode(rows)]
         return lambda rows: [
-            (d, n, [int(i) for i in ids.split(",")] if ids else [], text) for d, n, ids, text in encode(rows)
+            (d, n, np.array(ids.split(",") if ids else [], np.int32), text) for d, n, ids, text in encode(rows)
         ]
 
     shape = (DIGEST, DIGEST_ARROW) if digests else (TOKENS, TOKENS_ARROW)

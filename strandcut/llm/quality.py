@@ -66,7 +66,7 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None) ->
 
 class _Slots(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = _slot(word, WORD_SLOTS)
         return h
