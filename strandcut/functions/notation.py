@@ -36,8 +36,8 @@ WELL_FORMED = (
     r"|[+]*[0-9]+[+]+[*]*|[+]+[*]*[0-9]+[*]*"
     r"|[0-9]+[+-][*]*[0-9]+[*]*|[+-][*]*[0-9]+[*]+[0-9]+[*]*)$"
 )
-# Beyond 18 digits a number may not fit a bigint, and no directory is that long.
-TOO_LONG = r"[0-9]{19}"
+# Values of 10 ** 18 and more may not fit a bigint; zeros in front do not count.
+TOO_LONG = r"[1-9][0-9]{18}"
 # Longest stretch of indexes held in one array.
 BLOCK = 1 << 16
 

@@ -43,18 +43,24 @@ def positive_logit(df: DataFrame, q: str, k: str, out: str = "l_pos") -> DataFra
 def key_bank(df: DataFrame, seq: str, size: int = BANK_SIZE) -> DataFrame:
     """The newest ``size`` keys by arrival number, with their ring ``slot``.
 
+    The slot is the arrival rank modulo ``size``, so gaps in the numbers leave
+    no slot empty and give none to two keys.
+
     Arrival numbers are counted in blocks first. The newest keys lie in the
     newest blocks, so only rows of those are ordered, instead of ``size`` wide
     rows from every task.
     """
-    blocks = df.groupBy(chunk_of(seq).alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
+    blocks = counts = df.groupBy(chunk_of(seq).alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
     # No block is empty: the newest ``size`` of them hold ``size`` keys or all.
     blocks = blocks.orderBy(F.desc("__block")).limit(size)
     newer = Window.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("__newer", F.coalesce(F.sum("__n").over(newer), F.lit(0)))
     oldest = blocks.where(F.col("__newer") < size).agg(F.min("__block"))
     recent = df.where(chunk_of(seq) >= oldest.scalar())
-    return recent.orderBy(F.desc(seq)).limit(size).withColumn("slot", F.pmod(F.col(seq), F.lit(size)))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
+    newest = recent.orderBy(F.desc(seq)).limit(size)
+    rank = total - F.row_number().over(Window.orderBy(F.desc(seq)))
+    return newest.withColumn("slot", F.pmod(rank, F.lit(size)).cast("bigint"))
 
 
 def bank_matrix(bank: DataFrame, vec: str, seq: str, size: int = BANK_SIZE) -> np.ndarray:

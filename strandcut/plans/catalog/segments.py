@@ -90,7 +90,7 @@ def predicted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.cut_positions(numbered_events(spark, sf_dir), "label", ["user_id", "idx"])
 
 
-@query("dir_counts", f"SELECT user_id, count(*) AS n_predicted FROM {EVENTS_SQL} WHERE label = 1 GROUP BY 1")
+@query("dir_counts", f"SELECT user_id, count(*) FILTER (WHERE label = 1) AS n_predicted FROM {EVENTS_SQL} GROUP BY 1")
 def dir_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.dir_counts(labelled_events(spark, sf_dir), "user_id", "label")
 

@@ -27,9 +27,9 @@ def score(slices: DataFrame, make_predict_fn: Callable) -> DataFrame:
     return scoring.label_slices(scored).drop("px")
 
 
-def line_spans(scored: DataFrame) -> DataFrame:
-    """Character spans of each line from its labelled slices."""
-    with_mid = scored.withColumn("mid", G.slice_mid(F.col("beg"), F.col("end")))
+def line_spans(scored: DataFrame, *, side_pad: int = G.SIDE_PAD) -> DataFrame:
+    """Character spans of each line, in its own columns, from its labelled slices; needs ``line_w``."""
+    with_mid = scored.withColumn("mid", G.to_origin_x(F.col("beg"), F.col("end"), F.col("line_w"), side_pad))
     return char_spans(with_mid, ["dir", "image_id"], "slice_no", "label", "mid")
 
 

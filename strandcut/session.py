@@ -37,13 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     ``spark.checkpoint.dir`` of the session wins. Where it is unset, only a
-    local master gets a temporary folder; a cluster must name a folder that
-    all executors can reach.
+    master whose tasks run in the driver gets a temporary folder; any other
+    must name a folder that all executors can reach.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="strandcut-")
     if sc.getCheckpointDir() is None:

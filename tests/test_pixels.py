@@ -202,7 +202,7 @@ def test_from_images_to_spans_and_sheets(spark, image_dir, tmp_path):
     spans = locate.line_spans(scored).collect()
     per_line = {}
     for r in spans:
-        per_line.setdefault(r.image_id, []).append((r.span_no, r.beg - 8, r.end - 8))
+        per_line.setdefault(r.image_id, []).append((r.span_no, r.beg, r.end))
     assert len(per_line) == 5
     for found in per_line.values():
         found.sort()
