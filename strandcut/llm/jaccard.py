@@ -27,7 +27,8 @@ PARTS = 64
 SMALL_MOST = 18
 #: What moving and comparing two whole sets costs, in rows of an inverted list.
 CHECK_COST = 40
-STARS = 3
+#: How many heads of each list its sets are compared with, round by round.
+HEADS = (1, 8)
 WORDS_KEPT = 100_000
 NO_ID = -(1 << 63)
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -306,9 +307,9 @@ def jaccard_groups(
     boundary, chosen by cost from the sizes, enumerate the fixed-size subsets
     that similar sets share. Larger ones (and those whose partners may lie
     beyond the boundary) are in inverted lists of their prefixes, rare shingles
-    first by counts over all documents. In a list, a few rounds compare all
-    sets with one; what is in one component then needs no more pairs. The pairs
-    of different components that remain are all compared, so no link is lost.
+    first by counts over all documents. In a list, two rounds compare all sets
+    with a few; what is in one component then needs no more pairs. The pairs of
+    different components that remain are all compared, so no link is lost.
 
     Null and empty texts have no shingles and stand alone; without an id their
     component is null, as is that of a group none of which has an id. Repeated
@@ -353,10 +354,13 @@ def jaccard_groups(
         return lists.join(mixed.select("token"), "token", "left_semi")
 
     left = stored(open_lists(shared.withColumn("comp", F.col("cid"))), "jaccard-open")
-    for star in range(STARS):
-        heads_of = left.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("cid", F.lit(star)).alias("h"), "cid", "comp")).alias("head")
-        )
+    for turn, number in enumerate(HEADS):
+        # One order of all sets at first, so that lists of the same sets have the same head; then
+        # an order for each list, so that a set meets many others of its group.
+        place = [F.col("cid"), *[F.col("token")] * turn]
+        heads_of = left.groupBy("token").agg(F.array_distinct(F.array(*[
+            F.min(F.struct(F.xxhash64(*place, F.lit(i)).alias("h"), "cid", "comp")) for i in range(number)
+        ])).alias("heads")).select("token", F.explode("heads").alias("head"))
         pairs = left.join(heads_of, "token").where(F.col("comp") != F.col("head.comp")).select(
             F.col("cid").alias("a"), F.col("head.cid").alias("b")
         ).distinct()
