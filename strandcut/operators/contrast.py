@@ -66,14 +66,15 @@ def key_bank(df: DataFrame, seq: str, size: int = BANK_SIZE) -> DataFrame:
 def bank_matrix(bank: DataFrame, vec: str, seq: str, size: int = BANK_SIZE) -> np.ndarray:
     """The bank as one matrix, oldest key first.
 
-    The bank is a queue of fixed length; its size is checked before it is sent
-    anywhere, and ``size`` rows are all that is ever fetched.
+    The bank is a queue of fixed length; the bytes of the keys it holds are
+    checked before it is sent anywhere, and ``size`` rows are all that is ever
+    fetched.
     """
-    head = bank.select(F.size(vec).alias("d")).limit(1).collect()
-    if not head:
+    held = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    if not held["n"]:
         return np.zeros((0, 0))
-    if size * head[0]["d"] * 8 > BANK_BYTES:
-        raise ValueError(f"a bank of {size} x {head[0]['d']} keys is over {BANK_BYTES} bytes")
+    if min(size, held["n"]) * held["d"] * 8 > BANK_BYTES:
+        raise ValueError(f"a bank of {min(size, held['n'])} x {held['d']} keys is over {BANK_BYTES} bytes")
     kept = bank.orderBy(F.desc(seq)).limit(size).select(seq, doubles(F.col(vec)).alias("__v")).toPandas()
     return np.stack(kept.sort_values(seq)["__v"].to_list())
 

@@ -95,13 +95,8 @@ def strip_ends(
     )
 
 
-def otsu(df: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:
-    """Gray level per group that maximises the variance between the two classes.
-
-    Works on the 256-row histogram of each group. Ties go to the lowest level;
-    a group with a single level gets 0.
-    """
-    group = as_list(group)
+def _judged_levels(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """The histogram of each group (``__v``, ``__n``) with the group's ``threshold``."""
     level = F.col(value).cast("int").alias("__v")
     hist = df.groupBy(*group, level).agg(F.count(F.lit(1)).alias("__n"))
     every = Window.partitionBy(*group)
@@ -110,6 +105,7 @@ def otsu(df: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:
     sums = hist.select(
         *group,
         "__v",
+        "__n",
         F.sum("__n").over(upto).cast("double").alias("__w0"),
         F.sum(mass).over(upto).cast("double").alias("__s0"),
         F.sum("__n").over(every).cast("double").alias("__w"),
@@ -119,11 +115,30 @@ def otsu(df: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:
     spread = F.when(
         F.col("__w0") < F.col("__w"), gap * gap / (F.col("__w0") * (F.col("__w") - F.col("__w0")))
     ).otherwise(F.lit(0.0))
-    best = sums.withColumn("__var", spread).groupBy(*group).agg(
-        F.max(F.struct("__var", (-F.col("__v")).alias("__low"))).alias("__best")
-    )
+    best = F.max(F.struct(spread.alias("__var"), (-F.col("__v")).alias("__low"))).over(every)
+    found = sums.select(*group, "__v", "__n", best.alias("__best"))
     threshold = F.when(F.col("__best")["__var"] > 0, -F.col("__best")["__low"]).otherwise(0)
-    return best.select(*group, threshold.alias("threshold"))
+    return found.select(*group, "__v", "__n", threshold.alias("threshold"))
+
+
+def otsu(df: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:
+    """Gray level per group that maximises the variance between the two classes.
+
+    Works on the 256-row histogram of each group. Ties go to the lowest level;
+    a group with a single level gets 0.
+    """
+    group = as_list(group)
+    return _judged_levels(df, group, value).groupBy(*group).agg(F.max("threshold").alias("threshold"))
+
+
+def class_sizes(df: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:
+    """``threshold``, ``n_white`` and ``n_black`` per group, all from the histogram: rows are read once."""
+    group = as_list(group)
+    white = F.col("__v") > F.col("threshold")
+    return _judged_levels(df, group, value).groupBy(*group, "threshold").agg(
+        F.coalesce(F.sum(F.when(white, F.col("__n"))), F.lit(0)).alias("n_white"),
+        F.coalesce(F.sum(F.when(~white, F.col("__n"))), F.lit(0)).alias("n_black"),
+    )
 
 
 def binarise(df: DataFrame, thresholds: DataFrame, group: str | Sequence[str], value: str) -> DataFrame:

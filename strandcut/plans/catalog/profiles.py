@@ -94,7 +94,4 @@ OTSU_SQL = f"""
 def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.least(F.greatest(F.floor("value"), F.lit(0)), F.lit(255))
     gray = table(spark, sf_dir, "events").select("event_type", level.alias("v"))
-    black_white = profiles.binarise(gray, profiles.otsu(gray, "event_type", "v"), "event_type", "v")
-    return black_white.groupBy("event_type", "threshold").agg(
-        F.count_if(F.col("binary") == 255).alias("n_white"), F.count_if(F.col("binary") == 0).alias("n_black")
-    )
+    return profiles.class_sizes(gray, "event_type", "v")

@@ -43,6 +43,13 @@ def char_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.char_spans(labelled_events(spark, sf_dir), "user_id", "event_id", "label", "event_id")
 
 
+@query("char_spans_cut", SPANS_SQL)
+def char_spans_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans with every user of over 20 events cut into chunks."""
+    rows = labelled_events(spark, sf_dir)
+    return spans.char_spans(rows, "user_id", "event_id", "label", "event_id", bits=9, hot_rows=20)
+
+
 @query("span_stream", SPANS_SQL)
 def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same spans from a stream over the landed file."""
@@ -104,34 +111,51 @@ def slice_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", names.slice_name(F.col("idx"), F.col("label")).alias("name"))
 
 
-@query(
-    "running_number",
-    """
+RUNNING_SQL = """
     SELECT l_orderkey, l_linenumber, l_partkey,
            (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::BIGINT AS idx
     FROM lineitem
-    """,
-)
-def running_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """
+
+
+def order_lines(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     # A crowded order is cut by line number and by ranges of the part number.
     cuts = [F.col("l_linenumber"), chunk_of("l_partkey")]
-    return number_copies(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "idx", chunk=cuts)
+    return number_copies(rows, "l_orderkey", ["l_linenumber", "l_partkey"], "idx", chunk=cuts, **options)
 
 
-@query(
-    "slice_at",
-    """
-    SELECT * FROM (
-        SELECT l_orderkey, l_linenumber, l_partkey,
-               (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::BIGINT AS idx
-        FROM lineitem
-    ) WHERE idx BETWEEN 200 AND 209
-    """,
-)
-def slice_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("running_number", RUNNING_SQL)
+def running_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_lines(spark, sf_dir)
+
+
+@query("running_number_cut", RUNNING_SQL)
+def running_number_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbers with every order of over two lines cut."""
+    return order_lines(spark, sf_dir, hot_rows=2)
+
+
+LINES_SQL = """
+    (SELECT l_orderkey, l_linenumber, l_partkey,
+            (row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey) - 1)::BIGINT AS idx
+     FROM lineitem)
+"""
+
+
+def lines_at(spark: SparkSession, sf_dir: str, first: int, n: int) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return sampling.slice_at(table(spark, sf_dir, "lineitem").select(*keys), keys, 200, 10)
+    return sampling.slice_at(table(spark, sf_dir, "lineitem").select(*keys), keys, first, n)
+
+
+@query("slice_at", f"SELECT * FROM {LINES_SQL} WHERE idx BETWEEN 200 AND 209")
+def slice_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_at(spark, sf_dir, 200, 10)
+
+
+@query("slice_at_deep", f"SELECT * FROM {LINES_SQL} WHERE idx BETWEEN 30000 AND 30999")
+def slice_at_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_at(spark, sf_dir, 30_000, 1_000)
 
 
 @query("sample_cap", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 20")
@@ -339,19 +363,26 @@ def flatten_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.flatten_sequences(packed, ["window_id"])
 
 
-@query(
-    "context_features",
-    f"""
+CONTEXT_SQL = f"""
     SELECT user_id, event_id, label,
            coalesce(lag(label, 1) OVER w, 0) AS label_prev1, coalesce(lag(label, 2) OVER w, 0) AS label_prev2,
            coalesce(lead(label, 1) OVER w, 0) AS label_next1, coalesce(lead(label, 2) OVER w, 0) AS label_next2
     FROM {EVENTS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
-    """,
-)
+    """
+
+
+@query("context_features", CONTEXT_SQL)
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.context_features(labelled_events(spark, sf_dir), "user_id", "event_id", "label", 2)
 
 
+@query("context_features_cut", CONTEXT_SQL)
+def context_features_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns with every user of over 20 events cut into chunks."""
+    rows = labelled_events(spark, sf_dir)
+    return sequences.context_features(rows, "user_id", "event_id", "label", 2, bits=4, hot_rows=20)
+
+
 SHEET_SQL = f"(SELECT *, idx // 41 AS row_no, idx % 41 AS col_no FROM {NUMBERED_SQL})"
 
 
