@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60
 
 
+#: With this setting a query's shuffle files go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    Cuts the lineage in a way that survives lost executors. The files lie in
-    one folder per application and may go when the application has ended.
+    Cuts the lineage in a way that survives lost executors. Nothing reads the
+    shuffle files of the write again, so they go with it. The table's files
+    lie in one folder per application and may go when it has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandcut-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables made by :func:`stored` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcut.llm.arrow import slices
-from strandcut.llm.common import stored
+from strandcut.llm.common import dropped, stored
 from strandcut.llm.graph import components
 from strandcut.llm.registry import query, table
 
@@ -354,6 +354,14 @@ def jaccard_groups(
         return lists.join(mixed.select("token"), "token", "left_semi")
 
     left = stored(open_lists(shared.withColumn("comp", F.col("cid"))), "jaccard-open")
+    dropped(shared)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        held = stored(_by_sketch(pairs, classes, percent), "jaccard-pairs")
+        fresh = stored(_similar(held, sets, percent), "jaccard-links")
+        dropped(held)
+        return fresh
+
     for turn, number in enumerate(HEADS):
         # One order of all sets at first, so that lists of the same sets have the same head; then
         # an order for each list, so that a set meets many others of its group.
@@ -364,9 +372,9 @@ def jaccard_groups(
         pairs = left.join(heads_of, "token").where(F.col("comp") != F.col("head.comp")).select(
             F.col("cid").alias("a"), F.col("head.cid").alias("b")
         ).distinct()
-        fresh = stored(_similar(stored(_by_sketch(pairs, classes, percent), "jaccard-pairs"), sets, percent), "jaccard-links")
-        links = links.unionByName(fresh)
-        left = stored(open_lists(with_components(left.drop("comp"))), "jaccard-open")
+        links = links.unionByName(similar(pairs))
+        last, left = left, stored(open_lists(with_components(left.drop("comp"))), "jaccard-open")
+        dropped(last)
 
     index_length = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
     # The part counts come along, so that the join itself rules out what they can.
@@ -387,8 +395,8 @@ def jaccard_groups(
         & ((100 + percent) * rest >= percent * (F.col("xn") + F.col("yn")))
         & (F.lit(boundary) < F.col("yn")) & (apart <= F.col("xn") + F.col("yn") - 2 * needed)
     ).select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()
-    fresh = stored(_similar(stored(_by_sketch(pairs, classes, percent), "jaccard-pairs"), sets, percent), "jaccard-links")
-    links = links.unionByName(fresh)
+    links = links.unionByName(similar(pairs))
+    dropped(left, sets, classes)
 
     found = components(links)
     comp = heads.join(found, heads["cid"] == found["node"], "left").select(
