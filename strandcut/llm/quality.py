@@ -14,6 +14,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandcut.llm.arrow import slices
 from strandcut.llm.common import stored
@@ -131,32 +132,46 @@ def _margins(rows: DataFrame, view: str, fitted: View) -> DataFrame:
     return rows.withColumn("p", 1 / (1 + F.exp(-odds)))
 
 
-def _calibrated(rows: DataFrame, view: str, fitted: View) -> View:
-    """Slope and offset of the margin on labelled rows that the view was not fitted to."""
+def _calibrated(rows: DataFrame, view: str, fitted: View, shift: float) -> View:
+    """Slope and offset of the margin on labelled rows that the view was not fitted to.
+
+    ``shift`` leads from the log odds of those rows to the ones that hold.
+    """
     raw = _margins(rows, view, View(fitted.weights, fitted.bias)).withColumn("m", F.array(F.log(F.col("p") / (1 - F.col("p")))))
     raw = raw.withColumn("m", F.transform("m", lambda m: F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.coalesce(m, F.lit(30.0))))))
     line = _fit(raw, "m")
-    return View(fitted.weights, fitted.bias, float(line.weights[0]), line.bias)
+    return View(fitted.weights, fitted.bias, float(line.weights[0]), line.bias + shift)
+
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
+    """A bounded sample: labelled documents (folds 0 to 3) and others (fold -1, no label); the log odds of all labels.
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """A bounded sample: labelled documents (folds 0 to 3) and others (fold -1, no label)."""
+    Each class has up to about ``TRAIN_ROWS / 2`` documents, dealt to the folds
+    within the class; the only document of a class is in folds 0 and 1.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").cast("double").alias("label")
-    )
-    count, total = known.count(), docs.count()
+    ).join(docs.select("doc_id"), "doc_id", "left_semi")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    if set(counts) != {0.0, 1.0}:
+        return None
+    total = docs.count()
     share = lambda wanted, of: F.pmod(F.xxhash64("doc_id", F.lit(wanted)), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, wanted / max(1, of)))
-    chosen = known.where(share(TRAIN_ROWS, count))
+    half = TRAIN_ROWS // 2
+    chosen = known.where(F.when(F.col("label") == 1, share(half, counts[1.0])).otherwise(share(half, counts[0.0])))
+    # At most about TRAIN_ROWS rows of numbers are ranked, and sent to all tasks.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
+    alone = F.col("label").isin([c for c, n in counts.items() if n == 1])
+    chosen = chosen.withColumn("fold", ((rank - 1) % 4).cast("int")).withColumn(
+        "fold", F.explode(F.when(alone, F.array(F.lit(0), F.lit(1))).otherwise(F.array("fold")))
+    )
     others = docs.where(share(POOL_ROWS + 1, total))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    # At most about TRAIN_ROWS pairs of numbers are sent to all tasks.
-    mine = docs.select(*columns).join(F.broadcast(chosen), "doc_id").withColumn(
-        "fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).cast("int")
-    )
+    mine = docs.select(*columns).join(F.broadcast(chosen), "doc_id")
     pool = others.select(*columns).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumns(
         {"label": F.lit(None).cast("double"), "fold": F.lit(-1)}
     )
-    return _features(mine.unionByName(pool))
+    return _features(mine.unionByName(pool)), math.log(counts[1.0] / counts[0.0])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
@@ -165,28 +180,30 @@ def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident
     Each round fits both views to their own training rows, calibrates them on a
     fourth of the labelled rows, and lets each hand its confident verdicts on
     documents without labels to the other. The sample is bounded by
-    ``TRAIN_ROWS`` and ``POOL_ROWS``.
+    ``TRAIN_ROWS`` and ``POOL_ROWS``; chances are those at the shares that good
+    and bad have among all labels.
     """
-    rows = stored(_labelled(docs, labels), "quality-sample")
-    fit, held, pool = rows.where("fold > 0"), rows.where("fold = 0"), rows.where("fold = -1")
-    seen = {part: {r["label"] for r in some.select("label").distinct().collect()} for part, some in (("fit", fit), ("held", held))}
-    if any(s != {0.0, 1.0} for s in seen.values()):
+    found = _labelled(docs, labels)
+    if found is None:
         return None
+    rows, prior = stored(found[0], "quality-sample"), found[1]
+    fit, held, pool = rows.where("fold > 0"), rows.where("fold = 0"), rows.where("fold = -1")
     fit, held = fit.withColumn("y", F.col("label")), held.withColumn("y", F.col("label"))
+    good, n = held.agg(F.sum("y"), F.count(F.lit(1))).first()
+    shift = prior - math.log(good / (n - good))
     extra = {"text_v": None, "meta_v": None}
     views: dict[str, View] = {}
     for turn in range(rounds):
         for view in views or extra:
             mine = fit if extra[view] is None else fit.unionByName(extra[view])
-            views[view] = _calibrated(held, view, _fit(mine.select(view, "y"), view))
+            views[view] = _calibrated(held, view, _fit(mine.select(view, "y"), view), shift)
         if turn + 1 < rounds:
             for view, other in (("text_v", "meta_v"), ("meta_v", "text_v")):
                 told = _margins(pool, view, views[view])
                 extra[other] = told.where((F.col("p") >= confident) | (F.col("p") <= 1 - confident)).withColumn(
                     "y", (F.col("p") >= 0.5).cast("double")
                 ).drop("p")
-    good, n = held.agg(F.sum("y"), F.count(F.lit(1))).first()
-    return Model(views["text_v"], views["meta_v"], math.log(good / (n - good)))
+    return Model(views["text_v"], views["meta_v"], prior)
 
 
 SCORED = pa.schema([("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64())])

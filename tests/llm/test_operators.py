@@ -198,6 +198,28 @@ def test_quality_on_held_out_labels(spark):
     assert quality.score_documents(empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("n_bad", [1, 8])
+def test_quality_with_few_bad_labels(spark, monkeypatch, n_bad):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 80)
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1200):
+        good = i >= n_bad and i < 1150
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randint(20, 60))]
+        text = " ".join(words) if good else " ".join(w.upper() + "!!" for w in words)
+        rows.append((i, text, "en", rng.choice("ab") if good else "c", len(text)))
+        if i < 1000:
+            labels.append((i, int(good), 0))
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, known, rounds=1)
+    assert model is not None and model.prior == pytest.approx(np.log((1000 - n_bad) / n_bad))
+    score = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    good, bad = [score[i] for i in range(n_bad, 1150)], [score[i] for i in range(1150, 1200)]
+    assert sum(x >= 0.5 for x in good) >= 1140 and np.mean(bad) < np.mean(good)
+    # One bad document is too little to judge by at a share of 0.1 %.
+    assert n_bad == 1 or sum(x < 0.5 for x in bad) >= 45
+
+
 # 6: near duplicates
 
 
