@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandcut.llm.arrow import slices
-from strandcut.llm.common import stored
+from strandcut.llm.common import dropped, stored
 from strandcut.llm.registry import query, table
 
-#: About so many labelled documents are used to fit, and so many without label to exchange.
-TRAIN_ROWS, POOL_ROWS = 6_000, 6_000
+#: About so many labelled documents are used to fit; views exchange on all others.
+TRAIN_ROWS = 6_000
 ROUNDS, CONFIDENT = 3, 0.97
 WORD_SLOTS, META_SLOTS = 256, 64
 SIGNS = "!%#&$*|"
@@ -108,18 +108,18 @@ def _features(rows: DataFrame) -> DataFrame:
                 text, lang, source, n_chars, label, fold = (c.to_pylist() for c in part.columns)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(label, pa.float64()), pa.array(fold, pa.int32()),
-                    pa.array([text_features(t, slots).tolist() for t in text], pa.list_(pa.float64())),
-                    pa.array([meta_features(*m).tolist() for m in zip(lang, source, n_chars)], pa.list_(pa.float64())),
+                    pa.array([text_features(t, slots).tolist() for t in text], pa.list_(pa.float32())),
+                    pa.array([meta_features(*m).tolist() for m in zip(lang, source, n_chars)], pa.list_(pa.float32())),
                 ], names=["label", "fold", "text_v", "meta_v"])
 
     return rows.select("text", "lang", "source", "n_chars", "label", "fold").mapInArrow(
-        run, "label double, fold int, text_v array<double>, meta_v array<double>"
+        run, "label double, fold int, text_v array<float>, meta_v array<float>"
     )
 
 
 def _fit(rows: DataFrame, view: str) -> View:
     made = LogisticRegression(maxIter=40, regParam=0.002, featuresCol="f", labelCol="y", aggregationDepth=2).fit(
-        rows.select(array_to_vector(view).alias("f"), "y")
+        rows.select(array_to_vector(F.col(view).cast("array<double>")).alias("f"), "y")
     )
     return View(made.coefficients.toArray(), float(made.intercept))
 
@@ -144,7 +144,7 @@ def _calibrated(rows: DataFrame, view: str, fitted: View, shift: float) -> View:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
-    """A bounded sample: labelled documents (folds 0 to 3) and others (fold -1, no label); the log odds of all labels.
+    """A bounded sample of labelled documents (folds 0 to 3) and all others (fold -1, no label); the log odds of all labels.
 
     Each class has up to about ``TRAIN_ROWS / 2`` documents, dealt to the folds
     within the class; the only document of a class is in folds 0 and 1.
@@ -155,7 +155,6 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | N
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if set(counts) != {0.0, 1.0}:
         return None
-    total = docs.count()
     share = lambda wanted, of: F.pmod(F.xxhash64("doc_id", F.lit(wanted)), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, wanted / max(1, of)))
     half = TRAIN_ROWS // 2
     chosen = known.where(F.when(F.col("label") == 1, share(half, counts[1.0])).otherwise(share(half, counts[0.0])))
@@ -165,13 +164,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | N
     chosen = chosen.withColumn("fold", ((rank - 1) % 4).cast("int")).withColumn(
         "fold", F.explode(F.when(alone, F.array(F.lit(0), F.lit(1))).otherwise(F.array("fold")))
     )
-    others = docs.where(share(POOL_ROWS + 1, total))
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    mine = docs.select(*columns).join(F.broadcast(chosen), "doc_id")
-    pool = others.select(*columns).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumns(
-        {"label": F.lit(None).cast("double"), "fold": F.lit(-1)}
-    )
-    return _features(mine.unionByName(pool)), math.log(counts[1.0] / counts[0.0])
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(F.broadcast(chosen), "doc_id", "left")
+    return _features(rows.withColumn("fold", F.coalesce("fold", F.lit(-1)))), math.log(counts[1.0] / counts[0.0])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
@@ -179,15 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident
 
     Each round fits both views to their own training rows, calibrates them on a
     fourth of the labelled rows, and lets each hand its confident verdicts on
-    documents without labels to the other. The sample is bounded by
-    ``TRAIN_ROWS`` and ``POOL_ROWS``; chances are those at the shares that good
-    and bad have among all labels.
+    documents without labels to the other. The labelled rows are bounded by
+    ``TRAIN_ROWS``, the others are all there are; chances are those at the
+    shares that good and bad have among all labels.
     """
     found = _labelled(docs, labels)
     if found is None:
         return None
-    rows, prior = stored(found[0], "quality-sample"), found[1]
-    fit, held, pool = rows.where("fold > 0"), rows.where("fold = 0"), rows.where("fold = -1")
+    rows, prior = stored(found[0], "quality-features"), found[1]
+    sample, pool = stored(rows.where("fold >= 0"), "quality-sample"), rows.where("fold = -1")
+    fit, held = sample.where("fold > 0"), sample.where("fold = 0")
     fit, held = fit.withColumn("y", F.col("label")), held.withColumn("y", F.col("label"))
     good, n = held.agg(F.sum("y"), F.count(F.lit(1))).first()
     shift = prior - math.log(good / (n - good))
@@ -203,6 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident
                 extra[other] = told.where((F.col("p") >= confident) | (F.col("p") <= 1 - confident)).withColumn(
                     "y", (F.col("p") >= 0.5).cast("double")
                 ).drop("p")
+    dropped(rows, sample)
     return Model(views["text_v"], views["meta_v"], prior)
 
 

@@ -198,6 +198,16 @@ def test_quality_on_held_out_labels(spark):
     assert quality.score_documents(empty(spark), model).count() == 0
 
 
+def test_quality_exchanges_on_all_other_documents(spark):
+    docs = spark.range(8000).select(
+        F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"),
+        F.lit(3).cast("bigint").alias("n_chars"),
+    )
+    known = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    rows, _ = quality._labelled(docs, known)
+    assert (rows.where("fold = -1").count(), rows.where("fold >= 0").count()) == (7900, 100)
+
+
 @pytest.mark.parametrize("n_bad", [1, 8])
 def test_quality_with_few_bad_labels(spark, monkeypatch, n_bad):
     monkeypatch.setattr(quality, "TRAIN_ROWS", 80)
