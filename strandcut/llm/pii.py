@@ -62,6 +62,17 @@ def _small(part: str) -> bool:
     return len(part) < 4 and int(part or "0") <= 255
 
 
+def _iban_end(m: re.Match[str]) -> int | None:
+    """Where the longest part of the match that ends at a blank (or is all of it) and fulfils mod 97 ends."""
+    got = m[0]
+    while got:
+        bare = got.replace(" ", "")
+        if 15 <= len(bare) <= 34 and mod97(bare):
+            return m.start() + len(got)
+        got = got.rpartition(" ")[0]
+    return None
+
+
 def _proposed(text: str):
     """Confirmed matches, kind by kind."""
     if "@" in text:
@@ -78,10 +89,12 @@ def _proposed(text: str):
     for m in PHONE.finditer(text):
         if 10 <= len(_digits(m[0])) <= 15:
             yield m.start(), m.end(), "phone"
-    for m in IBAN.finditer(text):
-        bare = m[0].replace(" ", "")
-        if 15 <= len(bare) <= 34 and mod97(bare):
-            yield m.start(), m.end(), "iban"
+    at = 0
+    while m := IBAN.search(text, at):
+        end = _iban_end(m)
+        at = end or m.start() + 1
+        if end:
+            yield m.start(), end, "iban"
     for m in SSN.finditer(text):
         yield m.start(), m.end(), "ssn"
 
@@ -135,8 +148,9 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, spans, masked`` of every document, row for row.
 
     Patterns propose spans leftmost and without overlap inside a kind; numbers
-    are confirmed by range, length, Luhn or mod 97; words shortly before a span
-    raise its score. Null text counts as empty and stays null when masked.
+    are confirmed by range, length, Luhn or mod 97; of an IBAN's groups those
+    are taken that fulfil it, the most first. Words shortly before a span raise
+    its score. Null text counts as empty and stays null when masked.
     Repeated rows stay; other columns are left out; an empty table gives none.
     """
     def make():

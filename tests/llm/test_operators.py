@@ -394,6 +394,16 @@ def test_pii_checks_context_and_masks(spark):
     assert masked.columns == odd_docs(spark).columns and masked.where("text LIKE '%[PHONE]%'").count() == 1
 
 
+def test_pii_iban_before_words_in_capitals():
+    es, at = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201"
+    for text, want in (
+        (f"{es} BIC CAIXESBB", [es]), (f"{es} 2024 EUR", [es]), (f"{es} {at} SWIFT", [es, at]), (f"REF AB12 CDEF {at} X", [at]),
+        (f"{es.replace(' ', '')} BIC", [es.replace(" ", "")]), ("GB82 WEST 1234 5698 7654 32 BIC", ["GB82 WEST 1234 5698 7654 32"]),
+        (es[:-1] + "3 BIC", []),
+    ):
+        assert [text[s:e] for s, e, kind, _ in pii.find(text) if kind == "iban"] == want, text
+
+
 # 10: vectors
 
 
