@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -27,18 +28,25 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-#: Words that raise a kind's score when they stand within REACH characters before a span.
+#: Whole words, plurals included, that raise a kind's score when they stand near a span, on either side.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "@"),
+    "email": ("e-?mail", "mail", "contact", "write"),
     "ip": ("ip", "host", "address", "server"),
-    "card": ("card", "visa", "master", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "card": ("card", "visa", "master", "mastercard", "credit", "payment"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social security", "tax", "taxpayer"),
 }
+NEAR = {
+    kind: re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(words)})(?:e?s)?(?![A-Za-z0-9])".replace(" ", r"\s+"), re.I | re.A)
+    for kind, words in CONTEXT.items()
+}
 #: Score of a confirmed pattern, without context; with it, half of the rest is added.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
-REACH, LEAST = 40, 0.5
+LEAST = 0.5
+#: Near is what stands in the span's sentence, which may go over lines, within FAR characters, or within REACH characters anyhow.
+REACH, FAR = 40, 400
+STOP = re.compile(r"[.!?](?=\s)|\n[^\S\n]*\n")
 
 Span = tuple[int, int, str, float]
 
@@ -99,16 +107,31 @@ def _proposed(text: str):
         yield m.start(), m.end(), "ssn"
 
 
+def _near(start: int, end: int, stops: Sequence[int], words: Sequence[tuple[int, int]]) -> bool:
+    """Whether a word stands near a span, outside of it; places of stops and words are in order."""
+    at = bisect_left(stops, start)
+    low = min(start - REACH, max(start - FAR, stops[at - 1] if at else 0))
+    at = bisect_left(stops, end)
+    high = max(end + REACH, min(end + FAR, stops[at] if at < len(stops) else end + FAR))
+    before = bisect_right(words, start, key=lambda w: w[1])
+    after = bisect_left(words, end, key=lambda w: w[0])
+    return (before > 0 and words[before - 1][0] >= low) or (after < len(words) and words[after][1] <= high)
+
+
 def find(text: str | None) -> list[Span]:
     """Spans ``(start, end, kind, score)`` in code points, by start, then kind.
 
     Base kinds are kept whatever their score; others need ``LEAST``.
     """
-    out = []
-    for start, end, kind in _proposed(text or ""):
+    text, out = text or "", []
+    found = list(_proposed(text))
+    if not found:
+        return out
+    stops = [m.start() for m in STOP.finditer(text)]
+    words = {kind: [m.span() for m in NEAR[kind].finditer(text)] for kind in {f[2] for f in found}}
+    for start, end, kind in found:
         score = SCORES[kind]
-        near = text[max(0, start - REACH):start].lower()
-        if any(w in near for w in CONTEXT[kind]):
+        if _near(start, end, stops, words[kind]):
             score += (1 - score) / 2
         if kind in BASE or score >= LEAST:
             out.append((start, end, kind, score))
@@ -149,8 +172,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Patterns propose spans leftmost and without overlap inside a kind; numbers
     are confirmed by range, length, Luhn or mod 97; of an IBAN's groups those
-    are taken that fulfil it, the most first. Words shortly before a span raise
-    its score. Null text counts as empty and stays null when masked.
+    are taken that fulfil it, the most first. Words near a span, before or after
+    it, raise its score. Null text counts as empty and stays null when masked.
     Repeated rows stay; other columns are left out; an empty table gives none.
     """
     def make():

@@ -404,6 +404,16 @@ def test_pii_iban_before_words_in_capitals():
         assert [text[s:e] for s, e, kind, _ in pii.find(text) if kind == "iban"] == want, text
 
 
+def test_pii_context_on_both_sides():
+    for text, found in (
+        ("123-45-6789 (SSN)", True), ("123-45-6789 is the number that this person has for social\nsecurity", True),
+        ("social security number of the applicant as given on the form: 123-45-6789", True), ("SSN no. 123-45-6789", True),
+        ("syntax 123-45-6789", False), ("123-45-6789" + " x" * 300 + " ssn", False),
+        ("123-45-6789 stands here. In another sentence, further away, is ssn", False),
+    ):
+        assert [s[2] for s in pii.find(text)] == ["ssn"] * found, text
+
+
 # 10: vectors
 
 
