@@ -23,11 +23,11 @@ def label_errors(df: DataFrame, spec: str) -> DataFrame:
     return bad.withColumn("error", notation.label_error(F.col(spec)))
 
 
-def expand_labels(df: DataFrame, spec: str, *, strict: bool = False) -> DataFrame:
+def expand_labels(df: DataFrame, spec: str, *, strict: bool = True) -> DataFrame:
     """One row per named index with ``idx`` and ``import_flag``.
 
-    Malformed rows are left to :func:`label_errors`; with ``strict`` the first
-    of them fails the job.
+    The first malformed row fails the job; without ``strict`` such rows are
+    left to :func:`label_errors`.
     """
     good = notation.well_formed(F.col(spec))
     if strict:

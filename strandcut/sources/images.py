@@ -37,23 +37,39 @@ def flatten_images(raw: DataFrame) -> DataFrame:
     )
 
 
+def _decoded(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """All images under ``path``; those that cannot be decoded have -1 channels."""
+    raw = (
+        spark.read.format("image")
+        .option("pathGlobFilter", f"{prefix}*.png")
+        .option("recursiveFileLookup", "true")
+        .option("dropInvalid", "false")
+        .load(path)
+    )
+    return flatten_images(raw)
+
+
+def bad_images(spark: SparkSession, path: str, *, prefix: str = "") -> DataFrame:
+    """``image_id, dir`` of the files that cannot be decoded: the quarantine table of the line scans."""
+    return _decoded(spark, path, prefix).where(F.col("nChannels") == -1).select("image_id", "dir")
+
+
 def scan_raw_lines(
-    spark: SparkSession, path: str, *, prefix: str = "", max_h: int | None = None, spread: bool = True
+    spark: SparkSession, path: str, *, prefix: str = "", max_h: int | None = None, spread: bool = True,
+    strict: bool = False,
 ) -> DataFrame:
     """Line images under ``path`` as Spark decodes them; ``dir`` is the parent folder.
 
     ``prefix`` limits the file names. ``max_h`` drops tall lines before any
     Python step. ``spread`` shuffles the lines by id, since files of a folder
-    tend to arrive in few input partitions.
+    tend to arrive in few input partitions. Files that cannot be decoded are
+    left to :func:`bad_images`; with ``strict`` the first of them fails the job.
     """
-    raw = (
-        spark.read.format("image")
-        .option("pathGlobFilter", f"{prefix}*.png")
-        .option("recursiveFileLookup", "true")
-        .option("dropInvalid", "true")
-        .load(path)
-    )
-    flat = flatten_images(raw)
+    good = F.col("nChannels") != -1
+    if strict:
+        fail = F.raise_error(F.concat(F.lit("bad image: "), F.col("image_id")))
+        good = F.when(good, F.lit(True)).otherwise(fail.cast("boolean"))
+    flat = _decoded(spark, path, prefix).where(good)
     if max_h is not None:
         flat = flat.where(F.col("h") < max_h)
     return flat.repartition("image_id") if spread else flat
@@ -64,9 +80,9 @@ def scan_lines(spark: SparkSession, path: str, **options) -> DataFrame:
     return gray_lines(scan_raw_lines(spark, path, **options))
 
 
-def scan_uploads(spark: SparkSession, landing_dir: str) -> DataFrame:
-    """Uploaded images that landed as files."""
-    return scan_lines(spark, landing_dir)
+def scan_uploads(spark: SparkSession, landing_dir: str, **options) -> DataFrame:
+    """Uploaded images that landed as files; options as in :func:`scan_raw_lines`."""
+    return scan_lines(spark, landing_dir, **options)
 
 
 def scan_slice_files(spark: SparkSession, root: str) -> DataFrame:

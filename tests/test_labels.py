@@ -60,6 +60,13 @@ def test_error_names(spark, spec, error):
         labelling.expand_labels(df, "spec", strict=True).collect()
 
 
+def test_malformed_rows_fail_by_default(spark):
+    df = spark.createDataFrame([("5",), ("35*+",)], "spec string")
+    with pytest.raises(Exception, match="bad label row"):
+        labelling.expand_labels(df, "spec").collect()
+    assert [r.idx for r in labelling.expand_labels(df, "spec", strict=False).collect()] == [5]
+
+
 def test_cleaning(spark):
     df = spark.createDataFrame([("\t5\t",), ("",), ("\t",), (" ",), ("7\n",)], "raw string")
     assert [r.spec for r in labelling.clean_label_lines(df, "raw").collect()] == ["5", " ", "7"]

@@ -174,6 +174,14 @@ def test_scan(spark, image_dir):
     assert images.scan_lines(spark, str(root), max_h=48).count() == 3
 
 
+def test_bad_images_are_listed(spark, image_dir):
+    root, _ = image_dir
+    assert [(r.image_id.rsplit("/", 1)[-1], r.dir.rsplit("/", 1)[-1]) for r in images.bad_images(spark, str(root)).collect()] == [("broken.png", "two")]
+    assert images.bad_images(spark, str(root), prefix="s").count() == 0
+    with pytest.raises(Exception, match="bad image"):
+        images.scan_raw_lines(spark, str(root), max_h=48, strict=True).collect()
+
+
 def ink_model():
     """Label 1 where the middle of a slice is white: a stand-in for a trained network."""
 
