@@ -112,12 +112,13 @@ def cut_positions(df: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:
 
 
 def spans_json(
-    spans: DataFrame, part: str | Sequence[str], *, page: int = 4096
+    spans: DataFrame, part: str | Sequence[str], *, page: int = 4096, images: DataFrame | None = None
 ) -> DataFrame:
     """JSON list of ``[beg,end]`` pairs per image, in span order.
 
     An ordinary line fills page 0 only. Longer lists go on in further pages of
-    ``page`` spans, so that no row collects an unbounded group.
+    ``page`` spans, so that no row collects an unbounded group. With
+    ``images``, those of them that have no span get an empty list.
     """
     part = as_list(part)
     paged = spans.withColumn("page_no", F.floor(F.col("span_no") / page))
@@ -125,4 +126,8 @@ def spans_json(
         F.sort_array(F.collect_list(F.struct("span_no", "beg", "end"))).alias("__items")
     )
     pairs = F.transform("__items", lambda s: F.array(s["beg"], s["end"]))
-    return listed.select(*part, "page_no", F.to_json(pairs).alias("spans_json"))
+    out = listed.select(*part, "page_no", F.to_json(pairs).alias("spans_json"))
+    if images is None:
+        return out
+    none = images.select(*part).distinct().join(spans.select(*part), part, "left_anti")
+    return out.unionByName(none.select(*part, F.lit(0).cast("bigint").alias("page_no"), F.lit("[]").alias("spans_json")))

@@ -33,9 +33,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 @query("predicted_files", f"SELECT dir, idx::BIGINT AS idx FROM {TYPED_SQL} WHERE label = 1")
 def predicted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index files per directory, one number per line."""
+    """Index files per directory, one number per line; a rerun leaves none to a directory that lost its separators."""
     path = fresh_path(spark, "predicted_files")
-    tables.write_predicted_index(typed_slices(spark, sf_dir), path, "dir", "idx", "label")
+    rows = typed_slices(spark, sf_dir).select("dir", "idx", "label")
+    other = rows.where("idx = 0").withColumn("dir", F.lit("no: separators"))
+    for label in (1, 0):
+        run = rows.unionByName(other.withColumn("label", F.lit(label)))
+        tables.write_predicted_index(run, path, "dir", "idx", "label")
     written = spark.read.schema("value string, dir string").text(path)
     return written.select("dir", F.col("value").cast("bigint").alias("idx"))
 

@@ -45,10 +45,27 @@ def _write_text_by_dir(df: DataFrame, path: str, directory: str, order: str, lin
     )
 
 
+def _remove_dirs(dirs: DataFrame, path: str, directory: str) -> None:
+    """Remove what ``path`` holds for the directories; they come to the driver one partition at a time."""
+    spark = dirs.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in dirs.select(F.col(directory).cast("string")).toLocalIterator():
+        part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(directory, row[0])
+        system.delete(jvm.org.apache.hadoop.fs.Path(folder, part), True)
+
+
 def write_predicted_index(df: DataFrame, path: str, directory: str, idx: str, label: str) -> None:
-    """One slice number per line for the predicted separators of each directory."""
+    """One slice number per line for the predicted separators of each directory.
+
+    A directory of ``df`` without any has no file, nor does it keep one of a
+    run before; directories outside of ``df`` are left alone.
+    """
     cuts = cut_positions(df, label, [directory, idx]).withColumn("__line", F.col(idx).cast("string"))
     _write_text_by_dir(cuts, path, directory, idx, "__line")
+    none = df.groupBy(directory).agg(F.count_if(F.col(label) == 1).alias("__n")).where(F.col("__n") == 0)
+    _remove_dirs(none, path, directory)
 
 
 def write_slices(df: DataFrame, path: str, directory: str, idx: str, label: str) -> None:

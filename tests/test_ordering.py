@@ -61,6 +61,13 @@ def test_spans_of_a_part_are_ordered_and_apart(spark):
         assert all(beg <= end for _, beg, end in items)
 
 
+def test_spans_json_of_images_without_spans(spark):
+    spans = spark.createDataFrame([("a", 0, 1, 2)], "img string, span_no bigint, beg int, end int")
+    images = spark.createDataFrame([("a",), ("b",), ("b",)], "img string")
+    got = sorted(tuple(r) for r in spans_json(spans, "img", images=images).collect())
+    assert got == [("a", 0, "[[1,2]]"), ("b", 0, "[]")]
+
+
 def test_spans_json_pages(spark):
     spans = spark.createDataFrame([("a", n, n * 10, n * 10 + 5) for n in range(5)], "img string, span_no bigint, beg bigint, end bigint")
     got = {(r.page_no, r.spans_json) for r in spans_json(spans, "img", page=3).collect()}

@@ -182,6 +182,15 @@ def test_bad_images_are_listed(spark, image_dir):
         images.scan_raw_lines(spark, str(root), max_h=48, strict=True).collect()
 
 
+def test_predicted_index_of_a_rerun(spark, tmp_path):
+    path = str(tmp_path / "predicted")
+    first = [("a: b/c", 0, 1), ("kept", 0, 1), ("other", 3, 1), ("never", 0, 0)]
+    second = [("a: b/c", 0, 0), ("kept", 0, 0), ("kept", 1, 1), ("never", 0, 0)]
+    for rows in (first, second):
+        tables.write_predicted_index(spark.createDataFrame(rows, "dir string, idx int, label int"), path, "dir", "idx", "label")
+    assert sorted(tuple(r) for r in spark.read.schema("value string, dir string").text(path).collect()) == [("1", "kept"), ("3", "other")]
+
+
 def ink_model():
     """Label 1 where the middle of a slice is white: a stand-in for a trained network."""
 
