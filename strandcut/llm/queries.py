@@ -1,6 +1,8 @@
 """All queries of the subpackage, registered on import."""
 
-from strandcut.llm import fingerprints, jaccard, licences, mixing, pieces, pii, quality, sharding, urls, vectors  # noqa: F401
+from strandcut.llm import (  # noqa: F401
+    fingerprints, jaccard, licences, manifest, mixing, pieces, pii, quality, sharding, urls, vectors,
+)
 from strandcut.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
