@@ -364,7 +364,8 @@ def near_vectors(
     more = hits.groupBy("cid").agg(F.sum("more").alias("more"))
     of = classes.select("cid", "least", "copies").join(more, "cid", "left").join(groups, F.col("cid") == F.col("node"), "left")
     of = of.select("cid", "least", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("comp", "cid").alias("comp"))
-    names = of.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join with it is one of two plain shuffles, of which a hot component can be split.
+    names = stored(of.groupBy("comp").agg(F.min("least").alias("component_id")), "near-names")
     of = stored(of.join(names, "comp").select("cid", "n_links", "component_id"), "near-result")
     dropped(classes, hits, found)
     out = described.select("vec_id", "cid").join(of, "cid").select("vec_id", "n_links", "component_id")
