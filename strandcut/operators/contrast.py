@@ -1,26 +1,29 @@
-"""Two views of a slice, the key bank and contrastive logits."""
+"""Two views of a slice, the key bank and contrastive logits.
+
+Queries meet a bank block by block. Each pair of blocks is a matrix product
+inside one task; only a few numbers for each query leave it, and these can be
+added up over any cut of the bank. No bank is ever fetched or sent to all tasks,
+so neither its length nor that of the queries is bounded.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandcut.functions.vectors import doubles, dot, flip, random_bit
-from strandcut.operators.ordering import chunk_of
+from strandcut.operators.ordering import as_list, chunk_of, running_position
 
 BANK_SIZE = 65_536
 TEMPERATURE = 0.07
-# Ceiling for a bank sent to the executors: the default one at 256 dimensions.
-BANK_BYTES = 128 << 20
-# Queries scored at once: with a full bank their logits take about 64 MB.
-BLOCK_ROWS = 128
-LOGITS = T.StructField("logits", T.ArrayType(T.DoubleType()))
+#: Keys and queries that one task multiplies, and the queries whose logits it holds at once.
+KEY_ROWS, QUERY_ROWS, PART_ROWS = 8_192, 8_192, 256
 
 
 def random_flip(df: DataFrame, key: str, vec: str, seed: int, *, p: float = 0.5, width: int | None = None) -> DataFrame:
@@ -63,66 +66,178 @@ def key_bank(df: DataFrame, seq: str, size: int = BANK_SIZE) -> DataFrame:
     return newest.withColumn("slot", F.pmod(rank, F.lit(size)).cast("bigint"))
 
 
-def bank_matrix(bank: DataFrame, vec: str, seq: str, size: int = BANK_SIZE) -> np.ndarray:
-    """The bank as one matrix, oldest key first.
+def bank_places(bank: DataFrame, vec: str, seq: str) -> DataFrame:
+    """A bank's keys as ``place, vec``: numbered from 0, oldest first."""
+    rows = bank.select(F.col(seq).alias("__seq"), doubles(F.col(vec)).alias("vec"))
+    return running_position(rows, None, "__seq", "place").select("place", "vec")
+
+
+def _met(queries: DataFrame, keys: list[str], bank: DataFrame, kernel, out: T.StructType, key_rows: int, query_rows: int) -> DataFrame:
+    """``kernel`` over each block of queries and each block of the bank that one of them sees.
+
+    ``queries`` has the ``keys``, ``q`` and the places ``[since, until)`` of the
+    bank that it sees. Both sides are cut, so no task holds more than
+    ``key_rows`` keys and about ``query_rows`` queries.
+    """
+    first, last = F.floor(F.col("since") / key_rows), F.floor((F.col("until") - 1) / key_rows)
+    seen = queries.where("since < until").withColumn("__block", F.explode(F.sequence(first, last)))
+    per = seen.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    cut = per.select("__block", F.ceil(F.col("__n") / query_rows).alias("__cuts"))
+    cut_queries = seen.join(cut, "__block").withColumn("__cut", F.pmod(F.xxhash64(*keys), F.col("__cuts"))).drop("__cuts")
+    blocks = bank.withColumn("__block", F.floor(F.col("place") / key_rows)).join(cut, "__block").withColumn(
+        "__cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__cuts") - 1))
+    ).drop("__cuts")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({f.name: [] for f in out})
+        right = right.sort_values("place")
+        places, vecs = right["place"].to_numpy(), np.stack(right["vec"].to_list())
+        parts = []
+        for at in range(0, len(left), PART_ROWS):
+            part = left.iloc[at:at + PART_ROWS]
+            hidden = (places < part["since"].to_numpy()[:, None]) | (places >= part["until"].to_numpy()[:, None])
+            parts.append(kernel(part, np.stack(part["q"].to_list()) @ vecs.T, hidden, places))
+        return pd.concat(parts)
+
+    by = ["__block", "__cut"]
+    return cut_queries.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(meet, out)
+
+
+def bank_logits(
+    queries: DataFrame, keys: str | Sequence[str], bank: DataFrame, *,
+    temperature: float = TEMPERATURE, key_rows: int = KEY_ROWS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """``keys, n_keys, top, total, lse`` of each query's logits with the keys it sees.
+
+    ``queries`` holds the unique ``keys``, the encoding ``q`` and the places
+    ``since`` (first) and ``until`` (behind the last) of what it sees; ``bank`` holds
+    ``place, vec``. Returned are how many keys were seen, the largest logit, the sum of the logits
+    and the logarithm of the sum of their exponentials, for queries that see any.
+
+    Blocks of the bank give sums that are scaled by a whole exponent and added
+    up by it, so their number does not matter and nothing overflows.
+    """
+    keys = as_list(keys)
+    out = T.StructType([
+        *queries.select(*keys).schema, T.StructField("n_keys", T.LongType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("top", "total", "scaled")],
+    ])
+
+    def add_up(part: pd.DataFrame, products: np.ndarray, hidden: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+        z = np.where(hidden, -np.inf, products / temperature)
+        top = z.max(axis=1)
+        some = np.isfinite(top)
+        z, hidden = z[some], hidden[some]
+        return part.loc[some, keys].assign(
+            n_keys=(~hidden).sum(axis=1), top=top[some], total=np.where(hidden, 0.0, z).sum(axis=1),
+            scaled=np.exp(z - np.floor(top[some])[:, None]).sum(axis=1),
+        )
+
+    partial = _met(queries, keys, bank, add_up, out, key_rows, query_rows)
+    level = F.floor("top")
+    # As many levels as whole numbers between a query's smallest and largest block maximum.
+    levels = partial.groupBy(*keys, level.alias("__level")).agg(
+        F.sum("n_keys").alias("n_keys"), F.max("top").alias("top"), F.sum("total").alias("total"), F.sum("scaled").alias("scaled")
+    )
+    merged = levels.groupBy(*keys).agg(
+        F.sum("n_keys").alias("n_keys"), F.max("top").alias("top"), F.sum("total").alias("total"),
+        F.collect_list(F.struct("__level", "scaled")).alias("__levels"),
+    )
+    scaled = F.aggregate("__levels", F.lit(0.0), lambda s, x: s + x["scaled"] * F.exp(x["__level"] - F.col("top")))
+    return merged.select(*keys, "n_keys", "top", "total", (F.col("top") + F.log(scaled)).alias("lse"))
+
+
+def nearest_keys(
+    queries: DataFrame, keys: str | Sequence[str], bank: DataFrame, n: int = 1, *,
+    temperature: float = TEMPERATURE, key_rows: int = KEY_ROWS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """``keys, rank, place, logit``: the ``n`` largest logits among the keys that each query sees, ties to the older key.
 
-    The bank is a queue of fixed length; the bytes of the keys it holds are
-    checked before it is sent anywhere, and ``size`` rows are all that is ever
-    fetched.
+    Every block gives its ``n`` best; those are ranked again over the blocks.
     """
-    held = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if not held["n"]:
-        return np.zeros((0, 0))
-    if min(size, held["n"]) * held["d"] * 8 > BANK_BYTES:
-        raise ValueError(f"a bank of {min(size, held['n'])} x {held['d']} keys is over {BANK_BYTES} bytes")
-    kept = bank.orderBy(F.desc(seq)).limit(size).select(seq, doubles(F.col(vec)).alias("__v")).toPandas()
-    return np.stack(kept.sort_values(seq)["__v"].to_list())
+    keys = as_list(keys)
+    out = T.StructType([
+        *queries.select(*keys).schema, T.StructField("place", T.LongType()), T.StructField("logit", T.DoubleType())
+    ])
 
+    def best(part: pd.DataFrame, products: np.ndarray, hidden: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+        z = np.where(hidden, -np.inf, products / temperature)
+        order = np.argsort(-z, axis=1, kind="stable")[:, :n]
+        logit = np.take_along_axis(z, order, 1)
+        row, col = np.nonzero(np.isfinite(logit))
+        return part[keys].iloc[row].assign(place=places[order[row, col]], logit=logit[row, col])
 
-def _logits(q: pd.Series, k: pd.Series, bank: np.ndarray, temperature: float) -> np.ndarray:
-    qs, ks = np.stack(q.to_list()), np.stack(k.to_list())
-    positive = np.einsum("nc,nc->n", qs, ks)[:, None]
-    negative = qs @ bank.T if bank.size else np.zeros((len(qs), 0))
-    return np.concatenate([positive, negative], axis=1) / temperature
+    found = _met(queries, keys, bank, best, out, key_rows, query_rows)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("logit"), "place"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n).select(*keys, "rank", "place", "logit")
+
+
+def _sees(df: DataFrame, keys: list[str], q: str, since: Column, until: Column) -> DataFrame:
+    return df.select(*keys, doubles(F.col(q)).alias("q"), since.cast("bigint").alias("since"), until.cast("bigint").alias("until"))
+
+
+def _with_loss(df: DataFrame, keys: list[str], q: str, k: str, logits: DataFrame, temperature: float, *more: str) -> DataFrame:
+    own = positive_logit(df, q, k, "l_pos").select(*keys, *more, (F.col("l_pos") / temperature).alias("l_pos"))
+    top = F.greatest("l_pos", F.coalesce("lse", "l_pos"))
+    # The own key comes first among the logits; without others its loss is 0.
+    every = F.when(F.col("lse").isNull(), F.col("l_pos")).otherwise(
+        top + F.log(F.exp(F.col("l_pos") - top) + F.exp(F.col("lse") - top))
+    )
+    return own.join(logits, keys, "left").select(
+        *keys, *more, F.coalesce("n_keys", F.lit(0)).cast("bigint").alias("n_keys"), "l_pos",
+        F.col("top").alias("neg_max"), F.coalesce("total", F.lit(0.0)).alias("neg_sum"), (every - F.col("l_pos")).alias("loss"),
+    )
 
 
 def contrastive_logits(
-    df: DataFrame, keys: Sequence[str], q: str, k: str, bank: np.ndarray, temperature: float = TEMPERATURE
+    df: DataFrame, keys: str | Sequence[str], q: str, k: str, bank: DataFrame, temperature: float = TEMPERATURE, **blocks: int
 ) -> DataFrame:
-    """The logit row of each query: own key first, then every key of the bank.
+    """Each query against its own key and every key of a bank ``place, vec`` (see :func:`bank_places`).
 
-    Returns ``keys`` and ``logits``, an array of one more than the bank's
-    length. Rows leave in small blocks, as a full bank makes each 512 kB long.
+    Returns ``keys, n_keys, l_pos, neg_max, neg_sum, loss``: the number of
+    bank keys, the own logit, the largest and the sum of the others, and the loss of
+    picking the own key. The logits themselves stay in the blocks; :func:`nearest_keys`
+    gives the largest ones. ``keys`` name one query each.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bank)
-    rows = df.select(*keys, doubles(F.col(q)).alias("__q"), doubles(F.col(k)).alias("__k"))
+    keys = as_list(keys)
+    size = bank.agg(F.coalesce(F.max("place") + 1, F.lit(0))).first()[0]
+    logits = bank_logits(_sees(df, keys, q, F.lit(0), F.lit(size)), keys, bank, temperature=temperature, **blocks)
+    return _with_loss(df, keys, q, k, logits, temperature)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                block = batch.iloc[at:at + BLOCK_ROWS]
-                z = _logits(block["__q"], block["__k"], shared.value, temperature)
-                yield block[list(keys)].assign(logits=list(z))
 
-    return rows.mapInPandas(score, T.StructType([*rows.select(*keys).schema, LOGITS]))
+def info_nce(
+    df: DataFrame, keys: str | Sequence[str], q: str, k: str, bank: DataFrame, temperature: float = TEMPERATURE, **blocks: int
+) -> DataFrame:
+    """``keys, loss``: the loss of picking the own key among all."""
+    keys = as_list(keys)
+    return contrastive_logits(df, keys, q, k, bank, temperature, **blocks).select(*keys, "loss")
 
 
-def info_nce(
-    df: DataFrame, q: str, k: str, bank: np.ndarray, temperature: float = TEMPERATURE, out: str = "loss"
+def bank_by_step(
+    df: DataFrame, order: str, q: str, k: str, *, batch: int, size: int = BANK_SIZE, start: DataFrame | None = None,
+    temperature: float = TEMPERATURE, **blocks: int,
 ) -> DataFrame:
-    """Add the loss of picking the own key; the logit row never leaves its batch."""
-    shared = df.sparkSession.sparkContext.broadcast(bank)
-
-    @F.pandas_udf("double")
-    def loss(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        keys = shared.value
-        for qs, ks in batches:
-            losses = []
-            for at in range(0, len(qs), BLOCK_ROWS):
-                stop = at + BLOCK_ROWS
-                z = _logits(qs.iloc[at:stop], ks.iloc[at:stop], keys, temperature)
-                top = z.max(axis=1)
-                losses.append(np.log(np.exp(z - top[:, None]).sum(axis=1)) + top - z[:, 0])
-            yield pd.Series(np.concatenate(losses) if losses else np.zeros(0))
-
-    return df.withColumn(out, loss(doubles(F.col(q)), doubles(F.col(k))))
+    """Each batch against the bank as it was before it, its own keys entering afterwards.
+
+    Rows come in ``order`` (a unique integer), ``batch`` at a time. The bank is a ring of the
+    newest ``size`` keys (a multiple of ``batch``): step t overwrites the slots from ``t * batch % size`` on. So
+    the keys that a batch sees are those ranked within ``size`` before its
+    first row, a window of ranks, and all steps are worked out at once by blocks of them.
+    ``start`` (``slot, vec``) fills the ring before the first step; without it the bank starts empty.
+
+    Returns ``order, batch_id, n_keys, l_pos, neg_max, neg_sum, loss`` and the ``slot`` that the row's key takes.
+    """
+    if batch <= 0 or size % batch:
+        raise ValueError("the bank's size must be a multiple of the batch's")
+    ranked = running_position(df.select(order, q, k), None, order, "rank")
+    ranked = ranked.withColumn("batch_id", F.floor(F.col("rank") / batch)).withColumn("slot", F.pmod("rank", F.lit(size)))
+    # Places are ranks, moved up by the ring that may have been there before.
+    begin = F.col("batch_id") * batch
+    oldest = begin if start is not None else F.greatest(begin, F.lit(size))
+    bank = ranked.select((F.col("rank") + size).alias("place"), doubles(F.col(k)).alias("vec"))
+    if start is not None:
+        bank = bank.unionByName(start.select(F.col("slot").cast("bigint").alias("place"), doubles(F.col("vec")).alias("vec")))
+    seen = _sees(ranked, [order], q, oldest, begin + size)
+    logits = bank_logits(seen, order, bank, temperature=temperature, **blocks)
+    return _with_loss(ranked, [order], q, k, logits, temperature, "batch_id", "slot")

@@ -13,9 +13,12 @@ shuffled once.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from strandcut.session import shared_dir
@@ -24,7 +27,10 @@ CHUNK_BITS = 16
 CARRY_BITS = 24
 LEVELS = 3
 HOT_ROWS = 1 << 20
-HASH_DIGITS = 4
+# Keys of large partitions that may be sent to all tasks.
+HOT_LISTED = 1 << 14
+HASH_BITS = 60
+CHUNK_ROWS = 1 << 16
 
 
 def as_list(cols: str | Sequence[str] | None) -> list[str]:
@@ -38,14 +44,95 @@ def chunk_of(order: str | Column, bits: int = CHUNK_BITS) -> Column:
     return F.shiftright(col.cast("bigint"), bits)
 
 
-def hot_parts(df: DataFrame, part: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The partitions of more than ``hot_rows`` rows, marked for broadcast.
+@dataclass(frozen=True)
+class HotParts:
+    """The large partitions of a table: their keys, marked by ``__hot``, and whether one of them is null."""
 
-    There are at most ``rows / hot_rows`` of them. Counting is combined before
-    the shuffle, so it costs a narrow scan.
+    keys: DataFrame
+    part: tuple[str, ...]
+    nulls: bool
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        return join_parts(df, self.keys, list(self.part), nulls=self.nulls)
+
+
+def join_parts(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left", *, nulls: bool = True) -> DataFrame:
+    """Join on ``keys``; with ``nulls``, null keys meet null ones."""
+    if not nulls:
+        return df.join(other, list(keys), how)
+    renamed = other.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"__of_{k}" for k in keys])
+
+
+def hot_parts(df: DataFrame, part: Sequence[str], hot_rows: int = HOT_ROWS) -> HotParts | None:
+    """The partitions of more than ``hot_rows`` rows; None without any.
+
+    There are at most ``rows / hot_rows`` of them, found by counting, which is
+    combined before its shuffle. Up to ``HOT_LISTED`` are sent to all tasks; more are
+    an ordinary table to join with.
     """
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
-    return F.broadcast(sizes.where(F.col("__rows") > hot_rows).select(*part, F.lit(True).alias("__hot")))
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    hot = sizes.select(*part, F.lit(True).alias("__hot"))
+    some = hot.limit(HOT_LISTED + 1).collect()
+    if not some:
+        return None
+    if len(some) <= HOT_LISTED:
+        keys = F.broadcast(df.sparkSession.createDataFrame(some, hot.schema))
+        return HotParts(keys, tuple(part), any(None in r for r in some))
+    return HotParts(hot, tuple(part), True)
+
+
+#: Scans along an order: how rows are put together, and what a row takes from those before it. ``near`` is the
+#: nearest value that is not null, ``far`` the one at the end.
+FOLDS = {
+    "sum": (F.sum, lambda local, carry: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))),
+    "min": (F.min, lambda local, carry: F.least(local, carry)),
+    "max": (F.max, lambda local, carry: F.greatest(local, carry)),
+    "near": (lambda v: F.last(v, ignorenulls=True), lambda local, carry: F.coalesce(local, carry)),
+    "far": (lambda v: F.first(v, ignorenulls=True), lambda local, carry: F.coalesce(carry, local)),
+}
+
+
+def scan(
+    df: DataFrame, part: str | Sequence[str] | None, order: str, before: Mapping[str, tuple[str, Column]],
+    after: Mapping[str, tuple[str, Column]] | None = None, *, bits: int = CARRY_BITS, levels: int = LEVELS,
+) -> DataFrame:
+    """Add what the rows ``before`` each row, and those ``after`` it, come to along ``order`` within ``part``.
+
+    Each entry is ``name: (fold, value)`` with a fold of ``FOLDS``. ``order`` is an
+    integer, unique within ``part``. It is cut every ``2**bits`` values: the chunks
+    are folded up into one row each, which is scanned the same way, level
+    by level, and each chunk adds what it is handed to what its own rows come to. No window
+    holds more than ``2**bits`` rows below the last of the ``levels``. Null parts are parts like others.
+    """
+    part, after = as_list(part), dict(after or {})
+    columns = df.columns
+    both = {**{n: (*v, False) for n, v in before.items()}, **{n: (*v, True) for n, v in after.items()}}
+    chunk = f"__scan{levels}"
+    tagged = df.withColumns({f"__v_{n}": v for n, (_, v, _) in both.items()})
+    if levels > 1:
+        tagged = tagged.withColumn(chunk, chunk_of(order, bits))
+    keys = [*part, chunk] if levels > 1 else part
+    along = Window.partitionBy(*keys).orderBy(F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumns({f"__l_{n}": FOLDS[fold][0](f"__v_{n}").over(back if later else along) for n, (fold, _, later) in both.items()})
+    if levels == 1:
+        return local.select(*columns, *[FOLDS[f][1](F.col(f"__l_{n}"), F.lit(None)).alias(n) for n, (f, _, _) in both.items()])
+
+    def whole(n: str, fold: str, later: bool) -> Column:
+        if fold in ("near", "far"):
+            place = F.when(F.col(f"__v_{n}").isNotNull(), F.col(order))
+            return (F.max_by if (fold == "near") != later else F.min_by)(f"__v_{n}", place)
+        return FOLDS[fold][0](f"__v_{n}")
+
+    chunks = tagged.groupBy(*keys).agg(*[whole(n, f, later).alias(f"__w_{n}") for n, (f, _, later) in both.items()])
+    handed = scan(
+        chunks, part, chunk, {f"__c_{n}": (f, F.col(f"__w_{n}")) for n, (f, _, later) in both.items() if not later},
+        {f"__c_{n}": (f, F.col(f"__w_{n}")) for n, (f, _, later) in both.items() if later}, bits=bits, levels=levels - 1,
+    ).drop(*[f"__w_{n}" for n in both])
+    joined = join_parts(local, handed, keys, "left")
+    return joined.select(*columns, *[FOLDS[f][1](F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, (f, _, _) in both.items()])
 
 
 def prefix_sums(
@@ -61,7 +148,7 @@ def prefix_sums(
     carry_bits: int = CARRY_BITS,
     levels: int = LEVELS,
     hot_rows: int | None = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotParts | None | str = "count",
 ) -> DataFrame:
     """Add running sums of ``sums`` over ``order`` within ``part``.
 
@@ -71,19 +158,25 @@ def prefix_sums(
     partition.
 
     Only partitions of more than ``hot_rows`` rows are cut; the others are one
-    chunk and need no carry (None cuts all, and so do ``totals``). ``hot`` gives
-    the result of :func:`hot_parts` where counting ``df`` itself would be dear.
+    chunk and need no carry (None cuts all). ``hot`` gives the result of
+    :func:`hot_parts` where counting ``df`` itself would be dear. Null parts are parts like others.
 
-    The chunk rows are summed up the same way, ``levels`` deep, ``carry_bits``
-    at a time. By default an ordered group has at most ``2**16`` data rows or
-    ``2**24`` narrow chunk rows, for any unique 64-bit key, dense or sparse.
+    The chunk rows are summed up the same way, ``levels`` deep: integers
+    ``carry_bits`` at a time, lists of expressions one expression at a time. By
+    default an ordered group has at most ``2**16`` data rows or ``2**24`` narrow
+    chunk rows, for any unique 64-bit key, dense or sparse.
     """
     part, order = as_list(part), as_list(order)
     columns = df.columns
+    split = bool(part) and hot_rows is not None
+    if split and hot == "count":
+        hot = hot_parts(df, part, hot_rows)
+    if split and hot is None:
+        return _window_sums(df, part, order, sums, inclusive, totals)
+    nulls = hot.nulls if split else True
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
-    split = bool(part) and not totals and hot_rows is not None
     if split:
-        df = df.join(hot_parts(df, part, hot_rows) if hot is None else hot, part, "left")
+        df = hot.mark(df)
         cuts = [F.when(F.col("__hot"), c) for c in cuts]
     cut_names = [f"__cut{levels}_{i}" for i in range(len(cuts))]
     tagged = df.withColumns(dict(zip(cut_names, cuts))).withColumns(
@@ -93,11 +186,12 @@ def prefix_sums(
 
     chunked = tagged.where("__hot") if split else tagged
     carried = chunked.groupBy(*keys).agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in sums])
-    if levels > 2 and chunk is None:
+    whole = isinstance(carried.schema[cut_names[0]].dataType, T.IntegralType)
+    if levels > 2 and (len(cuts) > 1 or whole):
         above = {f"__carry_{n}": F.col(f"__sum_{n}") for n in sums}
+        coarser = {"chunk": [F.col(c) for c in cut_names[:-1]]} if len(cuts) > 1 else {"bits": carry_bits}
         carried = prefix_sums(
-            carried, part, cut_names[0], above, totals=totals,
-            bits=carry_bits, carry_bits=carry_bits, levels=levels - 1, hot_rows=None,
+            carried, part, cut_names, above, totals=totals, carry_bits=carry_bits, levels=levels - 1, hot_rows=None, **coarser,
         ).drop(*[f"__sum_{n}" for n in sums])
         if totals:
             carried = carried.withColumnsRenamed({f"__carry_{n}_total": f"{n}_total" for n in sums})
@@ -118,14 +212,36 @@ def prefix_sums(
     local = tagged.withColumns(
         {f"__local_{n}": F.coalesce(F.sum(f"__in_{n}").over(inside), F.lit(0)) for n in sums}
     )
-    joined = local.join(carried, keys, "left")
+    if totals and split:
+        # A partition that is not cut is one group of the keys.
+        local = local.withColumns({f"__all_{n}": F.sum(f"__in_{n}").over(Window.partitionBy(*keys)) for n in sums})
+    if part and nulls:
+        joined = join_parts(local, carried, keys, "left")
+        if split:
+            joined = joined.withColumns({f"__carry_{n}": F.when(F.col("__hot"), F.col(f"__carry_{n}")) for n in sums})
+    else:
+        joined = local.join(carried, keys, "left")
     out = [F.col(c) for c in columns if c not in sums]
     out += [(F.col(f"__local_{n}") + F.coalesce(f"__carry_{n}", F.lit(0))).alias(n) for n in sums]
     if totals:
-        out += [F.col(f"{n}_total") for n in sums]
+        out += [(F.coalesce(f"{n}_total", f"__all_{n}") if split else F.col(f"{n}_total")).alias(f"{n}_total") for n in sums]
     return joined.select(*out)
 
 
+def _window_sums(
+    df: DataFrame, part: list[str], order: list[str], sums: Mapping[str, Column], inclusive: bool, totals: bool
+) -> DataFrame:
+    """The sums where no partition is large: one window."""
+    values = df.withColumns({f"__in_{n}": e for n, e in sums.items()})
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    every = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = [F.col(c) for c in df.columns if c not in sums]
+    out += [F.coalesce(F.sum(f"__in_{n}").over(inside), F.lit(0)).alias(n) for n in sums]
+    if totals:
+        out += [F.sum(f"__in_{n}").over(every).alias(f"{n}_total") for n in sums]
+    return values.select(*out)
+
+
 def running_position(
     df: DataFrame,
     part: str | Sequence[str] | None,
@@ -204,22 +320,20 @@ def hash_key(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
-def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
-    return F.conv(F.substring(key, 1, digits), 16, 10).cast("bigint")
-
-
 def hash_position(
-    df: DataFrame, ids: str | Sequence[str], seed: int, name: str = "pos", digits: int = HASH_DIGITS
+    df: DataFrame, ids: str | Sequence[str], seed: int, name: str = "pos", chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Place of each row in the order of the hash of its unique id.
 
-    The leading hash digits spread the rows evenly over ``16**digits`` chunks.
+    The leading ``HASH_BITS`` of the hash are an integer key that spreads rows evenly, so
+    chunks of equally many values hold about ``chunk_rows`` each, however many rows there are.
     """
     ids = as_list(ids)
-    keyed = df.withColumn("__hash", hash_key(seed, *ids))
-    return running_position(
-        keyed, None, ["__hash", *ids], name, chunk=[hash_bucket(F.col("__hash"), digits)]
-    ).drop("__hash")
+    head = F.conv(F.substring("__hash", 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    keyed = df.withColumn("__hash", hash_key(seed, *ids)).withColumn("__head", head)
+    chunks = max(1, df.count() // chunk_rows)
+    bits = HASH_BITS - (chunks - 1).bit_length()
+    return running_position(keyed, None, ["__head", "__hash", *ids], name, bits=bits).drop("__hash", "__head")
 
 
 def with_neighbours(

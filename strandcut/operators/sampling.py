@@ -6,16 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from strandcut.operators.ordering import (
-    HASH_DIGITS,
-    as_list,
-    hash_bucket,
-    hash_key,
-    hash_position,
-    ordered_index,
-)
+from strandcut.operators.ordering import as_list, hash_position
+from strandcut.operators.selection import hash_quota, rows_at
 
 
 def sample_cap(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:
@@ -28,36 +21,23 @@ def preview(df: DataFrame, order: str | Sequence[str], offset: int, n: int = 32)
     return df.orderBy(*as_list(order)).offset(offset).limit(n)
 
 
-def slice_at(df: DataFrame, order: Sequence[str], first: int, n: int = 1) -> DataFrame:
-    """Rows number ``first`` to ``first + n - 1`` in ``order``, with ``idx``."""
-    numbered = ordered_index(df, order, "idx")
-    return numbered.where((F.col("idx") >= first) & (F.col("idx") < first + n))
+def slice_at(df: DataFrame, order: Sequence[str], first: int, n: int = 1, **options: int) -> DataFrame:
+    """Rows number ``first`` to ``first + n - 1`` in ``order``, with ``idx``.
+
+    The range of the table that holds them is found by counting; nothing else is sorted.
+    """
+    return rows_at(df, order, first, n, **options)
 
 
 def train_test_split(
-    df: DataFrame, ids: str | Sequence[str], fraction: float, seed: int, *, digits: int = HASH_DIGITS
+    df: DataFrame, ids: str | Sequence[str], fraction: float, seed: int, **options: int
 ) -> DataFrame:
     """Add ``is_test``: exactly ``ceil(fraction * n)`` rows, by hash order of a unique id.
 
-    Rows are counted per leading hash digits. All buckets below the one in which
-    the quota runs out are test, all above are train; only the rows of that one
-    bucket are ranked, so next to nothing is shuffled.
+    Rows are counted by leading hash digits, deeper only where the quota ends, which
+    gives the key of its last row; each row is then compared with that, in one scan without a shuffle.
     """
-    ids = as_list(ids)
-    keyed = df.withColumn("__key", hash_key(seed, *ids))
-    keyed = keyed.withColumn("__bucket", hash_bucket(F.col("__key"), digits))
-    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("__n").over(before), F.lit(0))
-    quota = F.ceil(F.round(F.sum("__n").over(Window.partitionBy()) * F.lit(fraction), 6))
-    # At most 16**digits rows, so this side is always small enough to broadcast.
-    quotas = F.broadcast(sizes.select("__bucket", (quota - below).alias("__room"), "__n"))
-    placed = keyed.join(quotas, "__bucket")
-    split_here = (F.col("__room") > 0) & (F.col("__room") < F.col("__n"))
-    clear = placed.where(~split_here).withColumn("is_test", F.col("__room") >= F.col("__n"))
-    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", *ids))
-    border = placed.where(split_here).withColumn("is_test", rank <= F.col("__room"))
-    return clear.unionByName(border).select(*df.columns, "is_test")
+    return df.select(*df.columns, hash_quota(df, ids, seed, fraction, **options).alias("is_test"))
 
 
 def oversample(df: DataFrame, flag: Column, times: int) -> DataFrame:

@@ -105,11 +105,14 @@ def context_features(
     if not part:
         placed = running_position(df, None, order, "__at", bits=bits)
         return neighbours(placed, None, "__at", [value], k, fill=fill, bits=bits).drop("__at")
+    along = Window.partitionBy(*part).orderBy(order)
     hot = hot_parts(df, part, hot_rows)
-    placed = running_position(df.join(hot, part, "left_semi"), part, order, "__at", bits=bits, hot_rows=None)
+    if hot is None:
+        return with_neighbours(df, along, [value], k, fill)
+    marked = hot.mark(df)
+    placed = running_position(marked.where("__hot").drop("__hot"), part, order, "__at", bits=bits, hot_rows=None)
     large = neighbours(placed, part, "__at", [value], k, fill=fill, bits=bits).drop("__at")
-    along = Window.partitionBy(*part).orderBy(order)
-    small = with_neighbours(df.join(hot, part, "left_anti"), along, [value], k, fill)
+    small = with_neighbours(marked.where("__hot IS NULL").drop("__hot"), along, [value], k, fill)
     return small.unionByName(large)
 
 

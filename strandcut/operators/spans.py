@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandcut.operators.ordering import HOT_ROWS, as_list, chunk_of, hot_parts
+from strandcut.operators.ordering import CARRY_BITS, HOT_ROWS, as_list, chunk_of, hot_parts, join_parts, scan
 
-# With order values below 2**40, a large partition has up to a million chunks.
 CHUNK_BITS = 20
 
 
@@ -23,6 +22,7 @@ def char_spans(
     *,
     bits: int = CHUNK_BITS,
     hot_rows: int = HOT_ROWS,
+    link_bits: int = CARRY_BITS,
 ) -> DataFrame:
     """Spans ``[beg, end]`` of label-0 runs along ``order`` within ``part``.
 
@@ -34,7 +34,8 @@ def char_spans(
     A partition of up to ``hot_rows`` rows is read in one go. Larger ones are
     cut into chunks of ``2**bits`` order values; what a chunk needs from the
     others (does a run reach into it, where was the last slice, where is the
-    next separator) is one row per chunk.
+    next separator) is one row per chunk; those rows are scanned ``2**link_bits`` at a
+    time, level by level.
     """
     part = as_list(part)
     rows = df.select(
@@ -42,8 +43,12 @@ def char_spans(
         F.col(order).cast("bigint").alias("__ord"),
         (F.col(label) == 0).alias("__in"),
         F.col(pos).cast("bigint").alias("__pos"),
-    ).join(hot_parts(df.select(*part), part, hot_rows), part, "left")
-    rows = rows.select("*", F.when(F.col("__hot"), chunk_of("__ord", bits)).alias("__chunk")).drop("__hot")
+    )
+    hot = hot_parts(df.select(*part), part, hot_rows)
+    if hot is None:
+        rows = rows.withColumn("__chunk", F.lit(None).cast("bigint"))
+    else:
+        rows = hot.mark(rows).select("*", F.when(F.col("__hot"), chunk_of("__ord", bits)).alias("__chunk")).drop("__hot")
     keys = [*part, "__chunk"]
     inside = Window.partitionBy(*keys).orderBy("__ord")
     stepped = rows.withColumns(
@@ -62,8 +67,14 @@ def char_spans(
         F.min_by("__pos", F.when(~F.col("__in"), F.col("__ord"))).alias("__close"),
         F.max_by("__pos", "__ord").alias("__last"),
     )
-    links = _chunk_links(runs.where(F.col("__chunk").isNotNull()), part)
-    whole = runs.where(F.col("__run") > 0).join(links, keys, "left")
+    whole = runs.where(F.col("__run") > 0)
+    if hot is None:
+        return whole.select(
+            *part, (F.col("__run") - 1).alias("span_no"), F.coalesce("__before", F.lit(0)).alias("beg"),
+            F.coalesce("__close", "__last").alias("end"),
+        )
+    links = _chunk_links(runs.where(F.col("__chunk").isNotNull()), part, link_bits)
+    whole = join_parts(whole, links, keys, nulls=hot.nulls)
     joined = F.coalesce("__joined", F.lit(False))
     return whole.where(~(F.col("__leads") & joined)).select(
         *part,
@@ -73,13 +84,13 @@ def char_spans(
     )
 
 
-def _chunk_links(runs: DataFrame, part: list[str]) -> DataFrame:
+def _chunk_links(runs: DataFrame, part: list[str], bits: int) -> DataFrame:
     """What each chunk of a large partition takes over from its other chunks.
 
     ``__joined``: its first run goes on from the chunk before. ``__carry_pos``:
     last position before it. ``__next_close``: first separator after it.
     ``__final_pos``: last position of the partition. ``__base``: spans opened
-    before it.
+    before it. All are scans over the chunk rows, ``bits`` of their number at a time.
     """
     keys = [*part, "__chunk"]
     chunks = runs.groupBy(*keys).agg(
@@ -89,21 +100,19 @@ def _chunk_links(runs: DataFrame, part: list[str]) -> DataFrame:
         F.max_by(F.col("__close").isNull(), "__run").alias("__ends_in"),
         F.max_by("__last", "__run").alias("__last_pos"),
     )
-    onward = Window.partitionBy(*part).orderBy("__chunk")
-    backward = Window.partitionBy(*part).orderBy(F.desc("__chunk"))
-    earlier = onward.rowsBetween(Window.unboundedPreceding, -1)
-    later = backward.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumns(
-        {
-            "__carry_in": F.coalesce(F.lag("__ends_in").over(onward), F.lit(False)),
-            "__carry_pos": F.lag("__last_pos").over(onward),
-            "__next_close": F.last("__first_close", ignorenulls=True).over(later),
-            "__final_pos": F.first("__last_pos").over(backward),
-        }
-    ).withColumn("__joined", F.col("__leads_in") & F.col("__carry_in"))
+    # A null position is a value like others, so it travels in a struct.
+    chunks = scan(
+        chunks, part, "__chunk", {"__left": ("near", F.struct("__ends_in", "__last_pos"))},
+        {"__next_close": ("near", F.col("__first_close")), "__end": ("far", F.struct("__last_pos"))}, bits=bits,
+    )
+    joined = F.col("__leads_in") & F.coalesce(F.col("__left")["__ends_in"], F.lit(False))
+    chunks = chunks.withColumn("__joined", joined)
     opened = F.col("__n") - F.col("__joined").cast("bigint")
-    chunks = chunks.withColumn("__base", F.coalesce(F.sum(opened).over(earlier), F.lit(0)))
-    return chunks.select(*keys, "__joined", "__carry_pos", "__next_close", "__final_pos", "__base")
+    chunks = scan(chunks, part, "__chunk", {"__base": ("sum", opened)}, bits=bits)
+    return chunks.select(
+        *keys, "__joined", F.col("__left")["__last_pos"].alias("__carry_pos"), "__next_close",
+        F.coalesce(F.col("__end")["__last_pos"], "__last_pos").alias("__final_pos"), "__base",
+    )
 
 
 def cut_positions(df: DataFrame, label: str, keep: Sequence[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from strandcut.plans.catalog.registry import (
 )
 from strandcut.session import shared_dir
 from strandcut.streaming.landing import detect_stream, read_landing
+from strandcut.streaming.runs import current_spans, track_runs
 
 SPANS_SQL = f"""
     SELECT user_id, (g - 1)::BIGINT AS span_no,
@@ -64,6 +65,22 @@ def span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{run}/spans").drop("batch")
 
 
+@query("span_stream_state", SPANS_SQL)
+def span_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans where every user's events land over four files, older ones after newer ones.
+
+    After each landing the stream takes up its state and works off the new file; chunks of 512
+    event numbers cut the users.
+    """
+    run = f"{shared_dir(spark)}/span_stream_state-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", is_separator().alias("label"))
+    for landing in range(4):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == landing).write.mode("append").parquet(f"{run}/landed")
+        stream = read_landing(spark, f"{run}/landed", rows.schema)
+        track_runs(stream, "user_id", "event_id", "label", "event_id", f"{run}/runs", f"{run}/state", bits=9).awaitTermination()
+    return current_spans(spark, f"{run}/runs", "user_id")
+
+
 @query(
     "spans_json",
     f"""
@@ -143,9 +160,9 @@ LINES_SQL = """
 """
 
 
-def lines_at(spark: SparkSession, sf_dir: str, first: int, n: int) -> DataFrame:
+def lines_at(spark: SparkSession, sf_dir: str, first: int, n: int, **options: int) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
-    return sampling.slice_at(table(spark, sf_dir, "lineitem").select(*keys), keys, first, n)
+    return sampling.slice_at(table(spark, sf_dir, "lineitem").select(*keys), keys, first, n, **options)
 
 
 @query("slice_at", f"SELECT * FROM {LINES_SQL} WHERE idx BETWEEN 200 AND 209")
@@ -155,7 +172,8 @@ def slice_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("slice_at_deep", f"SELECT * FROM {LINES_SQL} WHERE idx BETWEEN 30000 AND 30999")
 def slice_at_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_at(spark, sf_dir, 30_000, 1_000)
+    """Far from the start; several rounds of counting leave a hundred rows besides."""
+    return lines_at(spark, sf_dir, 30_000, 1_000, pivots=15, small=100)
 
 
 @query("sample_cap", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 20")

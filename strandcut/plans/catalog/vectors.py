@@ -195,9 +195,15 @@ def key_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contrast.key_bank(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id")
 
 
-def bank(spark: SparkSession, sf_dir: str) -> np.ndarray:
+@query("key_bank_cut", "SELECT vec_id, vec_id % 64 AS slot FROM embeddings ORDER BY vec_id DESC LIMIT 64")
+def key_bank_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank that has been overwritten several times."""
+    return contrast.key_bank(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 64)
+
+
+def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = contrast.key_bank(embeddings(spark, sf_dir), "vec_id")
-    return contrast.bank_matrix(keys, "vec", "vec_id")
+    return contrast.bank_places(keys, "vec", "vec_id")
 
 
 BANK_SQL = f"(SELECT vec FROM {VECTORS_SQL} ORDER BY vec_id DESC LIMIT 65536)"
@@ -216,14 +222,10 @@ LOGITS_SQL = f"""
     """,
 )
 def contrastive_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contrast.contrastive_logits(encoded_pairs(spark, sf_dir), ["vec_id"], "q", "k", bank(spark, sf_dir))
-    negatives = F.slice("logits", F.lit(2), F.size("logits") - 1)
+    rows = contrast.contrastive_logits(encoded_pairs(spark, sf_dir), "vec_id", "q", "k", bank(spark, sf_dir))
     return rows.select(
-        "vec_id",
-        F.size("logits").cast("bigint").alias("n_logits"),
-        F.round(F.get("logits", F.lit(0)), 4).alias("l_pos"),
-        F.round(F.array_max(negatives), 4).alias("neg_max"),
-        F.round(F.aggregate(negatives, F.lit(0.0), lambda s, x: s + x), 3).alias("neg_sum"),
+        "vec_id", (F.col("n_keys") + 1).alias("n_logits"), F.round("l_pos", 4).alias("l_pos"),
+        F.round("neg_max", 4).alias("neg_max"), F.round("neg_sum", 3).alias("neg_sum"),
     )
 
 
@@ -236,10 +238,44 @@ def contrastive_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def info_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contrast.info_nce(encoded_pairs(spark, sf_dir), "q", "k", bank(spark, sf_dir))
+    rows = contrast.info_nce(encoded_pairs(spark, sf_dir), "vec_id", "q", "k", bank(spark, sf_dir))
     return rows.select("vec_id", F.round("loss", 4).alias("loss"))
 
 
+# Row r is in batch r // 32 and sees the keys of the 64 rows before its batch.
+STEP_SQL = f"""
+    SELECT a.vec_id, a.rank // 32 AS batch_id, a.rank % 64 AS slot, count(b.rank) AS n_keys,
+           list_dot_product(any_value(a.q), any_value(a.k)) / 0.07 AS pos,
+           max(list_dot_product(a.q, b.k)) / 0.07 AS top, list(list_dot_product(a.q, b.k) / 0.07) FILTER (b.rank IS NOT NULL) AS negs
+    FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM {PAIRS_SQL}) a
+    LEFT JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM {PAIRS_SQL}) b
+      ON b.rank >= a.rank // 32 * 32 - 64 AND b.rank < a.rank // 32 * 32
+    GROUP BY a.vec_id, a.rank
+"""
+
+
+@query(
+    "bank_by_step",
+    f"""
+    SELECT vec_id, batch_id, slot, n_keys, round(pos, 4) AS l_pos, round(top, 4) AS neg_max,
+           round(coalesce(list_sum(negs), 0.0), 3) AS neg_sum,
+           round(greatest(pos, coalesce(top, pos))
+             + ln(exp(pos - greatest(pos, coalesce(top, pos)))
+                  + coalesce(list_sum(list_transform(negs, lambda z: exp(z - greatest(pos, top)))), 0)) - pos, 4) AS loss
+    FROM ({STEP_SQL})
+    """,
+)
+def bank_by_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 32 against a ring of 64 keys, as it stood before each of them; blocks of 48 keys cut every window."""
+    rows = contrast.bank_by_step(
+        encoded_pairs(spark, sf_dir), "vec_id", "q", "k", batch=32, size=64, key_rows=48, query_rows=64
+    )
+    return rows.select(
+        "vec_id", "batch_id", "slot", "n_keys", *[F.round(c, 4).alias(c) for c in ("l_pos", "neg_max")],
+        F.round("neg_sum", 3).alias("neg_sum"), F.round("loss", 4).alias("loss"),
+    )
+
+
 CONTEXT_SQL = f"""
     (SELECT vec_id, list_concat(list_concat(coalesce(lag(vec) OVER w, z), vec), coalesce(lead(vec) OVER w, z)) AS vec
      FROM (SELECT *, list_transform(range(64), lambda j: 0.0::DOUBLE) AS z FROM {VECTORS_SQL})

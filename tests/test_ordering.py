@@ -137,7 +137,7 @@ def test_ordered_index_spreads_copies(spark):
 
 def test_hash_position_is_a_repeatable_shuffle(spark):
     df = spark.range(500)
-    a = {r.id: r.pos for r in ordering.hash_position(df, "id", 1, digits=1).collect()}
+    a = {r.id: r.pos for r in ordering.hash_position(df, "id", 1, chunk_rows=30).collect()}
     b = {r.id: r.pos for r in ordering.hash_position(df.repartition(9), "id", 1).collect()}
     assert a == b and sorted(a.values()) == list(range(500))
     assert a != {r.id: r.pos for r in ordering.hash_position(df, "id", 2).collect()}

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -8,20 +9,56 @@ from pyspark.sql import functions as F
 from strandcut.functions import geometry as G
 from strandcut.functions import schedule
 from strandcut.functions import vectors as V
-from strandcut.operators import contrast, metrics, review, sampling, scoring, slicing
+from strandcut.operators import contrast, metrics, review, sampling, scoring, selection, slicing
 from strandcut.plans import prepare
 from strandcut.plans.steps import apply_steps
 from strandcut.sources import tables
 
 
 @pytest.mark.parametrize("n,fraction", [(0, 0.3), (1, 0.3), (10, 0.01), (99, 0.2), (257, 0.3), (257, 1.0), (50, 0.0)])
-@pytest.mark.parametrize("digits", [1, 4])
-def test_split_is_exact_whole_and_repeatable(spark, n, fraction, digits):
+@pytest.mark.parametrize("options", [{"digits": 1, "small": 1}, {"digits": 1, "small": 10}, {}])
+def test_split_is_exact_whole_and_repeatable(spark, n, fraction, options):
     df = spark.range(n)
-    a = {r.id: r.is_test for r in sampling.train_test_split(df, "id", fraction, 5, digits=digits).collect()}
+    a = {r.id: r.is_test for r in sampling.train_test_split(df, "id", fraction, 5, **options).collect()}
     assert set(a) == set(range(n)) and sum(a.values()) == math.ceil(round(fraction * n, 6))
-    b = {r.id: r.is_test for r in sampling.train_test_split(df.repartition(7), "id", fraction, 5, digits=digits).collect()}
-    assert a == b
+    ranked = sorted(a, key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
+    assert all(a[i] for i in ranked[:sum(a.values())])
+
+
+def test_split_does_not_shuffle_rows(spark):
+    df = sampling.train_test_split(spark.range(1000), "id", 0.3, 5, digits=1, small=1)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("options", [{"pivots": 7, "small": 5}, {"pivots": 255, "small": 1}, {}])
+def test_rows_at_any_place(spark, options):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "a", "b", "é", ""]), rnd.choice([None, *range(40)]), float(i % 50)) for i in range(600)]
+    rows += [("c", 7, 1.0)] * 300  # Equal rows, more than one range can hold.
+    df = spark.createDataFrame(rows, "k string, n int, v double").repartition(5)
+    first = lambda v: (v is not None, v if v is not None else 0)
+    want = sorted(((r[0], r[1]) for r in rows), key=lambda r: ((r[0] is not None, (r[0] or "").encode()), first(r[1])))
+    for at, n in ((0, 1), (0, 5), (597, 9), (610, 250), (899, 1), (890, 40), (900, 3), (5000, 2), (0, 900)):
+        got = sampling.slice_at(df, ["k", "n"], at, n, **options).orderBy("idx").collect()
+        assert [r.idx for r in got] == list(range(at, min(900, at + n)))
+        assert [(r.k, r.n) for r in got] == want[at:at + n]
+    none = df.limit(0)
+    assert sampling.slice_at(none, ["k"], 0, 4, **options).count() == 0
+
+
+def test_all_places_together_are_the_table(spark):
+    df = spark.createDataFrame([(i % 3, i % 2, i // 4) for i in range(200)], "a int, b int, c int").repartition(4)
+    got = [tuple(r)[:3] for at in range(0, 200, 40) for r in sampling.slice_at(df, ["a"], at, 40, pivots=3, small=2).collect()]
+    assert sorted(got) == sorted(map(tuple, df.collect()))
+
+
+def test_rows_at_sorts_one_range_only(spark):
+    df = spark.range(5000).withColumn("v", F.pmod(F.col("id") * 37, F.lit(5000)))
+    part, before, rows = selection.place_range(df, ["v"], 2500, 10, pivots=63, small=50)
+    assert rows <= 60 and part.count() == rows and part.where("v < 2500").count() == 2500 - before
+    plan = sampling.slice_at(df, ["v"], 2500, 10, pivots=63, small=50)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
 
 
 @pytest.mark.parametrize("times", [0, 1, 3])
@@ -117,18 +154,63 @@ def test_contrast_by_hand(spark):
     bank_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(keys)], "seq bigint, v array<double>")
     newest = contrast.key_bank(bank_df, "seq", 32)
     assert {(r.seq, r.slot) for r in newest.collect()} == {(i, i % 32) for i in range(18, 50)}
-    bank = contrast.bank_matrix(newest, "v", "seq", 32)
-    assert np.allclose(bank, keys[18:])
-    with pytest.raises(ValueError):
-        contrast.bank_matrix(newest, "v", "seq", 1 << 24)
-    z = np.concatenate([(q * k).sum(1, keepdims=True), q @ bank.T], axis=1) / 0.07
-    got = {r.i: r.logits for r in contrast.contrastive_logits(df, ["i"], "q", "k", bank).collect()}
-    assert len(got) == 300 and all(np.allclose(got[i], z[i]) for i in range(300))
+    bank = contrast.bank_places(newest, "v", "seq")
+    assert [(r.place, r.vec) for r in bank.orderBy("place").collect()] == [(i, keys[18 + i].tolist()) for i in range(32)]
+    z = np.concatenate([(q * k).sum(1, keepdims=True), q @ keys[18:].T], axis=1) / 0.07
     want = np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[:, 0]
-    loss = {r.i: r.loss for r in contrast.info_nce(df, "q", "k", bank).collect()}
+    # One block of the bank or seven, queries in one part or many: the same figures.
+    for blocks in ({}, {"key_rows": 5, "query_rows": 40}):
+        got = {r.i: r for r in contrast.contrastive_logits(df, ["i"], "q", "k", bank, **blocks).collect()}
+        assert len(got) == 300 and all(r.n_keys == 32 for r in got.values())
+        rows = np.array([[got[i].l_pos, got[i].neg_max, got[i].neg_sum, got[i].loss] for i in range(300)])
+        assert np.allclose(rows, np.stack([z[:, 0], z[:, 1:].max(1), z[:, 1:].sum(1), want], axis=1))
+    loss = {r.i: r.loss for r in contrast.info_nce(df, "i", "q", "k", bank, key_rows=9).collect()}
     assert np.allclose([loss[i] for i in range(300)], want)
-    none = contrast.bank_matrix(newest.where("false"), "v", "seq")
-    assert contrast.info_nce(df, "q", "k", none).agg(F.max(F.abs("loss"))).first()[0] == pytest.approx(0)
+    none = contrast.bank_places(newest.where("false"), "v", "seq")
+    alone = contrast.contrastive_logits(df, "i", "q", "k", none)
+    assert alone.agg(F.count("loss"), F.max(F.abs("loss")), F.max("n_keys"), F.max("neg_max")).first() == (300, 0.0, 0, None)
+    sees = df.select("i", "q", F.lit(0).cast("long").alias("since"), F.lit(32).cast("long").alias("until"))
+    best = {(r.i, r.rank): (r.place, r.logit) for r in contrast.nearest_keys(sees, "i", bank, 3, key_rows=7).collect()}
+    order = np.argsort(-z[:, 1:], axis=1)[:, :3]
+    assert len(best) == 900 and all(best[i, j + 1][0] == order[i, j] for i in range(300) for j in range(3))
+
+
+def test_losses_of_large_logits_do_not_overflow(spark):
+    df = spark.createDataFrame([(0, [60.0], [1.0]), (1, [-60.0], [1.0])], "i bigint, q array<double>, k array<double>")
+    bank = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate([1, 1, -1, 0, 0.5])], "place bigint, vec array<double>")
+    got = {r.i: r.loss for r in contrast.info_nce(df, "i", "q", "k", bank, key_rows=2).collect()}
+    assert got[0] == pytest.approx(math.log(3)) and got[1] == pytest.approx(120 / 0.07)
+
+
+@pytest.mark.parametrize("batch, size, held", [(4, 8, 0), (4, 8, 8), (5, 5, 3), (7, 7 * 40, 0)])
+def test_bank_by_step_against_a_ring(spark, batch, size, held):
+    """A ring that is read, then written, step by step."""
+    rng = np.random.default_rng(batch)
+    n = 61
+    q, k, first = unit(rng, n, 6), unit(rng, n, 6), unit(rng, size, 6)
+    seqs = sorted(random.Random(batch).sample(range(10 ** 9), n))
+    df = spark.createDataFrame(
+        [(s, a.tolist(), b.tolist()) for s, a, b in zip(seqs, q, k)], "seq bigint, q array<double>, k array<double>"
+    ).repartition(4)
+    ring = {i: first[i] for i in range(held)}
+    start = spark.createDataFrame([(i, v.tolist()) for i, v in ring.items()], "slot int, vec array<double>") if held else None
+    want = {}
+    for t in range(0, n, batch):
+        for i in range(t, min(n, t + batch)):
+            pos, neg = q[i] @ k[i] / 0.07, np.array([q[i] @ v for v in ring.values()]) / 0.07
+            loss = np.log(np.exp(pos) + np.exp(neg).sum()) - pos
+            want[seqs[i]] = (t // batch, i % size, len(neg), pos, neg.max() if len(neg) else None, neg.sum(), loss)
+        for i in range(t, min(n, t + batch)):
+            ring[i % size] = k[i]
+    got = contrast.bank_by_step(df, "seq", "q", "k", batch=batch, size=size, start=start, key_rows=6, query_rows=5)
+    rows = {r.seq: (r.batch_id, r.slot, r.n_keys, r.l_pos, r.neg_max, r.neg_sum, r.loss) for r in got.collect()}
+    assert rows.keys() == want.keys()
+    for s in seqs:
+        assert rows[s][:3] == want[s][:3]
+        assert (rows[s][4] is None) == (want[s][4] is None)
+        assert [v or 0.0 for v in rows[s][3:]] == pytest.approx([v or 0.0 for v in want[s][3:]], rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError):
+        contrast.bank_by_step(df, "seq", "q", "k", batch=4, size=6)
 
 
 @pytest.mark.parametrize("size", [1, 7, 500, 5000])
