@@ -66,27 +66,26 @@ def key_bank(df: DataFrame, seq: str, size: int = BANK_SIZE) -> DataFrame:
     return newest.withColumn("slot", F.pmod(rank, F.lit(size)).cast("bigint"))
 
 
-def bank_places(bank: DataFrame, vec: str, seq: str) -> DataFrame:
-    """A bank's keys as ``place, vec``: numbered from 0, oldest first."""
-    rows = bank.select(F.col(seq).alias("__seq"), doubles(F.col(vec)).alias("vec"))
-    return running_position(rows, None, "__seq", "place").select("place", "vec")
+def bank_places(bank: DataFrame, vec: str, slot: str = "slot") -> DataFrame:
+    """A bank's keys as ``place, vec``, by their slot in the ring."""
+    return bank.select(F.col(slot).cast("bigint").alias("place"), doubles(F.col(vec)).alias("vec"))
 
 
-def _met(queries: DataFrame, keys: list[str], bank: DataFrame, kernel, out: T.StructType, key_rows: int, query_rows: int) -> DataFrame:
+def _met(queries: DataFrame, keys: list[str], bank: DataFrame, kernel, out: T.StructType, most: int, key_rows: int, query_rows: int) -> DataFrame:
     """``kernel`` over each block of queries and each block of the bank that one of them sees.
 
     ``queries`` has the ``keys``, ``q`` and the places ``[since, until)`` of the
-    bank that it sees. Both sides are cut, so no task holds more than
-    ``key_rows`` keys and about ``query_rows`` queries.
+    bank that it sees; at most ``most`` of them see one block. Both sides are cut, so no task holds
+    more than ``key_rows`` keys and about ``query_rows`` queries.
     """
+    cuts = max(1, -(-most // query_rows))
     first, last = F.floor(F.col("since") / key_rows), F.floor((F.col("until") - 1) / key_rows)
-    seen = queries.where("since < until").withColumn("__block", F.explode(F.sequence(first, last)))
-    per = seen.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    cut = per.select("__block", F.ceil(F.col("__n") / query_rows).alias("__cuts"))
-    cut_queries = seen.join(cut, "__block").withColumn("__cut", F.pmod(F.xxhash64(*keys), F.col("__cuts"))).drop("__cuts")
-    blocks = bank.withColumn("__block", F.floor(F.col("place") / key_rows)).join(cut, "__block").withColumn(
-        "__cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__cuts") - 1))
-    ).drop("__cuts")
+    cut_queries = queries.where("since < until").withColumn("__block", F.explode(F.sequence(first, last))).withColumn(
+        "__cut", F.pmod(F.xxhash64(*keys), F.lit(cuts)).cast("int")
+    )
+    blocks = bank.withColumn("__block", F.floor(F.col("place") / key_rows)).withColumn(
+        "__cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))
+    )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -105,15 +104,16 @@ def _met(queries: DataFrame, keys: list[str], bank: DataFrame, kernel, out: T.St
 
 
 def bank_logits(
-    queries: DataFrame, keys: str | Sequence[str], bank: DataFrame, *,
+    queries: DataFrame, keys: str | Sequence[str], bank: DataFrame, *, most: int | None = None,
     temperature: float = TEMPERATURE, key_rows: int = KEY_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """``keys, n_keys, top, total, lse`` of each query's logits with the keys it sees.
 
     ``queries`` holds the unique ``keys``, the encoding ``q`` and the places
     ``since`` (first) and ``until`` (behind the last) of what it sees; ``bank`` holds
-    ``place, vec``. Returned are how many keys were seen, the largest logit, the sum of the logits
-    and the logarithm of the sum of their exponentials, for queries that see any.
+    ``place, vec``; ``most`` says how many queries see one block of it at most (all, unless told).
+    Returned are how many keys were seen, the largest logit, the sum of the logits and the
+    logarithm of the sum of their exponentials, for queries that see any.
 
     Blocks of the bank give sums that are scaled by a whole exponent and added
     up by it, so their number does not matter and nothing overflows.
@@ -134,7 +134,9 @@ def bank_logits(
             scaled=np.exp(z - np.floor(top[some])[:, None]).sum(axis=1),
         )
 
-    partial = _met(queries, keys, bank, add_up, out, key_rows, query_rows)
+    most = queries.count() if most is None else most
+    # Dealt by query once; both sums below and a join on the keys need no other shuffle.
+    partial = _met(queries, keys, bank, add_up, out, most, key_rows, query_rows).repartition(*keys)
     level = F.floor("top")
     # As many levels as whole numbers between a query's smallest and largest block maximum.
     levels = partial.groupBy(*keys, level.alias("__level")).agg(
@@ -168,7 +170,7 @@ def nearest_keys(
         row, col = np.nonzero(np.isfinite(logit))
         return part[keys].iloc[row].assign(place=places[order[row, col]], logit=logit[row, col])
 
-    found = _met(queries, keys, bank, best, out, key_rows, query_rows)
+    found = _met(queries, keys, bank, best, out, queries.count(), key_rows, query_rows)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("logit"), "place"))
     return found.withColumn("rank", rank).where(F.col("rank") <= n).select(*keys, "rank", "place", "logit")
 
@@ -239,5 +241,7 @@ def bank_by_step(
     if start is not None:
         bank = bank.unionByName(start.select(F.col("slot").cast("bigint").alias("place"), doubles(F.col("vec")).alias("vec")))
     seen = _sees(ranked, [order], q, oldest, begin + size)
-    logits = bank_logits(seen, order, bank, temperature=temperature, **blocks)
+    # A block is seen by the batches whose windows reach into it.
+    most = blocks.get("key_rows", KEY_ROWS) + size + batch
+    logits = bank_logits(seen, order, bank, most=most, temperature=temperature, **blocks)
     return _with_loss(ranked, [order], q, k, logits, temperature, "batch_id", "slot")

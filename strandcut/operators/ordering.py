@@ -74,10 +74,11 @@ def hot_parts(df: DataFrame, part: Sequence[str], hot_rows: int = HOT_ROWS) -> H
     """
     sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
     hot = sizes.select(*part, F.lit(True).alias("__hot"))
-    some = hot.limit(HOT_LISTED + 1).collect()
-    if not some:
+    found = hot.count()
+    if not found:
         return None
-    if len(some) <= HOT_LISTED:
+    if found <= HOT_LISTED:
+        some = hot.collect()
         keys = F.broadcast(df.sparkSession.createDataFrame(some, hot.schema))
         return HotParts(keys, tuple(part), any(None in r for r in some))
     return HotParts(hot, tuple(part), True)
@@ -174,6 +175,11 @@ def prefix_sums(
     if split and hot is None:
         return _window_sums(df, part, order, sums, inclusive, totals)
     nulls = hot.nulls if split else True
+    if not part and chunk is None and levels == LEVELS:
+        # The values' range tells how many levels there are.
+        low, high = df.agg(F.min(order[0]).cast("bigint"), F.max(order[0]).cast("bigint")).first()
+        if low is None or (high >> bits) - (low >> bits) < 1 << carry_bits:
+            levels = 2
     cuts = list(chunk) if chunk is not None else [chunk_of(order[0], bits)]
     if split:
         df = hot.mark(df)
@@ -333,7 +339,8 @@ def hash_position(
     keyed = df.withColumn("__hash", hash_key(seed, *ids)).withColumn("__head", head)
     chunks = max(1, df.count() // chunk_rows)
     bits = HASH_BITS - (chunks - 1).bit_length()
-    return running_position(keyed, None, ["__head", "__hash", *ids], name, bits=bits).drop("__hash", "__head")
+    levels = 2 if chunks <= 1 << CARRY_BITS else LEVELS + 1
+    return running_position(keyed, None, ["__head", "__hash", *ids], name, bits=bits, levels=levels).drop("__hash", "__head")
 
 
 def with_neighbours(

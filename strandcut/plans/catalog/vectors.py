@@ -203,7 +203,7 @@ def key_bank_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = contrast.key_bank(embeddings(spark, sf_dir), "vec_id")
-    return contrast.bank_places(keys, "vec", "vec_id")
+    return contrast.bank_places(keys, "vec")
 
 
 BANK_SQL = f"(SELECT vec FROM {VECTORS_SQL} ORDER BY vec_id DESC LIMIT 65536)"

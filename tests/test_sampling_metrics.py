@@ -154,9 +154,10 @@ def test_contrast_by_hand(spark):
     bank_df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(keys)], "seq bigint, v array<double>")
     newest = contrast.key_bank(bank_df, "seq", 32)
     assert {(r.seq, r.slot) for r in newest.collect()} == {(i, i % 32) for i in range(18, 50)}
-    bank = contrast.bank_places(newest, "v", "seq")
-    assert [(r.place, r.vec) for r in bank.orderBy("place").collect()] == [(i, keys[18 + i].tolist()) for i in range(32)]
-    z = np.concatenate([(q * k).sum(1, keepdims=True), q @ keys[18:].T], axis=1) / 0.07
+    bank = contrast.bank_places(newest, "v")
+    ring = np.concatenate([keys[32:], keys[18:32]])
+    assert [(r.place, r.vec) for r in bank.orderBy("place").collect()] == [(i, v.tolist()) for i, v in enumerate(ring)]
+    z = np.concatenate([(q * k).sum(1, keepdims=True), q @ ring.T], axis=1) / 0.07
     want = np.log(np.exp(z - z.max(1, keepdims=True)).sum(1)) + z.max(1) - z[:, 0]
     # One block of the bank or seven, queries in one part or many: the same figures.
     for blocks in ({}, {"key_rows": 5, "query_rows": 40}):
@@ -166,7 +167,7 @@ def test_contrast_by_hand(spark):
         assert np.allclose(rows, np.stack([z[:, 0], z[:, 1:].max(1), z[:, 1:].sum(1), want], axis=1))
     loss = {r.i: r.loss for r in contrast.info_nce(df, "i", "q", "k", bank, key_rows=9).collect()}
     assert np.allclose([loss[i] for i in range(300)], want)
-    none = contrast.bank_places(newest.where("false"), "v", "seq")
+    none = contrast.bank_places(newest.where("false"), "v")
     alone = contrast.contrastive_logits(df, "i", "q", "k", none)
     assert alone.agg(F.count("loss"), F.max(F.abs("loss")), F.max("n_keys"), F.max("neg_max")).first() == (300, 0.0, 0, None)
     sees = df.select("i", "q", F.lit(0).cast("long").alias("since"), F.lit(32).cast("long").alias("until"))
