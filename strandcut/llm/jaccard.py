@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandcut.llm.arrow import slices
@@ -20,7 +20,7 @@ from strandcut.llm.registry import query, table
 
 #: Shingle counts are kept by bucket; the number of buckets is fixed, so their sizes can go to all tasks.
 BUCKET_BITS, BLOCK = 21, 4_096
-#: Bits of the map of documents whose sets are wanted.
+#: Bits of the map of texts whose sets are wanted.
 MAP_BITS = 24
 PARTS = 64
 #: No boundary beyond this: the subsets of larger sets are too many.
@@ -156,11 +156,16 @@ def _sums(docs: DataFrame, width: int) -> np.ndarray:
 
 
 SETS = pa.schema([
-    ("doc_id", pa.int64()), ("n", pa.int32()), ("cid", pa.binary()), ("sketch", pa.binary()), ("small", pa.binary()),
+    ("doc_id", pa.int64()), ("spot", pa.int64()), ("n", pa.int32()), ("cid", pa.binary()), ("sketch", pa.binary()), ("small", pa.binary()),
     ("prefix", pa.list_(pa.int64())),
 ])
 
 
+def _spot() -> Column:
+    """A text's place in the map of wanted texts: copies share one, documents without an id do not."""
+    return F.pmod(F.xxhash64("text"), F.lit(1 << MAP_BITS)).cast("long")
+
+
 def _described(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Size, class id, part counts, small set and rare-first prefix of every document's set."""
     levels = docs.sparkSession.sparkContext.broadcast(_sums(docs, width))
@@ -170,22 +175,22 @@ def _described(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, text, spot in zip(*[c.to_pylist() for c in part.columns]):
                     s = shingle_set(text, words, width)
                     n = len(s)
                     order = (level[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     first = s[np.argsort(order, kind="stable")][:prefix_lengths(n, percent)[1]] if n else s
                     counts = np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
                     rows.append((
-                        doc_id, n, xxhash.xxh3_128_digest(s.tobytes()), np.minimum(counts, 255).astype(np.uint8).tobytes(),
+                        doc_id, spot, n, xxhash.xxh3_128_digest(s.tobytes()), np.minimum(counts, 255).astype(np.uint8).tobytes(),
                         s.tobytes() if n <= SMALL_MOST else None, first.view(np.int64).tolist(),
                     ))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows), SETS)], schema=SETS
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        describe, "doc_id long, n int, cid binary, sketch binary, small binary, prefix array<long>"
+    return docs.select("doc_id", "text", _spot()).mapInArrow(
+        describe, "doc_id long, spot long, n int, cid binary, sketch binary, small binary, prefix array<long>"
     )
 
 
@@ -215,7 +220,7 @@ KEYS = pa.schema([("key", pa.int64()), ("lower", pa.bool_()), ("cid", pa.binary(
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``cid, elements``: whole sets of at least the wanted documents, by a fixed-size map of their ids."""
+    """``cid, elements``: whole sets of at least the ``wanted`` spots, by a fixed-size map of them; each set once."""
     size = 1 << MAP_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +240,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             total |= np.frombuffer(bits, np.uint8)
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [total.tobytes()]})
 
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("long")
-    found = wanted.select(spot("doc_id").alias("at")).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(
+    found = wanted.select(F.col("spot").alias("at")).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(
         either, "block int, bits binary"
     )
     bits = np.zeros(size // 8, np.uint8)
@@ -257,8 +261,8 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     [pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], names=["cid", "elements"]
                 )
 
-    # Sets stay where they are made. What the map lets through besides is in no pair.
-    return docs.select(spot("doc_id").alias("at"), "text").mapInArrow(sets, "cid binary, elements binary")
+    # Copies of one text are made in many tasks. What the map lets through besides is in no pair.
+    return docs.select(_spot().alias("at"), "text").mapInArrow(sets, "cid binary, elements binary").dropDuplicates(["cid"])
 
 
 def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -325,13 +329,13 @@ def jaccard_groups(
     # One document stands for its class.
     classes = stored(
         whole.join(heads.select("cid", "least"), "cid").where(F.col("doc_id") == F.col("least"))
-        .dropDuplicates(["cid"]).select("cid", "doc_id", "n", "sketch", "small", "prefix"),
+        .dropDuplicates(["cid"]).select("cid", "spot", "n", "sketch", "small", "prefix"),
         "jaccard-classes",
     )
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= SMALL_MOST).groupBy("n").count().collect()}
     lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n")
     counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    all_lists, rows = counts.where("k > 1").select(F.lit(1).alias("o"), "k").agg(F.sum("o"), F.sum("k")).first()
+    rows = counts.where("k > 1").agg(F.sum("k")).first()[0]
     postings = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     boundary = choose_boundary(sizes, (rows or 0) / max(1, postings), percent)
     low = min(partner_sizes(boundary + 1, percent))
@@ -339,8 +343,6 @@ def jaccard_groups(
     shared = stored(shared.select("token", "cid", "n", "pos"), "jaccard-lists")
 
     links = stored(_subset_links(classes, boundary, percent), "jaccard-links")
-    wanted = classes.join(shared.select("cid").distinct(), "cid", "left_semi")
-    sets = stored(_wanted_sets(docs, wanted.select("doc_id"), width), "jaccard-whole")
 
     def with_components(lists: DataFrame) -> DataFrame:
         found = components(links)
@@ -358,8 +360,11 @@ def jaccard_groups(
 
     def similar(pairs: DataFrame) -> DataFrame:
         held = stored(_by_sketch(pairs, classes, percent), "jaccard-pairs")
+        # Whole sets are made of those texts only that a pair names, which are few.
+        named = held.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        sets = stored(_wanted_sets(docs, classes.select("cid", "spot").join(named, "cid", "left_semi"), width), "jaccard-whole")
         fresh = stored(_similar(held, sets, percent), "jaccard-links")
-        dropped(held)
+        dropped(held, sets)
         return fresh
 
     for turn, number in enumerate(HEADS):
@@ -396,7 +401,7 @@ def jaccard_groups(
         & (F.lit(boundary) < F.col("yn")) & (apart <= F.col("xn") + F.col("yn") - 2 * needed)
     ).select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()
     links = links.unionByName(similar(pairs))
-    dropped(left, sets, classes)
+    dropped(left, classes)
 
     found = components(links)
     comp = heads.join(found, heads["cid"] == found["node"], "left").select(
