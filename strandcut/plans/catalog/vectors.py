@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandcut.functions import schedule
 from strandcut.functions import vectors as V
-from strandcut.operators import contrast, metrics, sampling, scoring, sequences
+from strandcut.operators import contrast, metrics, sampling, scoring, sequences, training
+from strandcut.plans import prepare
 from strandcut.plans.catalog.registry import SEED, query, table
 
 VECTORS_SQL = "(SELECT vec_id, label, embedding::DOUBLE[] AS vec FROM embeddings)"
@@ -141,6 +143,31 @@ def argmax_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.label_slices(linear_scores(spark, sf_dir), out="predicted").select("vec_id", "predicted")
 
 
+@query(
+    "evaluation_log",
+    f"""
+    WITH r AS (
+      SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 64 AS batch, label = 3 AS y, z[2] > z[1] AS said,
+             CASE WHEN label = 3 THEN 0.7 ELSE 0.3 END AS c,
+             ln(exp(z[1]) + exp(z[2])) - CASE WHEN label = 3 THEN z[2] ELSE z[1] END AS loss
+      FROM {LINEAR_SQL} JOIN embeddings USING (vec_id)),
+    b AS (SELECT sum(c * loss) / sum(c) AS loss, avg((y = said)::INT) AS acc FROM r GROUP BY batch),
+    c AS (SELECT count(*) FILTER (y AND said) AS tp, count(*) FILTER (said) AS p, count(*) FILTER (y) AS h FROM r)
+    SELECT unnest(['eval/acc', 'eval/loss', 'eval/recall', 'eval/precision']) AS tag, 7::BIGINT AS step,
+           round(unnest([avg(acc), avg(loss), (SELECT CASE WHEN h = 0 THEN 0.0 ELSE tp / h END FROM c),
+                         (SELECT CASE WHEN p = 0 THEN 0.0 ELSE tp / p END FROM c)]), 4) AS value
+    FROM b
+    """,
+)
+def evaluation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one evaluation logs: batch means of weighted loss and accuracy, recall and precision of all."""
+    scored = linear_scores(spark, sf_dir).withColumns({
+        "z0": F.get("scores", F.lit(0)), "z1": F.get("scores", F.lit(1)), "y": (F.col("label") == 3).cast("int"),
+    }).withColumn("predicted", (F.col("z1") > F.col("z0")).cast("int"))
+    logged = prepare.evaluation(scored, "y", 7, order="vec_id", size=64)
+    return logged.withColumn("value", F.round("value", 4))
+
+
 MLP_SQL = f"""
     SELECT vec_id, {layer_sql('h2', 2, 16, 4.0)} AS z FROM (
         SELECT vec_id, list_transform({layer_sql('h1', 16, 32, 4.0)}, lambda y: greatest(y, 0.0)) AS h2 FROM (
@@ -308,6 +335,47 @@ def sequence_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("vec_id", *[F.round(F.get("scores", F.lit(i)), 4).alias(f"z{i}") for i in range(2)])
 
 
+@query(
+    "train_epochs",
+    """
+    WITH RECURSIVE d AS (
+      SELECT embedding::DOUBLE[] || [1.0::DOUBLE] AS x, label = 3 AS y, vec_id % 3 = 0 AS test,
+             CASE WHEN label = 3 THEN 1.0 ELSE 0.5 END AS c FROM embeddings),
+    steps AS (
+      SELECT 0::BIGINT AS epoch, list_transform(range(65), lambda i: 0.0::DOUBLE) AS w
+      UNION ALL
+      SELECT epoch + 1, list(wi - rate * g ORDER BY i) FROM (
+        SELECT epoch, i, any_value(w[i]) AS wi, 2.0 * (1 + cos(pi() * epoch / 4.0)) AS rate,
+               sum(c * (p - y::INT) * x[i]) / sum(c) AS g
+        FROM (SELECT s.epoch, s.w, d.x, d.y, d.c, 1 / (1 + exp(-list_dot_product(d.x, s.w))) AS p
+              FROM steps s, d WHERE NOT d.test AND s.epoch < 4) AS scored, unnest(range(1, 66)) AS places(i)
+        GROUP BY epoch, i) GROUP BY epoch, rate),
+    z AS (SELECT epoch, w, test, y, c, list_dot_product(x, w) AS z FROM steps, d),
+    sums AS (
+      SELECT epoch, any_value(w) AS w,
+        sum(c * ln(1 + exp(CASE WHEN y THEN -z ELSE z END))) FILTER (NOT test) / sum(c) FILTER (NOT test) AS loss,
+        sum(c * ln(1 + exp(CASE WHEN y THEN -z ELSE z END))) FILTER (test) / sum(c) FILTER (test) AS eval_loss,
+        count(*) FILTER (test AND z > 0 AND y) AS tp, count(*) FILTER (test AND z > 0 AND NOT y) AS fp,
+        count(*) FILTER (test AND z <= 0 AND y) AS fn, count(*) FILTER (test AND z <= 0 AND NOT y) AS tn
+      FROM z GROUP BY epoch)
+    SELECT epoch, round(2.0 * (1 + cos(pi() * epoch / 4.0)), 5) AS rate, round(loss, 5) AS loss, round(eval_loss, 5) AS eval_loss,
+           tp, fp, fn, tn, round(w[1], 5) AS first, round(w[65], 5) AS bias
+    FROM sums
+    """,
+)
+def train_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four steps of falling size on two thirds of the vectors, judged on the others after each."""
+    rows = embeddings(spark, sf_dir).withColumns({"y": (F.col("label") == 3).cast("int"), "test": F.col("vec_id") % 3 == 0})
+    steps = training.train_epochs(
+        rows, "vec", "y", "test", width=64, epochs=4, rate=lambda e: schedule.cosine_decay(e, 4.0, 4), class_weights=(0.5, 1.0)
+    )
+    rounded = [F.round(c, 5).alias(c) for c in ("rate", "loss", "eval_loss")]
+    return steps.select(
+        "epoch", *rounded, *training.COUNTS,
+        F.round(F.get("weights", F.lit(0)), 5).alias("first"), F.round(F.get("weights", F.lit(64)), 5).alias("bias"),
+    )
+
+
 @query("fit_classifier")
 def fit_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the train part, report on the test part (no SQL twin: iterative)."""

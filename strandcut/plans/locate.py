@@ -44,8 +44,8 @@ def overlays(lines: DataFrame, scored: DataFrame) -> DataFrame:
     return P.draw_cuts(lines, line_cuts(scored).select("image_id", "x"))
 
 
-def sheets(scored: DataFrame) -> DataFrame:
-    """Contact sheet rows of each directory, in slice order."""
+def sheets(scored: DataFrame, lines: DataFrame) -> DataFrame:
+    """Contact sheet rows of each directory of ``lines``, in slice order; one without slices gets an empty sheet."""
     named = scored.select(
         "dir",
         "idx",
@@ -55,4 +55,4 @@ def sheets(scored: DataFrame) -> DataFrame:
     )
     laid_out = review.sheet_layout(named, "dir", "idx")
     sheet = review.contact_sheet(laid_out, "dir", "idx_text", "type_text", "name")
-    return review.sheet_document(sheet, scored, "dir")
+    return review.sheet_document(sheet, lines, "dir")

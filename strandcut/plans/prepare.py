@@ -10,6 +10,9 @@ from strandcut.operators import labelling, metrics, sampling, scoring, sequences
 from strandcut.operators.ordering import ordered_index
 from strandcut.schemas import METRICS
 
+#: Rows of a batch of the evaluation.
+BATCH = 256
+
 
 def numbered_files(files: DataFrame) -> DataFrame:
     """Slice files with the number in their name."""
@@ -67,17 +70,31 @@ def sequence_sets(
     return sampling.train_test_split(packed, "window_id", fraction, seed)
 
 
-def evaluate(model, test: DataFrame, features: str, label: str, epoch: int) -> DataFrame:
-    """Metric rows of one evaluation: ``tag``, ``step``, ``value``."""
+def evaluate(
+    model, test: DataFrame, features: str, label: str, epoch: int, *, order: str, size: int = BATCH, part: str = "eval"
+) -> DataFrame:
+    """Metric rows of one evaluation of a model: ``tag``, ``step``, ``value``."""
     scored = scoring.classify(model, test, features)
     scored = scored.withColumns({"z0": F.get("scores", F.lit(0)), "z1": F.get("scores", F.lit(1))})
-    loss = metrics.cross_entropy(F.col("z0"), F.col("z1"), F.col(label))
-    summary = metrics.epoch_summary(
-        scored.withColumns({"epoch": F.lit(epoch).cast("bigint"), "row_loss": loss}),
-        "epoch", label, "predicted", "row_loss",
-    )
-    tags = {"accuracy": "eval/acc", "loss": "eval/loss", "recall": "eval/recall", "precision": "eval/precision"}
-    return metrics.metric_long(summary, "epoch", tags)
+    return evaluation(scored, label, epoch, order=order, size=size, part=part)
+
+
+def evaluation(
+    scored: DataFrame, label: str, epoch: int, *, order: str, size: int = BATCH, part: str = "eval"
+) -> DataFrame:
+    """Metric rows of rows scored ``z0, z1, predicted``, in batches of ``size`` along ``order``.
+
+    Loss (class-weighted in each batch) and accuracy are means over the batches, of
+    which a short last one counts as much as a full one; recall and precision are those of all rows.
+    """
+    rows = sequences.batch_ids(scored.select(order, label, "z0", "z1", "predicted"), order, size)
+    per = metrics.weighted_ce(rows, label, "z0", "z1", by="batch_id").agg(F.avg("loss").alias("loss"))
+    accuracy = metrics.accuracy_batch_mean(rows, label, "predicted", "batch_id")
+    counts = metrics.rates(metrics.confusion(rows, label, "predicted")).select("recall", "precision")
+    # One row each.
+    summary = per.join(accuracy, how="cross").join(counts, how="cross").withColumn("epoch", F.lit(epoch).cast("bigint"))
+    tags = {"accuracy": "acc", "loss": "loss", "recall": "recall", "precision": "precision"}
+    return metrics.metric_long(summary, "epoch", {c: f"{part}/{t}" for c, t in tags.items()})
 
 
 def training_log(spark: SparkSession, model, first_step: int = 0) -> DataFrame:

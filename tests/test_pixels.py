@@ -233,7 +233,7 @@ def test_from_images_to_spans_and_sheets(spark, image_dir, tmp_path):
         xs = {c.x for c in cuts.where(F.col("image_id") == r.image_id).collect()}
         assert xs and (picture(r)[:, sorted(xs)] == 0).all()
 
-    sheet = locate.sheets(scored)
+    sheet = locate.sheets(scored, lines)
     tables.write_contact_sheet(sheet, str(tmp_path / "out" / "sheet"), "dir")
     parts = sorted((tmp_path / "out" / "sheet" / "dir=one").glob("part*"))
     text = "".join(p.read_text() for p in parts)

@@ -262,7 +262,7 @@ def test_classifier_saves_and_logs(spark, tmp_path):
     loaded = tables.load_model(path)
     assert np.allclose(loaded.coefficients.toArray(), model.coefficients.toArray())
     for epoch in (1, 2):
-        tables.log_metrics(prepare.evaluate(loaded, df, "v", "y", epoch), str(tmp_path / "log"))
+        tables.log_metrics(prepare.evaluate(loaded, df, "v", "y", epoch, order="i", size=16), str(tmp_path / "log"))
     log = {(r.tag, r.step): r.value for r in spark.read.parquet(str(tmp_path / "log")).collect()}
     assert len(log) == 8 and log["eval/acc", 1] == log["eval/acc", 2] > 0.95
 
