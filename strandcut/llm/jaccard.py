@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandcut.llm.arrow import slices
 from strandcut.llm.common import dropped, stored
@@ -166,8 +167,8 @@ def _spot() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(1 << MAP_BITS)).cast("long")
 
 
-def _described(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Size, class id, part counts, small set and rare-first prefix of every document's set."""
+def _described(docs: DataFrame, percent: int, width: int, also: list[str]) -> DataFrame:
+    """Size, class id, part counts, small set and rare-first prefix of every document's set, with the columns ``also``."""
     levels = docs.sparkSession.sparkContext.broadcast(_sums(docs, width))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ def _described(docs: DataFrame, percent: int, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for doc_id, text, spot in zip(*[c.to_pylist() for c in part.columns]):
+                for doc_id, text, spot in zip(*[c.to_pylist() for c in part.columns[:3]]):
                     s = shingle_set(text, words, width)
                     n = len(s)
                     order = (level[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
@@ -186,12 +187,13 @@ def _described(docs: DataFrame, percent: int, width: int) -> DataFrame:
                         s.tobytes() if n <= SMALL_MOST else None, first.view(np.int64).tolist(),
                     ))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows), SETS)], schema=SETS
+                    [*[pa.array(c, f.type) for c, f in zip(zip(*rows), SETS)], *part.columns[3:]], names=[*SETS.names, *also]
                 )
 
-    return docs.select("doc_id", "text", _spot()).mapInArrow(
-        describe, "doc_id long, spot long, n int, cid binary, sketch binary, small binary, prefix array<long>"
-    )
+    schema = T._parse_datatype_string("doc_id long, spot long, n int, cid binary, sketch binary, small binary, prefix array<long>")
+    for name in also:
+        schema = schema.add(docs.schema[name])
+    return docs.select("doc_id", "text", _spot(), *also).mapInArrow(describe, schema)
 
 
 def _subset_links(classes: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -303,7 +305,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_groups(
-    docs: DataFrame, *, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text",
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: groups linked by ``percent`` Jaccard.
 
@@ -317,12 +320,14 @@ def jaccard_groups(
 
     Null and empty texts have no shingles and stand alone; without an id their
     component is null, as is that of a group none of which has an id. Repeated
-    rows stay; other columns are left out; an empty table gives no rows.
+    rows stay; an empty table gives no rows. Columns named in ``also`` are kept, and with them comes
+    ``component``, which tells groups apart that have no id (null without shingles); others are left out.
     Equality of shingles is that of 64-bit hashes, of whole sets of 128 bits.
     """
-    docs = docs.select(F.coalesce(id_col, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    also = list(also)
+    docs = docs.select(F.coalesce(id_col, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), *also)
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    described = stored(_described(docs, percent, width), "jaccard-sets")
+    described = stored(_described(docs, percent, width, also), "jaccard-sets")
     whole = described.where("n > 0")
     heads = whole.groupBy("cid").agg(F.coalesce(F.min(real("doc_id")), F.lit(NO_ID)).alias("least"), F.min("n").alias("n"))
     heads = stored(heads, "jaccard-heads")
@@ -408,12 +413,13 @@ def jaccard_groups(
         "cid", "least", F.coalesce("comp", "cid").alias("comp")
     )
     names = comp.groupBy("comp").agg(F.min(real("least")).alias("component_id"))
-    named = comp.join(names, "comp").select("cid", "component_id")
-    linked = described.where("n > 0").select("doc_id", "n", "cid").join(named, "cid").select(
-        real("doc_id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), "component_id"
+    more = [*also, *["component"] * bool(also)]
+    named = comp.join(names, "comp").select("cid", "component_id", F.col("comp").alias("component"))
+    linked = described.where("n > 0").select("doc_id", "n", "cid", *also).join(named, "cid").select(
+        real("doc_id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), "component_id", *more
     )
-    alone = described.where("n = 0").select(
-        real("doc_id").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), real("doc_id").alias("component_id")
+    alone = described.where("n = 0").withColumn("component", F.lit(None).cast("binary")).select(
+        real("doc_id").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), real("doc_id").alias("component_id"), *more
     )
     return linked.unionByName(alone)
 

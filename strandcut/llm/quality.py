@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -143,18 +144,27 @@ def _calibrated(rows: DataFrame, view: str, fitted: View, shift: float) -> View:
     return View(fitted.weights, fitted.bias, float(line.weights[0]), line.bias + shift)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | None:
+def _labelled(docs: DataFrame, labels: DataFrame, one_class: bool = False) -> tuple[DataFrame, float] | None:
     """A bounded sample of labelled documents (folds 0 to 3) and all others (fold -1, no label); the log odds of all labels.
 
     Each class has up to about ``TRAIN_ROWS / 2`` documents, dealt to the folds
-    within the class; the only document of a class is in folds 0 and 1.
+    within the class; the only document of a class is in folds 0 and 1. Labels other than 0 and 1 are
+    left out with a warning that counts them. None without any label.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
+    named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    other = named.where("quality NOT IN (0, 1)").count()
+    if other:
+        warnings.warn(f"{other} quality labels other than 0 and 1 are left out", stacklevel=3)
+    known = named.where("quality IN (0, 1)").groupBy("doc_id").agg(
         F.min("quality").cast("double").alias("label")
     ).join(docs.select("doc_id"), "doc_id", "left_semi")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if set(counts) != {0.0, 1.0}:
+    if not counts:
         return None
+    if len(counts) == 1:
+        if one_class:
+            return None
+        raise ValueError(f"all labelled documents have quality {next(iter(counts)):g}: there is nothing to tell apart")
     share = lambda wanted, of: F.pmod(F.xxhash64("doc_id", F.lit(wanted)), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, wanted / max(1, of)))
     half = TRAIN_ROWS // 2
     chosen = known.where(F.when(F.col("label") == 1, share(half, counts[1.0])).otherwise(share(half, counts[0.0])))
@@ -168,8 +178,12 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float] | N
     return _features(rows.withColumn("fold", F.coalesce("fold", F.lit(-1)))), math.log(counts[1.0] / counts[0.0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model | None:
-    """Co-train both views; None unless good and bad labelled documents exist.
+def train(
+    docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident: float = CONFIDENT, one_class: bool = False
+) -> Model | None:
+    """Co-train both views; None without labelled documents.
+
+    Labels of one class only are an error, unless ``one_class`` says that no model is to be made of them.
 
     Each round fits both views to their own training rows, calibrates them on a
     fourth of the labelled rows, and lets each hand its confident verdicts on
@@ -177,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, confident
     ``TRAIN_ROWS``, the others are all there are; chances are those at the
     shares that good and bad have among all labels.
     """
-    found = _labelled(docs, labels)
+    found = _labelled(docs, labels, one_class)
     if found is None:
         return None
     rows, prior = stored(found[0], "quality-features"), found[1]

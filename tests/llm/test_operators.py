@@ -208,6 +208,19 @@ def test_quality_exchanges_on_all_other_documents(spark):
     assert (rows.where("fold = -1").count(), rows.where("fold >= 0").count()) == (7900, 100)
 
 
+def test_quality_labels_of_other_values_and_of_one_class(spark):
+    rows = [(i, "GOOD words here" if i % 2 else "bad!!", "en", "a", 5) for i in range(60)]
+    docs = frame(spark, rows)
+    label = "doc_id long, quality int, toxic int"
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(41, 2, 0), (42, -1, 0), (43, None, 0), (None, 1, 0), (1, 1, 0)], label)
+    with pytest.warns(UserWarning, match="2 quality labels"):
+        assert quality.train(docs, known, rounds=1) is not None
+    good = known.where("quality = 1")
+    with pytest.raises(ValueError):
+        quality.train(docs, good)
+    assert quality.train(docs, good, one_class=True) is None and quality.train(docs, good.limit(0)) is None
+
+
 @pytest.mark.parametrize("n_bad", [1, 8])
 def test_quality_with_few_bad_labels(spark, monkeypatch, n_bad):
     monkeypatch.setattr(quality, "TRAIN_ROWS", 80)
@@ -444,6 +457,27 @@ def test_top_products_of_few_and_none(spark):
 # The pipeline
 
 
+def test_pipeline_near_duplicates_by_row(spark, sf_dir):
+    """Another text of a removed id stays, and copies without an id go."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words, "more"]), " ".join(reversed(words))
+    lone = " ".join(f"q{i}" for i in range(30))
+    rows = [
+        (1, text, "en", "a", 1), (2, near, "en", "a", 1), (None, text, "en", "a", 1), (None, text, "de", "b", 2), (2, other, "en", "a", 1),
+        (None, lone, "en", "a", 1), (None, lone + " x", "en", "a", 1), (5, None, "en", "a", 1), (5, None, "en", "a", 1), (None, " \t", "en", "a", 1),
+        (6, "short", "en", "a", 1), (6, "short", "en", "a", 1), (7, "SHORT", "en", "a", 1),
+    ]
+    got = corpus_pipeline.ngram_jaccard_join(spark, frame(spark, rows), sf_dir)
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=repr)
+    lone_kept = [t for i, t in kept if t and t.startswith("q0")]
+    assert len(lone_kept) == 1
+    want = [(1, text), (2, other), (5, None), (5, None), (None, " \t"), (6, "short")]
+    assert [k for k in kept if k[1] not in lone_kept] == sorted(want, key=repr)
+    assert corpus_pipeline.ngram_jaccard_join(spark, empty(spark), sf_dir).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
