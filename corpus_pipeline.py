@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id.
+    """One document of each group of near duplicates: that of the smallest id, those without an id last.
 
-    Words of five, similarity of 0.8. Documents without an id, and those
-    without words, stay; of repeated rows of one id one stays.
+    Words of five, similarity of 0.8. The decision is one about rows, known by id and
+    text: another text of the same id is another document, and copies without an id are copies.
+    Of rows of one id and text one stays. Documents without words are in no group and all stay.
     """
-    groups = jaccard.jaccard_groups(docs, percent=80, width=5)
-    lost = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    left = docs.join(lost, "doc_id", "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id IS NULL")).select(*docs.columns)
+    # Two hashes of id and text, taken where the row is; no text moves to be told apart.
+    marks = {"__row": F.xxhash64("doc_id", "text"), "__row2": F.xxhash64(F.lit(2), "text", "doc_id")}
+    marked = docs.withColumns(marks)
+    groups = stored(jaccard.jaccard_groups(marked, percent=80, width=5, also=list(marks)).where("component IS NOT NULL"), "pipeline-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *marks)
+    first = stored(groups.groupBy("component").agg(F.min(order).alias("first")), "pipeline-first")
+    same = reduce(lambda x, y: x & y, [F.col(m) == F.col("first")[m] for m in marks])
+    lost = groups.join(first, "component").where(~same).select(*marks).distinct()
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = marked.where(worded).join(lost, list(marks), "left_anti").dropDuplicates(list(marks))
+    return left.unionByName(marked.where(~worded)).select(*docs.columns)
 
 
 def pii_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
