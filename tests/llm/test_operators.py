@@ -173,6 +173,63 @@ def test_licences(spark):
     assert licences.scan_licences(empty(spark)).count() == 0
 
 
+def plain_licences(texts):
+    """Labels and shares of the whole texts by window of beginnings, from the definition."""
+    lists = [[w for w in re.split(licences.GAP, (t or "").lower()) if w] for t in texts]
+    counts = Counter(w for ws in lists for w in set(ws))
+    out = []
+    for ws in lists:
+        labels, share = set(), 0.0
+        for t in licences.TEMPLATES:
+            met = {}
+            for kind, phrases in (("rare", licences.rarest(t, counts)), ("key", t.keys)):
+                for phrase in phrases:
+                    for q in licences.places_in(phrase, t.text):
+                        for at in licences.places_in(phrase, " ".join(ws)):
+                            for side in (0, 1):
+                                met.setdefault((at - q) // licences.DRIFT + side, set()).add((kind, phrase))
+            for window in met.values():
+                n = sum(kind == "rare" for kind, _ in window)
+                if n and len(window) > n:
+                    share = max(share, n / licences.RARE)
+                    if n >= licences.NEED and len(window) - n == len(t.keys):
+                        labels.add(t.label)
+        out.append((labels, share))
+    return out
+
+
+def test_licence_texts_by_place(spark):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(["alpha", "software", "the", "copies", "notice", "beta"]) for _ in range(n))
+    texts, labels = [], []
+    for t in licences.TEMPLATES:
+        words = t.text.split()
+        inside = {i for k in t.keys for at in licences.places_in(k, t.text) for i in range(at, at + len(k.split()))}
+        for changes in (0, 3):
+            new = list(words)
+            for i in rng.sample(sorted(set(range(len(words))) - inside), changes):
+                new[i] = "changed"
+            texts.append(f"{filler(40)}\n\n{' '.join(new).upper()}. {filler(40)}")
+            labels.append(t.label)
+    mit, isc = licences.TEMPLATES[:2]
+    texts.append(f"{mit.keys[0]} {filler(5000)} {mit.keys[1]}")  # phrases far apart
+    texts.append(f"{isc.text} {filler(300)} {mit.text} {filler(10)} {mit.text}")
+    texts += [filler(500), "", None, f"{isc.text} {filler(300)} {mit.text} {filler(10)} {mit.text}"]
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licences.scan_licences(frame(spark, [*rows, rows[0]])).collect()}
+    for i, label in enumerate(labels):
+        assert label in got[i].labels.split(","), (i, got[i])
+        assert got[i].score >= 0.5
+    far, both = got[len(labels)], got[len(labels) + 1]
+    assert far.labels == "" and far.score < 0.5
+    assert both.labels == "isc,mit" == got[len(texts) - 1].labels and got[len(labels) + 2].score == 0.0
+    # The row that repeats counts among the documents.
+    for i, (want, share) in enumerate(plain_licences([*texts, texts[0]])[:-1]):
+        named = {n.label for n in licences.NAMES if licences.places_in(n.phrase, " ".join(re.split(licences.GAP, (texts[i] or "").lower())))}
+        assert set(filter(None, got[i].labels.split(","))) == want | named, i
+        assert got[i].score == (1.0 if named else share), i
+
+
 # 5: quality
 
 
