@@ -57,6 +57,7 @@ class Vocabulary:
         order = {score: r for r, score in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
         self.rank = {p.piece: order[p.score] for p in model.pieces if p.type == NORMAL}
         self.plain = {i: p.piece.replace(SPACE, " ") for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.plain_of_digits = {str(i): t for i, t in self.plain.items()}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         inside = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         lines = [p for p in self.ids if "\n" in p]
@@ -195,6 +196,16 @@ class Vocabulary:
         text = self._put_together(ids)
         return text[1:] if text.startswith(" ") else text
 
+    def decode_joined(self, ids: str) -> str:
+        """:meth:`decode_ids` of decimal ids joined by commas."""
+        if not ids:
+            return ""
+        try:
+            text = "".join(map(self.plain_of_digits.__getitem__, ids.split(",")))
+        except KeyError:
+            return self.decode_ids([int(i) for i in ids.split(",")])
+        return text[1:] if text.startswith(" ") else text
+
     def _put_together(self, ids: list[int]) -> str:
         try:
             return "".join([self.plain[i] for i in ids])
@@ -282,10 +293,9 @@ class Encoder:
         cut = [self.v.segments(text or "") for _, text in rows]
         known = self._known(cut).__getitem__
         out = []
-        for (doc_id, text), parts in zip(rows, cut):
+        for (doc_id, _), parts in zip(rows, cut):
             ids = ",".join(map(known, parts))
-            # Every segment was decoded to itself when it was learnt.
-            out.append((doc_id, ids.count(",") + 1 if ids else 0, ids, (text or "").replace(SPACE, " ")))
+            out.append((doc_id, ids.count(",") + 1 if ids else 0, ids, self.v.decode_joined(ids)))
         if rows:
             # One whole text of each slice, end to end.
             theirs = self.v.library.encode(rows[0][1] or "")
@@ -329,7 +339,8 @@ def encode_texts(
     gives no rows. Every distinct segment a task meets is encoded by the agenda
     and compared with the sentencepiece library in one call per batch, ids and
     decoded text alike, and so is one whole text per slice of a batch; a
-    difference ends the job. ``path`` names the model on every executor.
+    difference ends the job. The text is decoded from the ids of the whole
+    document. ``path`` names the model on every executor.
     """
     def make():
         encode = encoder(path)
