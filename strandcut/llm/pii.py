@@ -1,21 +1,23 @@
-"""Operator 9: personal data by patterns, checksums and nearby words."""
+"""Operator 9: personal data and secrets by patterns, checksums and nearby words."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Sequence
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandcut.llm.arrow import map_texts
+from strandcut.llm.arrow import map_texts, slices
 from strandcut.llm.registry import query, table
 
 #: Base kinds in their order; further kinds follow.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "nino", "private_key", "token", "secret")
 RANK = {k: i for i, k in enumerate(KINDS)}
 
 # A pattern that may start anywhere in a long run is quadratic. Here the run itself
@@ -27,6 +29,24 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+NINO = re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?:\x20?[0-9]{2}){3}\x20?[A-D](?![A-Za-z0-9])")
+KEY_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+# Prefixes and lengths of well-known access tokens.
+TOKEN = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}"
+    r"|glpat-[A-Za-z0-9_-]{20,64}|xox[abprs]-[A-Za-z0-9-]{10,255}|[sr]k_live_[A-Za-z0-9]{16,255}|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{10,2000}\.eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,2000})(?![A-Za-z0-9_-])"
+)
+#: A run that may be a secret: it starts where no such character stands before it, so a long text is read once.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: What gives a run its meaning when it stands right before it, with a sign of assignment between.
+ASSIGNED = re.compile(
+    r"(?i:(?:api|access|auth|private|secret|client|signing|encryption)?[_ -]?(?:token|secret|passwd|password|pwd|credential|key))"
+    r"(?:[_ -]?(?i:id|value|hash))?[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"'`]?\Z"
+)
+#: A run's least bits for each character, and the characters before it that are searched.
+ENTROPY, BEFORE = 3.0, 64
 
 #: Whole words, plurals included, that raise a kind's score when they stand near a span, on either side.
 CONTEXT = {
@@ -36,13 +56,17 @@ CONTEXT = {
     "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social security", "tax", "taxpayer"),
+    "nino": ("national insurance", "nino", "ni number", "insurance number"),
+    "private_key": ("key", "private", "certificate"),
+    "token": ("token", "key", "secret", "credential", "auth", "bearer"),
+    "secret": ("token", "key", "secret", "password", "credential", "auth", "bearer"),
 }
 NEAR = {
     kind: re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(words)})(?:e?s)?(?![A-Za-z0-9])".replace(" ", r"\s+"), re.I | re.A)
     for kind, words in CONTEXT.items()
 }
 #: Score of a confirmed pattern, without context; with it, half of the rest is added.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "nino": 0.4, "private_key": 1.0, "token": 0.9, "secret": 0.8}
 LEAST = 0.5
 #: Near is what stands in the span's sentence, which may go over lines, within FAR characters, or within REACH characters anyhow.
 REACH, FAR = 40, 400
@@ -70,6 +94,30 @@ def _small(part: str) -> bool:
     return len(part) < 4 and int(part or "0") <= 255
 
 
+def entropy(run: str) -> float:
+    """Bits for each character by the run's own frequencies."""
+    return -sum(n / len(run) * log2(n / len(run)) for n in Counter(run).values())
+
+
+def _keys(text: str):
+    """Private key blocks, each up to its own end line; one without an end is its begin line."""
+    ends = [m.span() for m in KEY_END.finditer(text)] if "PRIVATE KEY" in text else []
+    begins = [m.span() for m in KEY_BEGIN.finditer(text)] if "PRIVATE KEY" in text else []
+    for (start, stop), after in zip(begins, [*(b[0] for b in begins[1:]), len(text)]):
+        i = bisect_left(ends, (stop, stop))
+        yield start, ends[i][1] if i < len(ends) and ends[i][0] < after else stop
+
+
+def _secrets(text: str):
+    """Runs of random characters that are assigned to a name of a secret."""
+    for m in RUN.finditer(text):
+        if not ASSIGNED.search(text, max(0, m.start() - BEFORE), m.start()):
+            continue
+        run = m[0].rstrip("=")
+        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run) and entropy(run) >= ENTROPY:
+            yield m.span()
+
+
 def _iban_end(m: re.Match[str]) -> int | None:
     """Where the longest part of the match that ends at a blank (or is all of it) and fulfils mod 97 ends."""
     got = m[0]
@@ -105,6 +153,17 @@ def _proposed(text: str):
             yield m.start(), end, "iban"
     for m in SSN.finditer(text):
         yield m.start(), m.end(), "ssn"
+    for m in NINO.finditer(text):
+        yield m.start(), m.end(), "nino"
+    for start, end in _keys(text):
+        yield start, end, "private_key"
+    taken = [m.span() for m in TOKEN.finditer(text)]
+    for start, end in taken:
+        yield start, end, "token"
+    known = {start for start, _ in taken}
+    for start, end in _secrets(text):
+        if start not in known:
+            yield start, end, "secret"
 
 
 def _near(start: int, end: int, stops: Sequence[int], words: Sequence[tuple[int, int]]) -> bool:
@@ -172,7 +231,10 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     Patterns propose spans leftmost and without overlap inside a kind; numbers
     are confirmed by range, length, Luhn or mod 97; of an IBAN's groups those
-    are taken that fulfil it, the most first. Words near a span, before or after
+    are taken that fulfil it, the most first. Secrets are private key blocks,
+    tokens of well-known form, and runs of at least 16 characters with digits,
+    letters and ``ENTROPY`` bits a character that a name such as ``api_key`` is
+    set to. Words near a span, before or after
     it, raise its score. Null text counts as empty and stays null when masked.
     Repeated rows stay; other columns are left out; an empty table gives none.
     """
@@ -192,14 +254,16 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def mask_documents(docs: DataFrame) -> DataFrame:
     """The documents with masked texts; ``n_chars``, where there, follows. Columns stay as they are."""
     def run(batches):
-        for batch in batches:
-            names = batch.schema.names
-            texts = [masked(t, find(t)) for t in batch.column(names.index("text")).to_pylist()]
-            new = {"text": pa.array(texts, batch.schema.field("text").type)}
-            if "n_chars" in names:
-                kind = batch.schema.field("n_chars").type
-                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], schema=batch.schema)
+        for whole in batches:
+            names = whole.schema.names
+            at = names.index("text")
+            for batch in slices(whole, at):
+                texts = [masked(t, find(t)) for t in batch.column(at).to_pylist()]
+                new = {"text": pa.array(texts, batch.schema.field("text").type)}
+                if "n_chars" in names:
+                    kind = batch.schema.field("n_chars").type
+                    new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], kind)
+                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -215,5 +279,5 @@ def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
+        "doc_id", *[count(k) for k in BASE], F.size("spans").cast("bigint").alias("n_spans"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans")
     )
