@@ -40,7 +40,7 @@ def predicted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for label in (1, 0):
         run = rows.unionByName(other.withColumn("label", F.lit(label)))
         tables.write_predicted_index(run, path, "dir", "idx", "label")
-    written = spark.read.schema("value string, dir string").text(path)
+    written = tables.read_lines(spark, path, "dir")
     return written.select("dir", F.col("value").cast("bigint").alias("idx"))
 
 

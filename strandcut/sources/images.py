@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandcut.functions.names import base_name, parent_name
+from strandcut.functions.names import dir_below
 from strandcut.operators.pixels import gray_lines
+from strandcut.sources.files import scan_files
 
 IMAGE_SCHEMA = T.StructType([
     T.StructField(
@@ -24,12 +25,12 @@ IMAGE_SCHEMA = T.StructType([
 ])
 
 
-def flatten_images(raw: DataFrame) -> DataFrame:
+def flatten_images(raw: DataFrame, root: str) -> DataFrame:
     """Fields of Spark's image struct under the names of the line table."""
     origin = F.col("image.origin")
     return raw.select(
         origin.alias("image_id"),
-        parent_name(origin).alias("dir"),
+        dir_below(origin, root, encoded=True).alias("dir"),
         F.col("image.height").alias("h"),
         F.col("image.width").alias("w"),
         F.col("image.nChannels").alias("nChannels"),
@@ -46,7 +47,7 @@ def _decoded(spark: SparkSession, path: str, prefix: str) -> DataFrame:
         .option("dropInvalid", "false")
         .load(path)
     )
-    return flatten_images(raw)
+    return flatten_images(raw, path)
 
 
 def bad_images(spark: SparkSession, path: str, *, prefix: str = "") -> DataFrame:
@@ -58,7 +59,7 @@ def scan_raw_lines(
     spark: SparkSession, path: str, *, prefix: str = "", max_h: int | None = None, spread: bool = True,
     strict: bool = False,
 ) -> DataFrame:
-    """Line images under ``path`` as Spark decodes them; ``dir`` is the parent folder.
+    """Line images under ``path`` as Spark decodes them; ``dir`` is their folder relative to it.
 
     ``prefix`` limits the file names. ``max_h`` drops tall lines before any
     Python step. ``spread`` shuffles the lines by id, since files of a folder
@@ -86,20 +87,5 @@ def scan_uploads(spark: SparkSession, landing_dir: str, **options) -> DataFrame:
 
 
 def scan_slice_files(spark: SparkSession, root: str) -> DataFrame:
-    """Slice files of every directory: ``dir``, ``path``, ``length``; no content is read."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "word*.png")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-    )
-    return found.select(parent_name(F.col("path")).alias("dir"), "path", "length")
-
-
-def list_dirs(files: DataFrame) -> DataFrame:
-    return files.select("dir").distinct()
-
-
-def slice_files(files: DataFrame) -> DataFrame:
-    """Base name next to the path, for the name operators."""
-    return files.withColumn("name", base_name(F.col("path")))
+    """Slice files of every directory, empty ones too: ``dir`` (relative to ``root``), ``path``, ``length``."""
+    return scan_files(spark, root, "word*.png").select("dir", "path", "length")

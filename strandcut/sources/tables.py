@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 from strandcut.functions import names
 from strandcut.operators.spans import cut_positions
 
+#: Folders below the path of a sink that is written run by run.
+LINES, DIRS, COMMITS = "lines", "dirs", "commits"
+
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -29,43 +35,72 @@ def write_dataset(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
     writer.parquet(path)
 
 
-def _write_text_by_dir(df: DataFrame, path: str, directory: str, order: str, line: str) -> None:
-    """Text files per directory whose parts, read by name, follow ``order``.
+def _write_run(lines: DataFrame, dirs: DataFrame, path: str, directory: str, order: str, line: str) -> None:
+    """Lines of the directories ``dirs``, as one run that counts as a whole or not at all.
 
-    The range split spreads a large directory over several ordered parts.
+    A run has its own folders below ``path``: text files whose parts, read by
+    name, follow ``order`` (the range split spreads a large directory over
+    several), and the list of its directories. The commit, one row in one file,
+    comes last; until then :func:`read_lines` knows nothing of the run, so a job
+    that fails midway leaves what was there. Nothing is deleted, listed or
+    renamed by the driver.
     """
+    spark, run = lines.sparkSession, uuid.uuid4().hex
     (
-        df.repartitionByRange(directory, order)
+        lines.repartitionByRange(directory, order)
         .sortWithinPartitions(directory, order)
         .select(F.col(directory), F.col(line).alias("value"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(directory)
-        .text(path)
+        .write.partitionBy(directory).text(f"{path}/{LINES}/run={run}")
     )
+    dirs.select(F.col(directory).cast("string").alias("dir")).distinct().write.parquet(f"{path}/{DIRS}/run={run}")
+    last = commits(spark, path).agg(F.coalesce(F.max("no"), F.lit(0))).first()[0]
+    commit = spark.range(1).select(F.lit(run).alias("run"), F.lit(last + 1).cast("bigint").alias("no"))
+    commit.coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
+
+
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """``run, no`` of every finished run under ``path``, numbered as they ended."""
+    try:
+        return spark.read.schema("run string, no bigint").parquet(f"{path}/{COMMITS}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "run string, no bigint")
 
 
-def _remove_dirs(dirs: DataFrame, path: str, directory: str) -> None:
-    """Remove what ``path`` holds for the directories; they come to the driver one partition at a time."""
-    spark = dirs.sparkSession
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in dirs.select(F.col(directory).cast("string")).toLocalIterator():
-        part = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(directory, row[0])
-        system.delete(jvm.org.apache.hadoop.fs.Path(folder, part), True)
+def read_lines(spark: SparkSession, path: str, directory: str) -> DataFrame:
+    """``value`` and the directory of the lines that stand: of each directory, those of its last finished run.
+
+    A directory that its last run left without lines has none. Of runs that end
+    at once the one of the larger id counts as the last.
+    """
+    done = commits(spark, path)
+    if done.isEmpty():
+        return spark.createDataFrame([], f"value string, {directory} string")
+    listed = spark.read.schema("dir string, run string").parquet(f"{path}/{DIRS}")
+    last = (
+        listed.join(done, "run").groupBy("dir")
+        .agg(F.max_by("run", F.struct("no", "run")).alias("__last"))
+        .select(F.col("dir").alias("__dir"), "__last")
+    )
+    lines = spark.read.schema(f"value string, run string, {directory} string").text(f"{path}/{LINES}")
+    ours = F.col(directory).eqNullSafe(F.col("__dir")) & (F.col("run") == F.col("__last"))
+    return lines.join(last, ours).select("value", directory)
 
 
 def write_predicted_index(df: DataFrame, path: str, directory: str, idx: str, label: str) -> None:
     """One slice number per line for the predicted separators of each directory.
 
-    A directory of ``df`` without any has no file, nor does it keep one of a
-    run before; directories outside of ``df`` are left alone.
+    A directory of ``df`` without any has no lines afterwards, whatever a run
+    before left; directories outside of ``df`` are left alone. ``df`` is
+    computed once. :func:`read_lines` reads the result.
     """
-    cuts = cut_positions(df, label, [directory, idx]).withColumn("__line", F.col(idx).cast("string"))
-    _write_text_by_dir(cuts, path, directory, idx, "__line")
-    none = df.groupBy(directory).agg(F.count_if(F.col(label) == 1).alias("__n")).where(F.col("__n") == 0)
-    _remove_dirs(none, path, directory)
+    rows = df.select(directory, idx, label).persist(StorageLevel.DISK_ONLY)
+    try:
+        cuts = cut_positions(rows, label, [directory, idx]).withColumn("__line", F.col(idx).cast("string"))
+        _write_run(cuts, rows, path, directory, idx, "__line")
+    finally:
+        rows.unpersist()
 
 
 def write_slices(df: DataFrame, path: str, directory: str, idx: str, label: str) -> None:
@@ -80,8 +115,8 @@ def write_overlays(lines: DataFrame, path: str, image: str = "image_id") -> None
 
 
 def write_contact_sheet(document: DataFrame, path: str, directory: str) -> None:
-    """Sheet documents as HTML text per directory."""
-    _write_text_by_dir(document, path, directory, "line_no", "html")
+    """Sheet documents as HTML text per directory; :func:`read_lines` reads them."""
+    _write_run(document, document, path, directory, "line_no", "html")
 
 
 def log_metrics(metrics: DataFrame, path: str) -> None:

@@ -31,7 +31,7 @@ def read_landing(
 def read_landing_lines(spark: SparkSession, path: str, *, max_files: int | None = None) -> DataFrame:
     """Stream of landed line images as gray pixels."""
     raw = read_landing(spark, path, IMAGE_SCHEMA, fmt="image", max_files=max_files)
-    return gray_lines(flatten_images(raw))
+    return gray_lines(flatten_images(raw, path))
 
 
 def detect_stream(

@@ -114,6 +114,35 @@ def test_names(spark):
     assert got == {n: os.path.splitext(n) for n in got}
 
 
+def test_files_as_rows(spark, tmp_path):
+    from strandcut.sources.files import scan_files
+    from strandcut.sources.images import scan_slice_files
+
+    root = tmp_path / "a root+%20"
+    for place, text in (("a/x", "1\n2\n"), ("b/x", ""), ("a b+c/x", "3\n"), ("c", None), ("", "9\n")):
+        (root / place).mkdir(parents=True, exist_ok=True)
+        (root / place / "word_seg_0000_type_00.png").write_bytes(b"" if place == "c" else b"x")
+        if text is not None:
+            (root / place / "labels.txt").write_text(text)
+    for listings in (1, 2, 50):
+        found = scan_files(spark, str(root), listings=listings).collect()
+        assert sorted((r.dir, r.name, r.length) for r in found if r.name == "labels.txt") == [
+            ("", "labels.txt", 2), ("a b+c/x", "labels.txt", 2), ("a/x", "labels.txt", 4), ("b/x", "labels.txt", 0)]
+        assert len(found) == 9 and all(os.path.getsize(r.path) == r.length for r in found)
+    files = scan_slice_files(spark, str(root) + "/")
+    assert sorted(r.dir for r in files.collect()) == ["", "a b+c/x", "a/x", "b/x", "c"]
+    lines = label_files.scan_label_lines(spark, str(root))
+    assert sorted(((r.dir, r.raw) for r in lines.collect()), key=repr) == [
+        ("", "9"), ("a b+c/x", "3"), ("a/x", "1"), ("a/x", "2"), ("b/x", None)]
+    # An empty file is there and labels nothing; a directory without one is a problem.
+    labelled = prepare.labelled_slices(files, lines.where("dir = 'b/x'"))
+    assert {r.image_type for r in labelled.collect()} == {0}
+    missing = prepare.label_problems(files, lines).where("problem = 'no_label_file'")
+    assert [r.dir for r in missing.collect()] == ["c"]
+    assert label_files.scan_predicted(spark, str(root), "labels.txt").count() == 4
+    assert scan_files(spark, str(root / "c"), "*.txt").count() == 0
+
+
 def test_label_file_split_over_tasks_keeps_its_order(spark, tmp_path):
     (tmp_path / "big").mkdir()
     # Every index is named twice; the later row drops the flag of odd ones.

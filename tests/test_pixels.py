@@ -188,7 +188,26 @@ def test_predicted_index_of_a_rerun(spark, tmp_path):
     second = [("a: b/c", 0, 0), ("kept", 0, 0), ("kept", 1, 1), ("never", 0, 0)]
     for rows in (first, second):
         tables.write_predicted_index(spark.createDataFrame(rows, "dir string, idx int, label int"), path, "dir", "idx", "label")
-    assert sorted(tuple(r) for r in spark.read.schema("value string, dir string").text(path).collect()) == [("1", "kept"), ("3", "other")]
+    assert sorted(tuple(r) for r in tables.read_lines(spark, path, "dir").collect()) == [("1", "kept"), ("3", "other")]
+
+
+def test_a_run_that_fails_midway_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "predicted")
+    assert tables.read_lines(spark, path, "dir").count() == 0
+    rows = spark.createDataFrame([(f"d/{i % 3}", i, 1) for i in range(300)] + [(None, 7, 1)], "dir string, idx int, label int")
+    tables.write_predicted_index(rows, path, "dir", "idx", "label")
+    before = sorted(map(tuple, tables.read_lines(spark, path, "dir").collect()), key=repr)
+    assert len(before) == 301 and ("7", None) in before
+    # Ranges are known when the first files are written; the last one fails.
+    late = F.when(F.col("idx") == 299, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("idx"))
+    lines = rows.repartition(4).withColumn("line", late.cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        tables._write_run(lines, rows, path, "dir", "idx", "line")
+    assert sorted(map(tuple, tables.read_lines(spark, path, "dir").collect()), key=repr) == before
+    tables.write_predicted_index(rows.withColumn("label", F.lit(0)).where("dir = 'd/1'"), path, "dir", "idx", "label")
+    left = {r.dir for r in tables.read_lines(spark, path, "dir").collect()}
+    assert left == {"d/0", "d/2", None}
+    assert tables.commits(spark, path).count() == 2
 
 
 def ink_model():
@@ -235,13 +254,13 @@ def test_from_images_to_spans_and_sheets(spark, image_dir, tmp_path):
 
     sheet = locate.sheets(scored, lines)
     tables.write_contact_sheet(sheet, str(tmp_path / "out" / "sheet"), "dir")
-    parts = sorted((tmp_path / "out" / "sheet" / "dir=one").glob("part*"))
+    parts = sorted((tmp_path / "out" / "sheet" / "lines").glob("run=*/dir=one/part*"))
     text = "".join(p.read_text() for p in parts)
     assert text.startswith("<!DOCTYPE html>") and text.rstrip().endswith("</html>")
     assert text.count("<img") == scored.where("dir = 'one'").count()
     assert text.index("word_seg_0000") < text.index("word_seg_0001") < text.index("word_seg_0010")
     tables.write_predicted_index(scored, str(tmp_path / "out" / "predicted"), "dir", "idx", "label")
-    parts = sorted((tmp_path / "out" / "predicted" / "dir=two").glob("part*"))
+    parts = sorted((tmp_path / "out" / "predicted" / "lines").glob("run=*/dir=two/part*"))
     listed = [int(v) for p in parts for v in p.read_text().split()]
     assert listed == sorted(r.idx for r in scored.where("dir = 'two' and label = 1").collect())
 
