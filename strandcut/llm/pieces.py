@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
+from collections.abc import Sequence
 from heapq import heapify, heappop, heappush
 from types import ModuleType
 
@@ -21,8 +22,10 @@ SPACE = "▁"
 MEMORY = 100_000
 #: Longer segments are not remembered.
 SHORT = 64
+#: Pieces whose bytes are looked up at a time.
+BLOCK = 1 << 18
 
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 NO_PAIR = np.iinfo(np.int64).max
 
 
@@ -50,14 +53,21 @@ class Vocabulary:
             raise ValueError("only models with blanks as prefixes and byte pieces")
         self.text = [p.piece for p in model.pieces]
         self.kind = [p.type for p in model.pieces]
-        if set(self.kind) - {NORMAL, UNKNOWN, 3, BYTE}:
+        if set(self.kind) - {NORMAL, UNKNOWN, CONTROL, BYTE}:
             raise ValueError("models with user symbols or unused pieces are not supported")
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         # Equal scores have equal ranks, so that the place decides.
         order = {score: r for r, score in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
         self.rank = {p.piece: order[p.score] for p in model.pieces if p.type == NORMAL}
         self.plain = {i: p.piece.replace(SPACE, " ") for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        self.plain_of_digits = {str(i): t for i, t in self.plain.items()}
+        written = [
+            self.plain[i].encode() if i in self.plain else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b""
+            for i, p in enumerate(model.pieces)
+        ]
+        self.piece_data = np.frombuffer(b"".join(written), np.uint8)
+        self.piece_sizes = np.array([len(w) for w in written], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.odd_piece = np.array([p.type not in (NORMAL, BYTE) for p in model.pieces], np.int64)
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         inside = [p for p in self.ids if SPACE in p.lstrip(SPACE)]
         lines = [p for p in self.ids if "\n" in p]
@@ -193,18 +203,40 @@ class Vocabulary:
 
     def decode_ids(self, ids: list[int]) -> str:
         """Pieces put together; broken byte runs become replacement characters, byte by byte."""
-        text = self._put_together(ids)
-        return text[1:] if text.startswith(" ") else text
+        return self._without_blank(self._put_together(ids), ids)
 
-    def decode_joined(self, ids: str) -> str:
-        """:meth:`decode_ids` of decimal ids joined by commas."""
-        if not ids:
-            return ""
-        try:
-            text = "".join(map(self.plain_of_digits.__getitem__, ids.split(",")))
-        except KeyError:
-            return self.decode_ids([int(i) for i in ids.split(",")])
-        return text[1:] if text.startswith(" ") else text
+    def _without_blank(self, text: str, ids: Sequence[int]) -> str:
+        """The text less the blank put in front, which belongs to the first piece that shows, if it is a plain one."""
+        if text.startswith(" ") and next(k for k in map(self.kind.__getitem__, ids) if k != CONTROL) == NORMAL:
+            return text[1:]
+        return text
+
+    def decode_joined(self, texts: list[str], counts: list[int]) -> list[str]:
+        """:meth:`decode_ids` of many texts, each as ``counts`` decimal ids joined by commas.
+
+        The bytes of all pieces are looked up together, block by block; texts
+        with broken byte runs or other kinds of pieces go one by one.
+        """
+        ids = np.fromstring(",".join(filter(None, texts)) or "-1", np.int64, sep=",")[:sum(counts)]
+        bounds = np.r_[0, np.cumsum(np.array(counts, np.int64))]
+        at = np.r_[0, np.cumsum(self.piece_sizes[ids])][bounds].tolist()
+        slow = np.r_[0, np.cumsum(self.odd_piece[ids])][bounds]
+        data = b"".join(self._piece_bytes(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK))
+        out = []
+        for i, odd in enumerate((slow[1:] > slow[:-1]).tolist()):
+            try:
+                if odd:
+                    raise ValueError
+                out.append(self._without_blank(data[at[i]:at[i + 1]].decode(), ids[bounds[i]:bounds[i + 1]]))
+            except ValueError:
+                out.append(self.decode_ids(ids[bounds[i]:bounds[i + 1]].tolist()))
+        return out
+
+    def _piece_bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.piece_sizes[ids]
+        before = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) + np.repeat(self.piece_starts[ids] - before, sizes)
+        return self.piece_data[places].tobytes()
 
     def _put_together(self, ids: list[int]) -> str:
         try:
@@ -292,10 +324,9 @@ class Encoder:
         """``(doc_id, n_tokens, ids joined by commas, decoded text)`` for rows of id and text."""
         cut = [self.v.segments(text or "") for _, text in rows]
         known = self._known(cut).__getitem__
-        out = []
-        for (doc_id, _), parts in zip(rows, cut):
-            ids = ",".join(map(known, parts))
-            out.append((doc_id, ids.count(",") + 1 if ids else 0, ids, self.v.decode_joined(ids)))
+        joined = [",".join(map(known, parts)) for parts in cut]
+        counts = [ids.count(",") + 1 if ids else 0 for ids in joined]
+        out = [(row[0], *got) for row, got in zip(rows, zip(counts, joined, self.v.decode_joined(joined, counts)))]
         if rows:
             # One whole text of each slice, end to end.
             theirs = self.v.library.encode(rows[0][1] or "")

@@ -108,7 +108,12 @@ def test_pieces_agree_with_the_library():
     for (_, n, ids, decoded), text in zip(out, [*texts, ""]):
         want = library.encode(text)
         assert (n, ids, decoded) == (len(want), ",".join(map(str, want)), library.decode(want))
-        assert encode.v.decode_ids(want) == decoded == encode.v.decode_joined(ids)
+        assert encode.v.decode_ids(want) == decoded
+    # Broken byte runs, and pieces that no text gives, follow the library too.
+    byte, v = encode.v.byte, encode.v
+    lists = [[byte[0xE2]], [byte[0xE2], byte[0x82]], [], [byte[0xE2], byte[0x82], byte[0xAC]], [0, 1, 2, 400], [500, byte[0xFF], 600], [700]]
+    assert v.decode_joined([",".join(map(str, x)) for x in lists], list(map(len, lists))) == [library.decode(x) if x else "" for x in lists]
+    assert v.decode_joined(["", ""], [0, 0]) == ["", ""] and v.decode_joined([], []) == []
 
 
 def test_piece_digests(spark):
