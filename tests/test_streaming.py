@@ -1,4 +1,5 @@
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -110,3 +111,22 @@ def test_slices_without_a_place_and_empty_landings(spark, tmp_path):
         stream = read_landing(spark, land, spark.createDataFrame([], schema).schema)
         track_runs(stream, "img", "slice_no", "label", "mid", out, str(tmp_path / "state")).awaitTermination()
     assert as_set(current_spans(spark, out, "img")) == {(1, 0, 0, 9)}
+
+
+def test_many_short_lines_share_few_state_keys(spark, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    schema = "name string, day timestamp, img bigint, slice_no bigint, label int, mid bigint"
+    names = [None, "", 'a"b\\\n', "é"]
+    lines = [(names[i % 4], datetime(1900, 1, 1, 0, 0, 0, i), None if i % 3 else (1 << 60) + i) for i in range(60)]
+    slices = [(*line, s << 4, s % 2, s) for line in lines for s in range(3)]
+    for half in (slices[::2], slices[1::2]):
+        spark.createDataFrame(half, schema).repartition(2).write.mode("append").parquet(land)
+        stream = read_landing(spark, land, spark.createDataFrame([], schema).schema)
+        job = track_runs(stream, ["name", "day", "img"], "slice_no", "label", "mid", out, str(tmp_path / "state"), bits=4, buckets=4)
+        job.awaitTermination()
+        # 180 chunks of one slice each: a call and a state row for each of them is what took the time.
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 4
+    part = ["name", "day", "img"]
+    key = lambda df: sorted(map(repr, df.select(*part, "span_no", "beg", "end").collect()))
+    got = key(current_spans(spark, out, part))
+    assert got == key(char_spans(spark.read.parquet(land), part, "slice_no", "label", "mid")) and len(got) >= 60
