@@ -35,16 +35,21 @@ def slice_windows(
     return out.withColumns({"beg": beg, "end": beg + (size - 1)})
 
 
-def slice_text(df: DataFrame, text: str, *, size: int = G.SLICE_WIDTH, step: int = G.SLICE_STEP) -> DataFrame:
+def slice_text(
+    df: DataFrame, text: str, *, size: int = G.SLICE_WIDTH, step: int = G.SLICE_STEP, listed: bool = False
+) -> DataFrame:
     """One row per slice of a text, with ``slice_no`` and ``piece``.
 
     A single pass over the text: each match moves on by ``step`` characters and
-    captures the ``size`` characters ahead, so long texts stay linear.
+    captures the ``size`` characters ahead, so long texts stay linear. With ``listed``
+    the slices stay in the row of their text, as the list ``pieces``, which is null for a null text.
     """
     if step > size:
         raise ValueError("step must not exceed size")
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{size}}})).{{1,{step}}}"), F.lit(1))
     other = [c for c in df.columns if c != text]
+    if listed:
+        return df.select(*other, pieces.alias("pieces"))
     return df.select(*other, F.posexplode(pieces).alias("slice_no", "piece"))
 
 

@@ -216,13 +216,21 @@ def slice_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def slice_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = slicing.slice_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    return cut.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_slices"),
-        F.min("piece").alias("min_piece"),
-        F.max("piece").alias("max_piece"),
-        F.sum(F.length(F.trim("piece")).cast("bigint")).alias("chars"),
+    """Slices are summed up in the row of their text, so that none is sorted; texts of one document come together after that."""
+    cut = slicing.slice_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", listed=True)
+    per_text = cut.select(
+        "doc_id",
+        F.array_size("pieces").alias("n_slices"),
+        F.array_min("pieces").alias("min_piece"),
+        F.array_max("pieces").alias("max_piece"),
+        F.aggregate("pieces", F.lit(0).cast("bigint"), lambda n, p: n + F.length(F.trim(p))).alias("chars"),
     )
+    return per_text.groupBy("doc_id").agg(
+        F.sum("n_slices").alias("n_slices"),
+        F.min("min_piece").alias("min_piece"),
+        F.max("max_piece").alias("max_piece"),
+        F.sum("chars").alias("chars"),
+    ).where("n_slices > 0")
 
 
 @query(

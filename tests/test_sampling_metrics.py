@@ -11,6 +11,7 @@ from strandcut.functions import schedule
 from strandcut.functions import vectors as V
 from strandcut.operators import contrast, metrics, review, sampling, scoring, selection, slicing
 from strandcut.plans import prepare
+from strandcut.plans.catalog import QUERIES
 from strandcut.plans.steps import apply_steps
 from strandcut.sources import tables
 
@@ -97,6 +98,28 @@ def test_text_slices(spark, size, step):
     }
 
 
+def test_text_slices_listed_in_their_row(spark):
+    texts = [None, "", "x" * 15, "abcdefghijklmnopqrstuvwxyz0123", "  ünïcödé 漢字漢字漢字 text  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = slicing.slice_text(df, "t").collect()
+    assert {r.id: r.pieces for r in slicing.slice_text(df, "t", listed=True).collect()} == {
+        i: None if t is None else [p for _, p in sorted((r.slice_no, r.piece) for r in rows if r.id == i)]
+        for i, t in enumerate(texts)
+    }
+
+
+def test_slice_payload_sorts_no_slices(spark, tmp_path):
+    # Ids that repeat or are null, texts without a slice beside others of their document.
+    rows = [(1, "abcdefghijklmnopqrstuvwx"), (1, None), (1, " " * 20), (2, "short"), (3, None), (None, "y" * 16), (None, "z" * 21)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["slice_payload"](spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {
+        (1, 5, " " * 16, "ijklmnopqrstuvwx", 48), (None, 3, "y" * 16, "z" * 16, 48),
+    }
+    # Nothing but one row a text may reach the sort of the string aggregate.
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_origin_x_is_clamped_with_floor_division(spark):
     df = spark.createDataFrame([(0, 15, 20), (4, 19, 20), (40, 55, 20), (0, 15, 1)], "b int, e int, w int")
     got = [r.x for r in df.select(G.to_origin_x(F.col("b"), F.col("e"), F.col("w")).alias("x")).collect()]
