@@ -11,17 +11,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandcut.functions import geometry as G
 from strandcut.operators.profiles import KERNEL, LEVELS
 
 WHITE = 255
 BLACK = 0
-# Lines whose slices are made at once; a slice set is four times its line.
-LINES_PER_BLOCK = 64
+# Pixels of the lines that are worked on together (or one line); a slice set is four times its line.
+BLOCK_BYTES = 1 << 20
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -105,10 +108,46 @@ def pad(image: np.ndarray, top: int, bottom: int, left: int, right: int) -> np.n
     return np.pad(image, ((top, bottom), (left, right)), constant_values=WHITE)
 
 
-def _pixels(h: int, w: int, px: bytes) -> np.ndarray:
+def _pixels(h: int, w: int, px: pa.Buffer) -> np.ndarray:
     return np.frombuffer(px, dtype=np.uint8).reshape(h, w)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], pixels: str = "px") -> Iterator[pa.RecordBatch]:
+    """Cut batches to ``BLOCK_BYTES``, so that only what Spark sends is held whole, and no copies of it."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(pixels)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _values(block: pa.RecordBatch, *names: str, pixels: str = "px") -> Iterator[tuple]:
+    """Tuples of the columns ``names``, pixels as the buffers that they lie in."""
+    return zip(*[
+        (v.as_buffer() for v in block.column(n)) if n == pixels else block.column(n).to_pylist() for n in names
+    ])
+
+
+def _images(block: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (_pixels(*v) for v in _values(block, "h", "w", "px"))
+
+
+def _made(block: pa.RecordBatch, schema: T.StructType, columns: dict[str, list]) -> pa.RecordBatch:
+    """The block with the columns of ``schema``, those of ``columns`` in place of its own."""
+    types = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[n], types.field(n).type) if n in columns else block.column(n) for n in schema.names],
+        names=schema.names,
+    )
+
+
+def _plane(done: list[np.ndarray]) -> dict[str, list]:
+    return {"h": [d.shape[0] for d in done], "w": [d.shape[1] for d in done], "px": [d.tobytes() for d in done]}
+
+
 def compose(*kernels: Kernel) -> Kernel:
     """One kernel from several, so that a chain of steps crosses into Python once."""
 
@@ -124,16 +163,11 @@ def map_images(lines: DataFrame, kernel: Kernel) -> DataFrame:
     """Apply a picture-to-picture kernel to every line, keeping other columns."""
     schema = lines.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [kernel(_pixels(h, w, px)) for h, w, px in zip(batch["h"], batch["w"], batch["px"])]
-            yield batch.assign(
-                h=[d.shape[0] for d in done],
-                w=[d.shape[1] for d in done],
-                px=[np.ascontiguousarray(d).tobytes() for d in done],
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield _made(block, schema, _plane([kernel(a) for a in _images(block)]))
 
-    return lines.mapInPandas(run, schema)
+    return lines.mapInArrow(run, schema)
 
 
 def gray_lines(raw: DataFrame) -> DataFrame:
@@ -142,15 +176,15 @@ def gray_lines(raw: DataFrame) -> DataFrame:
         [f for f in raw.schema if f.name not in ("nChannels", "data")] + [T.StructField("px", T.BinaryType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "data"):
             gray = [
                 to_gray(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
-                for h, w, c, d in zip(batch["h"], batch["w"], batch["nChannels"], batch["data"])
+                for h, w, c, d in _values(block, "h", "w", "nChannels", "data", pixels="data")
             ]
-            yield batch.drop(columns=["nChannels", "data"]).assign(px=[g.tobytes() for g in gray])
+            yield _made(block, schema, {"px": [g.tobytes() for g in gray]})
 
-    return raw.mapInPandas(run, schema)
+    return raw.mapInArrow(run, schema)
 
 
 def to_line_height(a: np.ndarray) -> np.ndarray:
@@ -182,15 +216,14 @@ def random_smooth(lines: DataFrame, seed: int, low: float = 0.1, high: float = 2
     share = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     schema = lines.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
             done = [
-                blur(_pixels(h, w, px), gaussian_taps(s)).tobytes()
-                for h, w, px, s in zip(batch["h"], batch["w"], batch["px"], batch["__sigma"])
+                blur(a, gaussian_taps(s)).tobytes() for a, s in zip(_images(block), block.column("__sigma").to_pylist())
             ]
-            yield batch.assign(px=done).drop(columns="__sigma")
+            yield _made(block, schema, {"px": done})
 
-    return lines.withColumn("__sigma", F.lit(low) + share * F.lit(high - low)).mapInPandas(run, schema)
+    return lines.withColumn("__sigma", F.lit(low) + share * F.lit(high - low)).mapInArrow(run, schema)
 
 
 def binarise(lines: DataFrame) -> DataFrame:
@@ -203,15 +236,11 @@ def column_ink(lines: DataFrame, out: str = "ink") -> DataFrame:
     kept = [f for f in lines.schema if f.name != "px"]
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = [
-                (_pixels(h, w, px) == BLACK).sum(axis=0).astype(np.int32)
-                for h, w, px in zip(batch["h"], batch["w"], batch["px"])
-            ]
-            yield batch.drop(columns="px").assign(**{out: counts})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            yield _made(block, schema, {out: [(a == BLACK).sum(axis=0).astype(np.int32) for a in _images(block)]})
 
-    return lines.mapInPandas(run, schema)
+    return lines.mapInArrow(run, schema)
 
 
 def pad_sides(lines: DataFrame, columns: int = G.SIDE_PAD) -> DataFrame:
@@ -234,18 +263,12 @@ def strip_and_pad(lines: DataFrame, height: int = G.SLICE_HEIGHT, multiple: int
         rows, cols = height - kept.shape[0], -kept.shape[1] % multiple
         return pad(kept, rows // 2, rows - rows // 2, cols // 2, cols - cols // 2), beg, end
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = [one(_pixels(h, w, px)) for h, w, px in zip(batch["h"], batch["w"], batch["px"])]
-            yield batch.assign(
-                h=[d.shape[0] for d, _, _ in done],
-                w=[d.shape[1] for d, _, _ in done],
-                px=[np.ascontiguousarray(d).tobytes() for d, _, _ in done],
-                crop_beg=[b for _, b, _ in done],
-                crop_end=[e for _, _, e in done],
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            done, beg, end = zip(*[one(a) for a in _images(block)])
+            yield _made(block, schema, {**_plane(done), "crop_beg": beg, "crop_end": end})
 
-    return lines.mapInPandas(run, schema)
+    return lines.mapInArrow(run, schema)
 
 
 def crop_and_pad(lines: DataFrame, height: int = G.SLICE_HEIGHT) -> DataFrame:
@@ -276,7 +299,6 @@ def slice_pixels(
             T.StructField("px", T.BinaryType()),
         ]
     )
-    names = [f.name for f in keep]
 
     def cut(a: np.ndarray) -> np.ndarray:
         """All slices of a picture, (n, h, size)."""
@@ -285,25 +307,22 @@ def slice_pixels(
         views = np.lib.stride_tricks.sliding_window_view(a, size, axis=1)[:, ::step]
         return np.ascontiguousarray(views.transpose(1, 0, 2))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), LINES_PER_BLOCK):
-                block = batch.iloc[at:at + LINES_PER_BLOCK]
-                cuts = [cut(_pixels(h, w, px)) for h, w, px in zip(block["h"], block["w"], block["px"])]
-                counts = [len(c) for c in cuts]
-                numbers = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
-                made = {n: np.repeat(block[n].to_numpy(), counts) for n in names}
-                made |= {
-                    "slice_no": numbers,
-                    "beg": numbers * step,
-                    "end": numbers * step + (size - 1),
-                    "h": np.repeat(block["h"].to_numpy(), counts),
-                    "w": np.full(len(numbers), size, dtype=np.int32),
-                    "px": [one.tobytes() for c in cuts for one in c],
-                }
-                yield pd.DataFrame(made)
-
-    return lines.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            cuts = [cut(a) for a in _images(block)]
+            counts = [len(c) for c in cuts]
+            numbers = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
+            made = block.select([f.name for f in keep]).take(pa.array(np.repeat(np.arange(len(cuts)), counts), pa.int64()))
+            yield _made(made, schema, {
+                "slice_no": numbers,
+                "beg": numbers * step,
+                "end": numbers * step + (size - 1),
+                "h": np.repeat([c.shape[1] for c in cuts], counts),
+                "w": np.full(len(numbers), size, dtype=np.int32),
+                "px": [one.tobytes() for c in cuts for one in c],
+            })
+
+    return lines.mapInArrow(run, schema)
 
 
 def mark_centre(slices: DataFrame) -> DataFrame:
@@ -327,17 +346,17 @@ def draw_cuts(lines: DataFrame, cuts: DataFrame, key: str = "image_id", x: str =
     joined = lines.join(per_line, key, "left").select(*lines.columns, "__xs")
     schema = lines.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
             done = []
-            for h, w, px, xs in zip(batch["h"], batch["w"], batch["px"], batch["__xs"]):
-                a = _pixels(h, w, px).copy()
+            for a, xs in zip(_images(block), block.column("__xs").to_pylist()):
+                a = a.copy()
                 if xs is not None:
-                    a[:, [v for v in xs if 0 <= v < w]] = BLACK
+                    a[:, [v for v in xs if 0 <= v < a.shape[1]]] = BLACK
                 done.append(a.tobytes())
-            yield batch.assign(px=done).drop(columns="__xs")
+            yield _made(block, schema, {"px": done})
 
-    return joined.mapInPandas(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
 def to_floats(slices: DataFrame, out: str = "pixels") -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,34 @@ def pictures(df):
     return {r.image_id: picture(r) for r in df.collect()}
 
 
+class Batches:
+    """Stands for a table of lines in one Arrow batch; a step on it gives its Arrow batches."""
+
+    def __init__(self, schema, rows):
+        self.schema = schema
+        self.batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+            ("image_id", pa.string()), ("dir", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("px", pa.binary())]))
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+@pytest.mark.parametrize("step", [P.smooth, P.binarise, P.column_ink, P.strip_and_pad, P.slice_pixels, P.pad_sides])
+def test_steps_hold_a_block_of_lines_at_a_time(step, monkeypatch):
+    rng = np.random.default_rng(3)
+    widths = [40, 1, 300, 25, 25, 25, 16, 60]
+    rows = [
+        {"image_id": str(i), "dir": None, "h": 20, "w": w, "px": rng.integers(0, 256, 20 * w).astype(np.uint8).tobytes()}
+        for i, w in enumerate(widths)
+    ]
+    lines = Batches(LINES, rows)
+    whole = step(lines)
+    assert len(whole) == 1
+    monkeypatch.setattr(P, "BLOCK_BYTES", 20 * 60)
+    parts = step(lines)
+    assert len(parts) == 5 and pa.Table.from_batches(parts).to_pylist() == whole[0].to_pylist()
+
+
 def test_blur_by_hand():
     a = np.arange(35, dtype=np.uint8).reshape(5, 7) * 7
     k = np.array([1, 4, 6, 4, 1])
