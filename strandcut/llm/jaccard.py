@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from strandcut.llm.arrow import slices
 from strandcut.llm.common import dropped, stored
@@ -23,13 +24,14 @@ from strandcut.llm.registry import query, table
 BUCKET_BITS, BLOCK = 21, 4_096
 #: Bits of the map of texts whose sets are wanted.
 MAP_BITS = 24
-PARTS = 64
+#: Longs of a set's parity sketch, a power of two: about a bit for each element up to the most.
+SKETCH_MOST = 64
 #: No boundary beyond this: the subsets of larger sets are too many.
 SMALL_MOST = 18
 #: What moving and comparing two whole sets costs, in rows of an inverted list.
 CHECK_COST = 40
-#: How many heads of each list its sets are compared with, round by round.
-HEADS = (1, 8)
+#: How many heads of each list its sets are compared with in the second round; in the first it is one.
+HEADS = 8
 WORDS_KEPT = 100_000
 NO_ID = -(1 << 63)
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -96,6 +98,19 @@ def subset_keys(elements: list[int], most: int, percent: int = 85) -> Iterator[t
                 yield xxhash.xxh64_intdigest(key) - (1 << 63), n <= m
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 to 4,096 parts of the set, by its size: is the number of its elements there odd.
+
+    Every element that only one of two sets holds turns one bit, so sketches differ in no more bits than there are such elements.
+    Halves of a sketch laid over one another by exclusive or are the sketch of half as many parts.
+    """
+    width = 64
+    while width < 0.7 * len(s) and width < 64 * SKETCH_MOST:
+        width *= 2
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def choose_boundary(sizes: dict[int, int], list_length: float, percent: int = 85) -> int:
     """The largest size whose sets are joined by subsets: least estimated rows in all.
 
@@ -134,15 +149,17 @@ def _sums(docs: DataFrame, width: int) -> np.ndarray:
             total += np.bincount(np.concatenate(held).astype(np.int64), minlength=len(total)).astype(np.uint32)
         for start in range(0, blocks, 64):
             some = [b for b in range(start, start + 64) if total[b * BLOCK:(b + 1) * BLOCK].any()]
+            # A task's counts are small: a byte each, mostly.
+            parts = [total[b * BLOCK:(b + 1) * BLOCK] for b in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([total[b * BLOCK:(b + 1) * BLOCK].tobytes() for b in some], pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([c.astype(np.min_scalar_type(c.max())).tobytes() for c in parts], pa.binary())],
                 names=["block", "counts"],
             )
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(BLOCK, np.uint64)
         for counts in rows["counts"]:
-            total += np.frombuffer(counts, np.uint32)
+            total += np.frombuffer(counts, f"u{len(counts) // BLOCK}")
         # A byte for the magnitude is enough to put the frequent ones last.
         level = np.minimum(255, 8 * np.log2(total + 1.0)).astype(np.uint8)
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "level": [level.tobytes()]})
@@ -157,7 +174,8 @@ def _sums(docs: DataFrame, width: int) -> np.ndarray:
 
 
 SETS = pa.schema([
-    ("doc_id", pa.int64()), ("spot", pa.int64()), ("n", pa.int32()), ("cid", pa.binary()), ("sketch", pa.binary()), ("small", pa.binary()),
+    ("doc_id", pa.int64()), ("spot", pa.int64()), ("n", pa.int32()), ("cid", pa.binary()), ("sketch", pa.list_(pa.int64())),
+    ("small", pa.binary()),
     ("prefix", pa.list_(pa.int64())),
 ])
 
@@ -168,7 +186,7 @@ def _spot() -> Column:
 
 
 def _described(docs: DataFrame, percent: int, width: int, also: list[str]) -> DataFrame:
-    """Size, class id, part counts, small set and rare-first prefix of every document's set, with the columns ``also``."""
+    """Size, class id, sketch, small set and rare-first prefix of every document's set, with the columns ``also``."""
     levels = docs.sparkSession.sparkContext.broadcast(_sums(docs, width))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,16 +199,15 @@ def _described(docs: DataFrame, percent: int, width: int, also: list[str]) -> Da
                     n = len(s)
                     order = (level[s >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     first = s[np.argsort(order, kind="stable")][:prefix_lengths(n, percent)[1]] if n else s
-                    counts = np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
                     rows.append((
-                        doc_id, spot, n, xxhash.xxh3_128_digest(s.tobytes()), np.minimum(counts, 255).astype(np.uint8).tobytes(),
+                        doc_id, spot, n, xxhash.xxh3_128_digest(s.tobytes()), parity_sketch(s).tolist(),
                         s.tobytes() if n <= SMALL_MOST else None, first.view(np.int64).tolist(),
                     ))
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(c, f.type) for c, f in zip(zip(*rows), SETS)], *part.columns[3:]], names=[*SETS.names, *also]
                 )
 
-    schema = T._parse_datatype_string("doc_id long, spot long, n int, cid binary, sketch binary, small binary, prefix array<long>")
+    schema = T._parse_datatype_string("doc_id long, spot long, n int, cid binary, sketch array<long>, small binary, prefix array<long>")
     for name in also:
         schema = schema.add(docs.schema[name])
     return docs.select("doc_id", "text", _spot(), *also).mapInArrow(describe, schema)
@@ -201,24 +218,24 @@ def _subset_links(classes: DataFrame, boundary: int, percent: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for cid, small in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for node, small in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = subset_keys(np.frombuffer(small, np.uint64).tolist(), boundary, percent)
-                out += [(key, lower, cid) for key, lower in found]
+                out += [(key, lower, node) for key, lower in found]
                 if len(out) > 50_000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("key", "lower", "cid"), o)) for o in out], schema=KEYS)
+                    yield pa.RecordBatch.from_pylist([dict(zip(KEYS.names, o)) for o in out], schema=KEYS)
                     out = []
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "lower", "cid"), o)) for o in out], schema=KEYS)
+            yield pa.RecordBatch.from_pylist([dict(zip(KEYS.names, o)) for o in out], schema=KEYS)
 
-    small = classes.where((F.col("n") > 0) & (F.col("n") <= boundary)).select("cid", "small")
-    rows = small.mapInArrow(keys, "key long, lower boolean, cid binary")
+    small = classes.where((F.col("n") > 0) & (F.col("n") <= boundary)).select("node", "small")
+    rows = small.mapInArrow(keys, "key long, lower boolean, node long")
     # All sets of a key are similar to its smaller ones, so one of those stands for the key.
     heads = rows.groupBy("key").agg(
-        F.min(F.when(F.col("lower"), F.col("cid"))).alias("b"), F.count(F.lit(1)).alias("k")
+        F.min(F.when(F.col("lower"), F.col("node"))).alias("b"), F.count(F.lit(1)).alias("k")
     ).where("k > 1 AND b IS NOT NULL")
-    return rows.join(heads, "key").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
+    return rows.join(heads, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-KEYS = pa.schema([("key", pa.int64()), ("lower", pa.bool_()), ("cid", pa.binary())])
+KEYS = pa.schema([("key", pa.int64()), ("lower", pa.bool_()), ("node", pa.int64())])
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -267,28 +284,36 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return docs.select(_spot().alias("at"), "text").mapInArrow(sets, "cid binary, elements binary").dropDuplicates(["cid"])
 
 
+def _may_be_similar(x: str, y: str, percent: int) -> Column:
+    """Whether sizes ``n`` and sketches ``s`` of the sides ``x`` and ``y`` leave room for a similar pair."""
+    nx, ny, sx, sy = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"s{x}"), F.col(f"s{y}")
+    width = F.least(F.size(sx), F.size(sy))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    fold = lambda c: F.when(
+        F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), xor)
+    ).otherwise(c)
+    apart = F.aggregate(F.zip_with(fold(sx), fold(sy), xor), F.lit(0), lambda t, v: t + F.bit_count(v))
+    needed = F.ceil(percent * (nx + ny) / (100 + percent))
+    # Sets too different in size to be folded once are not told apart here.
+    far = F.greatest(F.size(sx), F.size(sy)) > 2 * width
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (far | (apart <= nx + ny - 2 * needed))
+
+
 def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that the part counts do not rule out: their differences add up to a bound of the sets'."""
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int32) for i in (2, 3)
-            )
-            n = batch.column(4).to_numpy().astype(np.int64) + batch.column(5).to_numpy()
-            needed = -(-percent * n // (100 + percent))
-            good = np.abs(x - y).sum(1) <= n - 2 * needed
-            yield batch.filter(pa.array(good)).select([0, 1])
-
-    side = lambda s: classes.select(F.col("cid").alias(s), F.col("sketch").alias(f"s{s}"), F.col("n").alias(f"n{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    )
-    return joined.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(close, "a binary, b binary")
+    """Pairs ``a, b`` that sizes and sketches do not rule out."""
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("sketch").alias(f"s{s}"), F.col("n").alias(f"n{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be_similar("a", "b", percent)).select("a", "b")
+
 
+def _ordered(x: str, y: str) -> list[Column]:
+    """The pair as ``a, b``, always the same way round: by a hash, as the heads of all lists at first."""
+    x, y = F.col(x), F.col(y)
+    first = F.struct(F.xxhash64(x), x) < F.struct(F.xxhash64(y), y)
+    return [F.when(first, x).otherwise(y).alias("a"), F.when(first, y).otherwise(x).alias("b")]
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole sets are similar."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -298,10 +323,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(good, pa.bool_())).select([0, 1])
 
-    side = lambda s: sets.select(F.col("cid").alias(s), F.col("elements").alias(f"e{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(
-        check, "a binary, b binary"
-    )
+    for s in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(s), F.col("cid").alias(f"c{s}")), s)
+    # Both joins read one shuffle of the sets, by their class id.
+    side = lambda s: sets.select(F.col("cid").alias(f"c{s}"), F.col("elements").alias(f"e{s}"))
+    return pairs.join(side("a"), "ca").join(side("b"), "cb").select("a", "b", "ea", "eb").mapInArrow(check, "a long, b long")
 
 
 def jaccard_groups(
@@ -315,8 +341,9 @@ def jaccard_groups(
     that similar sets share. Larger ones (and those whose partners may lie
     beyond the boundary) are in inverted lists of their prefixes, rare shingles
     first by counts over all documents. In a list, two rounds compare all sets
-    with a few; what is in one component then needs no more pairs. The pairs of
-    different components that remain are all compared, so no link is lost.
+    with a few, its heads, which then leave it; what is in one component needs no
+    more pairs. The pairs of different components that remain are all compared,
+    so no link is lost.
 
     Null and empty texts have no shingles and stand alone; without an id their
     component is null, as is that of a group none of which has an id. Repeated
@@ -327,98 +354,104 @@ def jaccard_groups(
     also = list(also)
     docs = docs.select(F.coalesce(id_col, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"), *also)
     real = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
-    described = stored(_described(docs, percent, width, also), "jaccard-sets")
+    # Rows are numbered as they are written; a class goes by its first one.
+    described = stored(
+        _described(docs, percent, width, also).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets"
+    )
     whole = described.where("n > 0")
-    heads = whole.groupBy("cid").agg(F.coalesce(F.min(real("doc_id")), F.lit(NO_ID)).alias("least"), F.min("n").alias("n"))
+    heads = whole.groupBy("cid").agg(
+        F.coalesce(F.min(real("doc_id")), F.lit(NO_ID)).alias("least"), F.min("row").alias("node")
+    )
     heads = stored(heads, "jaccard-heads")
     # One document stands for its class.
-    classes = stored(
-        whole.join(heads.select("cid", "least"), "cid").where(F.col("doc_id") == F.col("least"))
-        .dropDuplicates(["cid"]).select("cid", "spot", "n", "sketch", "small", "prefix"),
-        "jaccard-classes",
+    wide = stored(
+        whole.join(heads.select(F.col("node").alias("row"), "cid"), ["row", "cid"], "left_semi").select(
+            F.col("row").alias("node"), "cid", "spot", "n", "sketch", "small", "prefix"
+        ), "jaccard-wide",
     )
+    rows_of = stored(described.select("doc_id", "n", "cid", *also), "jaccard-documents")
+    dropped(described)
+    # A list's head is the first of its sets in one order of all, so that lists of the same sets have the same one.
+    of_list = Window.partitionBy("token")
+    lists = wide.select(F.posexplode("prefix").alias("pos", "token"), "node", "n").select(
+        "*", F.count(F.lit(1)).over(of_list).alias("k"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).over(of_list).alias("head")
+    ).where("k > 1")
+    shared = stored(lists.select("token", "node", "n", "pos", F.col("head.node").alias("head"), F.col("head.n").alias("nhead")), "jaccard-lists")
+    postings = wide.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    classes = stored(wide.drop("prefix"), "jaccard-classes")
+    dropped(wide)
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n") <= SMALL_MOST).groupBy("n").count().collect()}
-    lists = classes.select(F.posexplode("prefix").alias("pos", "token"), "cid", "n")
-    counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    rows = counts.where("k > 1").agg(F.sum("k")).first()[0]
-    postings = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    boundary = choose_boundary(sizes, (rows or 0) / max(1, postings), percent)
+    boundary = choose_boundary(sizes, shared.count() / max(1, postings), percent)
     low = min(partner_sizes(boundary + 1, percent))
-    shared = lists.where(F.col("n") >= low).join(counts.where("k > 1").select("token"), "token", "left_semi")
-    shared = stored(shared.select("token", "cid", "n", "pos"), "jaccard-lists")
+    left = shared.where(F.col("n") >= low)
 
     links = stored(_subset_links(classes, boundary, percent), "jaccard-links")
-
-    def with_components(lists: DataFrame) -> DataFrame:
-        found = components(links)
-        return lists.join(found, lists["cid"] == found["node"], "left").drop("node").withColumn(
-            "comp", F.coalesce("comp", "cid")
-        )
+    tried: list[DataFrame] = []
 
     def open_lists(lists: DataFrame) -> DataFrame:
-        """Lists of more than one component."""
-        mixed = lists.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        return lists.join(mixed.select("token"), "token", "left_semi")
-
-    left = stored(open_lists(shared.withColumn("comp", F.col("cid"))), "jaccard-open")
-    dropped(shared)
+        """Lists of more than one component, by the links found so far."""
+        found = components(links)
+        now = lists.select("token", "node", "n", "pos").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return now.select("*", F.min("comp").over(of_list).alias("x"), F.max("comp").over(of_list).alias("y")).where("x <> y").drop("x", "y")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        held = stored(_by_sketch(pairs, classes, percent), "jaccard-pairs")
+        # What was compared in an earlier round is not compared again.
+        for before in tried:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        held = stored(pairs, "jaccard-pairs")
+        tried.append(held)
         # Whole sets are made of those texts only that a pair names, which are few.
-        named = held.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = stored(_wanted_sets(docs, classes.select("cid", "spot").join(named, "cid", "left_semi"), width), "jaccard-whole")
-        fresh = stored(_similar(held, sets, percent), "jaccard-links")
-        dropped(held, sets)
-        return fresh
-
-    for turn, number in enumerate(HEADS):
-        # One order of all sets at first, so that lists of the same sets have the same head; then
-        # an order for each list, so that a set meets many others of its group.
-        place = [F.col("cid"), *[F.col("token")] * turn]
-        heads_of = left.groupBy("token").agg(F.array_distinct(F.array(*[
-            F.min(F.struct(F.xxhash64(*place, F.lit(i)).alias("h"), "cid", "comp")) for i in range(number)
-        ])).alias("heads")).select("token", F.explode("heads").alias("head"))
-        pairs = left.join(heads_of, "token").where(F.col("comp") != F.col("head.comp")).select(
-            F.col("cid").alias("a"), F.col("head.cid").alias("b")
-        ).distinct()
-        links = links.unionByName(similar(pairs))
-        last, left = left, stored(open_lists(with_components(left.drop("comp"))), "jaccard-open")
-        dropped(last)
+        named = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = _wanted_sets(docs, classes.select("node", "spot").join(named, "node", "left_semi"), width)
+        return stored(_similar(held, classes, sets, percent), "jaccard-links")
+
+    near = (100 * F.least("n", "nhead") >= percent * F.greatest("n", "nhead")) & (F.col("node") != F.col("head"))
+    pairs = left.where(near).select(*_ordered("node", "head")).distinct()
+    links = links.unionByName(similar(_by_sketch(pairs, classes, percent)))
+    # All pairs with a head are decided now: linked, ruled out or compared. The list goes on without it.
+    left = stored(open_lists(left.where("node <> head")), "jaccard-open")
+    dropped(shared)
 
-    index_length = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
-    # The part counts come along, so that the join itself rules out what they can.
-    counted = left.join(
-        classes.select("cid", F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda i: F.conv(
-            F.hex(F.substring("sketch", i, F.lit(1))), 16, 10).cast("int")).alias("parts")), "cid"
+    # Then an order for each list, so that a set meets many others of its group.
+    heads_of = F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("node", "token", F.lit(i)).alias("h"), "node", "comp", "n")).over(of_list) for i in range(HEADS)
+    ]))
+    headed = left.withColumn("heads", heads_of)
+    met = headed.select("node", "comp", "n", F.explode("heads").alias("h")).select(
+        "node", "comp", "n", *[F.col(f"h.{c}").alias(a) for c, a in (("node", "head"), ("comp", "chead"), ("n", "nhead"))]
     )
-    sides = ("cid", "n", "pos", "comp", "parts")
-    x = counted.where(F.col("pos") < index_length).select("token", *[F.col(c).alias(f"x{c}") for c in sides])
-    y = counted.select("token", *[F.col(c).alias(f"y{c}") for c in sides])
-    apart = F.aggregate(F.zip_with("xparts", "yparts", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+    pairs = met.where(near & (F.col("comp") != F.col("chead"))).select(*_ordered("node", "head")).distinct()
+    links = links.unionByName(similar(_by_sketch(pairs, classes, percent)))
+    rest = headed.where(~F.array_contains(F.col("heads.node"), F.col("node")))
+    last, left = left, stored(open_lists(rest), "jaccard-open")
+    dropped(last)
+
+    index_length = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
+    # The sketches come along, so that the join itself rules out what they can.
+    sketched = left.join(classes.select("node", F.col("sketch").alias("s")), "node")
+    sides = ("node", "n", "pos", "comp", "s")
+    x = sketched.where(F.col("pos") < index_length).select("token", *[F.col(c).alias(f"{c}x") for c in sides])
+    y = sketched.select("token", *[F.col(c).alias(f"{c}y") for c in sides])
     # The first shared element of a similar pair lies where enough others can follow.
-    rest = F.least(F.col("xn") - F.col("xpos"), F.col("yn") - F.col("ypos"))
-    needed = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
+    after = F.least(F.col("nx") - F.col("posx"), F.col("ny") - F.col("posy"))
     pairs = x.join(y, "token").where(
-        (F.col("xcomp") != F.col("ycomp")) & (F.col("xn") <= F.col("yn"))
-        & (100 * F.col("xn") >= percent * F.col("yn"))
-        & ((100 + percent) * rest >= percent * (F.col("xn") + F.col("yn")))
-        & (F.lit(boundary) < F.col("yn")) & (apart <= F.col("xn") + F.col("yn") - 2 * needed)
-    ).select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()
+        (F.col("compx") != F.col("compy")) & (F.col("nx") <= F.col("ny"))
+        & (100 * F.col("nx") >= percent * F.col("ny"))
+        & ((100 + percent) * after >= percent * (F.col("nx") + F.col("ny")))
+        & (F.lit(boundary) < F.col("ny")) & _may_be_similar("x", "y", percent)
+    ).select(*_ordered("nodex", "nodey")).distinct()
     links = links.unionByName(similar(pairs))
-    dropped(left, classes)
+    dropped(left, *tried)
 
     found = components(links)
-    comp = heads.join(found, heads["cid"] == found["node"], "left").select(
-        "cid", "least", F.coalesce("comp", "cid").alias("comp")
-    )
-    names = comp.groupBy("comp").agg(F.min(real("least")).alias("component_id"))
+    comp = heads.join(found, "node", "left").select("cid", "least", F.coalesce("comp", "node").alias("comp"))
+    names = comp.groupBy("comp").agg(F.min(real("least")).alias("component_id"), F.min("cid").alias("component"))
     more = [*also, *["component"] * bool(also)]
-    named = comp.join(names, "comp").select("cid", "component_id", F.col("comp").alias("component"))
-    linked = described.where("n > 0").select("doc_id", "n", "cid", *also).join(named, "cid").select(
+    named = comp.select("cid", "comp").join(names, "comp").drop("comp")
+    linked = rows_of.where("n > 0").join(named, "cid").select(
         real("doc_id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), "component_id", *more
     )
-    alone = described.where("n = 0").withColumn("component", F.lit(None).cast("binary")).select(
+    alone = rows_of.where("n = 0").withColumn("component", F.lit(None).cast("binary")).select(
         real("doc_id").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), real("doc_id").alias("component_id"), *more
     )
     return linked.unionByName(alone)

@@ -367,6 +367,44 @@ def test_subset_keys_meet_exactly_when_similar():
         assert bool(met) == (100 * len(set(a) & set(b)) >= 85 * len(set(a) | set(b)))
 
 
+def test_jaccard_compares_a_pair_once(spark, monkeypatch):
+    """A pair that was compared in vain is not compared in the next rounds, and long lists lose no link."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{i}" for i in range(300)]
+        for _ in range(2 + group % 3 * 8):
+            words = list(base)
+            for at in rng.sample(range(0, 296, 5), rng.randint(0, 13)):
+                words[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    compared, check = [], jaccard._similar
+
+    def similar(pairs, *rest):
+        compared.extend(tuple(sorted(r)) for r in pairs.select("a", "b").collect())
+        return check(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_similar", similar)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == brute_groups(rows)
+    assert compared and len(compared) == len(set(compared))
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(9)
+    xor = np.bitwise_xor
+    for n in (1, 3, 50, 91, 92, 400, 3000, 9000):
+        whole = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = np.unique(whole[:n]), np.unique(whole[n // 10:n + n // 12])
+        x, y = jaccard.parity_sketch(a), jaccard.parity_sketch(b)
+        w = min(len(x), len(y))
+        x, y = (xor(s[:w], s[w:]) if len(s) > w else s for s in (x, y))
+        bits = sum(int(v).bit_count() for v in xor(x, y).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+        assert len(jaccard.parity_sketch(a)) <= jaccard.SKETCH_MOST
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in graph.components(links).collect()}
