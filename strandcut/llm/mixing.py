@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -130,6 +130,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **options) -> DataF
     return taken.select(*kept, "taken").unionByName(rest.select(*kept, F.lit(0).cast("bigint").alias("taken")))
 
 
+def cut_after(text: Column, words: Column, size: Column) -> Column:
+    """``text`` up to the end of its first ``words`` words; only one of more words (``size``) is taken apart."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    return F.when(words < size, F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")).otherwise(text)
+
+
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **options) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, in no order; a part is cut after its last word.
 
@@ -138,7 +144,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **optio
     """
     placed, served, _ = queue(docs, weights, **options)
     copies = served.where("words > 0").groupBy(F.col("key").alias("__key"), F.col("words").alias("__words")).agg(
-        F.count(F.lit(1)).alias("__times")
+        F.count(F.lit(1)).alias("__times"), F.max("size").alias("__size")
     )
     key = shuffle_key(
         F.lit(options.get("seed", SEED)), F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")))
@@ -147,10 +153,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), **optio
         docs.withColumn("__key", key).dropDuplicates(["__key"]).join(copies, "__key")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     )
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
-    text = F.when(
-        F.col("__words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("__words").cast("int")), "")
-    ).otherwise(F.col("text"))
+    text = cut_after(F.col("text"), F.col("__words"), F.col("__size"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)

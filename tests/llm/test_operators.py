@@ -163,6 +163,21 @@ def test_mixing_odd_rows(spark):
     assert words == mixing.mix(odd_docs(spark)).agg(F.sum("taken")).first()[0]
 
 
+def test_mixing_takes_only_cut_texts_apart(spark):
+    text = "\t one two  three\n"
+    rows = spark.createDataFrame([(i, text, w, n) for i, (w, n) in enumerate([(1, 3), (2, 3), (3, 3), (1, 1)])], "i int, text string, words long, size long")
+    got = rows.select("i", mixing.cut_after(F.col("text"), F.col("words"), F.col("size")).alias("cut"))
+    # The last row's text is given back as it is, as its size says that nothing is cut: its words are never looked for.
+    assert {r.i: r.cut for r in got.collect()} == {0: "\t one", 1: "\t one two", 2: text, 3: text}
+    # All documents of one source are taken whole, white space included; one that is cut ends with a word.
+    docs = frame(spark, [(i, f" a{i}  b \n", "en", "a", 0) for i in range(9)])
+    mixed = mixing.mixed_documents(docs)
+    assert plain(mixed.select("doc_id", "text", "n_chars")) == sorted(((i, f" a{i}  b \n", 8) for i in range(9)), key=repr)
+    cut = mixing.mixed_documents(docs.unionByName(frame(spark, [(20, "x " * 20, "en", "b", 0)]))).collect()
+    parts = [r for r in cut if r.source == "a" and len(r.text.split()) < 2 or r.source == "b" and r.text != "x " * 20]
+    assert parts and all(r.text == r.text.rstrip() and r.n_chars == len(r.text) for r in parts)
+
+
 # 4: licences
 
 
