@@ -620,3 +620,23 @@ def test_pipeline_stages(spark, sf_dir):
         after = stage(spark, docs, sf_dir)
         assert after.columns == docs.columns, name
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_texts_go_to_python_in_narrow_batches(spark, sf_dir):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = frame(spark, [(i, f"one two {i}", "en", "a", 1) for i in range(40)])
+        for stage in (corpus_pipeline.pii_masks, corpus_pipeline.sentencepiece_ids):
+            spark.conf.set(key, "10000")
+            stage(spark, docs, sf_dir)
+            rows = spark.range(3000).coalesce(1).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in bs), "n long")
+            assert max(r.n for r in rows.collect()) <= corpus_pipeline.BATCH_ROWS
+        spark.conf.set(key, "100")
+        corpus_pipeline.pii_masks(spark, docs, sf_dir)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
