@@ -2,12 +2,13 @@
 
 A table of lines has ``image_id, dir, h, w, px`` with row-major 8-bit gray
 pixels. Each operator is a ``DataFrame -> DataFrame`` step, one image per row,
-so an image is all a task ever needs at a time.
+so an image is all a task ever needs at a time. A line without pixels (null)
+stays one, and an empty one stays empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ WHITE = 255
 BLACK = 0
 # Pixels of the lines that are worked on together (or one line); a slice set is four times its line.
 BLOCK_BYTES = 1 << 20
+# Columns that are smoothed together.
+STRIP = 1 << 14
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -60,20 +63,26 @@ def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def blur(image: np.ndarray, weights: Sequence[float] = KERNEL) -> np.ndarray:
-    """Separable smoothing with mirrored borders (the border pixel is not repeated)."""
+    """Separable smoothing with mirrored borders (the border pixel is not repeated), strip by strip."""
     taps = np.asarray(weights, dtype=np.float64)
     taps = taps / taps.sum()
     half = len(taps) // 2
-    out = image.astype(np.float64)
-    for axis in (0, 1):
-        n = out.shape[axis]
-        at = np.arange(-half, n + half)
-        period = max(2 * (n - 1), 1)
-        at = np.mod(at, period) if n > 1 else np.zeros_like(at)
-        at = np.where(at >= n, period - at, at)
-        wide = np.take(out, at, axis=axis)
-        out = sum(t * np.take(wide, np.arange(i, i + n), axis=axis) for i, t in enumerate(taps))
-    return _levels(out)
+
+    def mirror(n: int) -> np.ndarray:
+        at = np.mod(np.arange(-half, n + half), max(2 * (n - 1), 1)) if n > 1 else np.zeros(n + 2 * half, dtype=int)
+        return np.where(at >= n, 2 * (n - 1) - at, at)
+
+    done = np.empty(image.shape, dtype=np.uint8)
+    if not done.size:
+        return done
+    h, w = image.shape
+    rows, columns = mirror(h), mirror(w)
+    for x in range(0, w, STRIP):
+        n = min(STRIP, w - x)
+        wide = image[:, columns[x:x + n + 2 * half]].astype(np.float64)[rows]
+        down = sum(t * wide[i:i + h] for i, t in enumerate(taps))
+        done[:, x:x + n] = _levels(sum(t * down[:, i:i + n] for i, t in enumerate(taps)))
+    return done
 
 
 def gaussian_taps(sigma: float) -> np.ndarray:
@@ -83,7 +92,9 @@ def gaussian_taps(sigma: float) -> np.ndarray:
 
 
 def otsu_level(image: np.ndarray) -> int:
-    hist = np.bincount(image.ravel(), minlength=LEVELS).astype(np.float64)
+    flat = image.ravel()
+    counts = [np.bincount(flat[at:at + BLOCK_BYTES], minlength=LEVELS) for at in range(0, len(flat), BLOCK_BYTES)]
+    hist = np.sum(counts, axis=0).astype(np.float64) if counts else np.zeros(LEVELS)
     w0, s0 = np.cumsum(hist), np.cumsum(hist * np.arange(LEVELS))
     w, s = w0[-1], s0[-1]
     inner = (w0 > 0) & (w0 < w)
@@ -93,7 +104,7 @@ def otsu_level(image: np.ndarray) -> int:
 
 
 def threshold(image: np.ndarray) -> np.ndarray:
-    return np.where(image > otsu_level(image), WHITE, BLACK).astype(np.uint8)
+    return np.where(image > otsu_level(image), np.uint8(WHITE), np.uint8(BLACK))
 
 
 def ink_bounds(binary: np.ndarray, min_ink: int = G.STRIP_MIN_INK, margin: int = G.STRIP_MARGIN) -> tuple[int, int]:
@@ -131,8 +142,14 @@ def _values(block: pa.RecordBatch, *names: str, pixels: str = "px") -> Iterator[
     ])
 
 
-def _images(block: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return (_pixels(*v) for v in _values(block, "h", "w", "px"))
+def _images(block: pa.RecordBatch) -> Iterator[np.ndarray | None]:
+    """The pictures of a block, None for lines without pixels."""
+    return (None if px is None else _pixels(h, w, px) for h, w, px in _values(block, "h", "w", "px"))
+
+
+def _each(kernel: Callable, *values: Iterable) -> list:
+    """What ``kernel`` makes of each picture and the values beside it, None for lines without pixels."""
+    return [None if a is None else kernel(a, *more) for a, *more in zip(*values)]
 
 
 def _made(block: pa.RecordBatch, schema: T.StructType, columns: dict[str, list]) -> pa.RecordBatch:
@@ -144,8 +161,10 @@ def _made(block: pa.RecordBatch, schema: T.StructType, columns: dict[str, list])
     )
 
 
-def _plane(done: list[np.ndarray]) -> dict[str, list]:
-    return {"h": [d.shape[0] for d in done], "w": [d.shape[1] for d in done], "px": [d.tobytes() for d in done]}
+def _plane(block: pa.RecordBatch, done: list[np.ndarray | None]) -> dict[str, list]:
+    """Sizes and pixels of the pictures ``done``; a line without pixels keeps the size that it says."""
+    sizes = [(h, w) if d is None else d.shape for d, h, w in zip(done, *(block.column(n).to_pylist() for n in "hw"))]
+    return {"h": [h for h, _ in sizes], "w": [w for _, w in sizes], "px": _each(np.ndarray.tobytes, done)}
 
 
 def compose(*kernels: Kernel) -> Kernel:
@@ -165,7 +184,7 @@ def map_images(lines: DataFrame, kernel: Kernel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            yield _made(block, schema, _plane([kernel(a) for a in _images(block)]))
+            yield _made(block, schema, _plane(block, _each(kernel, _images(block))))
 
     return lines.mapInArrow(run, schema)
 
@@ -179,10 +198,10 @@ def gray_lines(raw: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, "data"):
             gray = [
-                to_gray(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
+                None if d is None else to_gray(np.frombuffer(d, dtype=np.uint8).reshape(h, w, c))
                 for h, w, c, d in _values(block, "h", "w", "nChannels", "data", pixels="data")
             ]
-            yield _made(block, schema, {"px": [g.tobytes() for g in gray]})
+            yield _made(block, schema, {"px": _each(np.ndarray.tobytes, gray)})
 
     return raw.mapInArrow(run, schema)
 
@@ -218,9 +237,8 @@ def random_smooth(lines: DataFrame, seed: int, low: float = 0.1, high: float = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            done = [
-                blur(a, gaussian_taps(s)).tobytes() for a, s in zip(_images(block), block.column("__sigma").to_pylist())
-            ]
+            sigmas = block.column("__sigma").to_pylist()
+            done = _each(lambda a, s: blur(a, gaussian_taps(s)).tobytes(), _images(block), sigmas)
             yield _made(block, schema, {"px": done})
 
     return lines.withColumn("__sigma", F.lit(low) + share * F.lit(high - low)).mapInArrow(run, schema)
@@ -265,8 +283,8 @@ def strip_and_pad(lines: DataFrame, height: int = G.SLICE_HEIGHT, multiple: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            done, beg, end = zip(*[one(a) for a in _images(block)])
-            yield _made(block, schema, {**_plane(done), "crop_beg": beg, "crop_end": end})
+            done, beg, end = zip(*[d or (None, None, None) for d in _each(one, _images(block))])
+            yield _made(block, schema, {**_plane(block, done), "crop_beg": beg, "crop_end": end})
 
     return lines.mapInArrow(run, schema)
 
@@ -330,7 +348,8 @@ def mark_centre(slices: DataFrame) -> DataFrame:
 
     def one(a: np.ndarray) -> np.ndarray:
         a = a.copy()
-        a[:, a.shape[1] // 2] = BLACK
+        middle = a.shape[1] // 2
+        a[:, middle:middle + 1] = BLACK
         return a
 
     return map_images(slices, one)
@@ -346,15 +365,15 @@ def draw_cuts(lines: DataFrame, cuts: DataFrame, key: str = "image_id", x: str =
     joined = lines.join(per_line, key, "left").select(*lines.columns, "__xs")
     schema = lines.schema
 
+    def one(a: np.ndarray, xs: list[int] | None) -> bytes:
+        a = a.copy()
+        if xs is not None:
+            a[:, [v for v in xs if 0 <= v < a.shape[1]]] = BLACK
+        return a.tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            done = []
-            for a, xs in zip(_images(block), block.column("__xs").to_pylist()):
-                a = a.copy()
-                if xs is not None:
-                    a[:, [v for v in xs if 0 <= v < a.shape[1]]] = BLACK
-                done.append(a.tobytes())
-            yield _made(block, schema, {"px": done})
+            yield _made(block, schema, {"px": _each(one, _images(block), block.column("__xs").to_pylist())})
 
     return joined.mapInArrow(run, schema)
 

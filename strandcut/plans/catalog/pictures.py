@@ -1,7 +1,8 @@
 """Pixel kernels over pictures that Spark makes from the documents.
 
 A document's characters, 16 rows high, are the gray levels of a line image;
-the last row is filled up with white.
+the last row is filled up with white. A document without characters (null or
+empty text) has no picture, as in the SQL.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def text_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     latin = F.regexp_replace("text", "[^\\x{0}-\\x{FF}]", "?")
     w = F.ceil(F.length("text") / HEIGHT).cast("int")
     # As after an image scan: spread the lines before the costly kernels.
-    return table(spark, sf_dir, "documents").repartition("doc_id").select(
+    return table(spark, sf_dir, "documents").where(F.length("text") > 0).repartition("doc_id").select(
         "doc_id",
         F.lit(HEIGHT).alias("h"),
         w.alias("w"),

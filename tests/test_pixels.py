@@ -1,12 +1,15 @@
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from compare import differences
 from pngs import blocks, png_bytes
 from strandcut.functions import geometry as G
 from strandcut.operators import pixels as P
 from strandcut.plans import extract, locate
+from strandcut.plans.catalog import ORACLES, QUERIES
 from strandcut.schemas import LINES
 from strandcut.sources import images, tables
 
@@ -52,6 +55,24 @@ def test_steps_hold_a_block_of_lines_at_a_time(step, monkeypatch):
     assert len(parts) == 5 and pa.Table.from_batches(parts).to_pylist() == whole[0].to_pylist()
 
 
+def odd_lines():
+    a = blocks(20, 40, (5, 9))
+    rows = [("null", None, None), ("a", 40, a.tobytes()), ("empty", 0, b""), ("none", 40, None)]
+    return Batches(LINES, [{"image_id": i, "dir": "d", "h": 20, "w": w, "px": px} for i, w, px in rows])
+
+
+def by_id(parts):
+    return {r["image_id"]: r for r in pa.Table.from_batches(parts).to_pylist()}
+
+
+def test_blank_ends_of_lines_without_pixels():
+    got = by_id(P.strip_and_pad(odd_lines()))
+    assert (got["a"]["crop_beg"], got["a"]["crop_end"], got["a"]["h"], got["a"]["w"]) == (0, 24, 48, 28)
+    assert (got["empty"]["h"], got["empty"]["w"], got["empty"]["px"]) == (48, 0, b"")
+    for name, w in (("null", None), ("none", 40)):
+        assert [got[name][c] for c in ("h", "w", "px", "crop_beg", "crop_end")] == [20, w, None, None, None]
+
+
 def test_blur_by_hand():
     a = np.arange(35, dtype=np.uint8).reshape(5, 7) * 7
     k = np.array([1, 4, 6, 4, 1])
@@ -327,3 +348,20 @@ def test_corpus_and_upload_slices(spark, image_dir):
         assert (r.crop_beg, r.crop_end) == (0, 49)
     upload = extract.upload_slices(lines).collect()
     assert len({r.image_id for r in upload}) == 5 and {(r.h, r.w) for r in upload} == {(48, 16)}
+
+
+def documents_of(spark, path, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint") \
+        .coalesce(1).write.parquet(str(path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return con
+
+
+TEXTS = [None, "", "abc", "Zeile mit Wörtern ✓ " * 30, " " * 400, None, ""]
+
+
+def test_crop_of_documents_without_characters(spark, tmp_path):
+    con = documents_of(spark, tmp_path, TEXTS)
+    assert not differences(QUERIES["picture_crop"](spark, str(tmp_path)), con, ORACLES["picture_crop"])
