@@ -256,7 +256,7 @@ def column_ink(lines: DataFrame, out: str = "ink") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            yield _made(block, schema, {out: [(a == BLACK).sum(axis=0).astype(np.int32) for a in _images(block)]})
+            yield _made(block, schema, {out: _each(lambda a: (a == BLACK).sum(axis=0).astype(np.int32), _images(block))})
 
     return lines.mapInArrow(run, schema)
 

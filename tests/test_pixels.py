@@ -73,6 +73,25 @@ def test_blank_ends_of_lines_without_pixels():
         assert [got[name][c] for c in ("h", "w", "px", "crop_beg", "crop_end")] == [20, w, None, None, None]
 
 
+@pytest.mark.parametrize("step", [P.smooth, P.binarise, P.pad_sides, P.mark_centre, P.crop_and_pad, P.column_ink])
+def test_steps_keep_lines_without_pixels(step):
+    got = by_id(step(odd_lines()))
+    out = "ink" if step is P.column_ink else "px"
+    assert got["a"][out] and got["null"][out] is None and got["none"][out] is None
+    assert [got[n]["w"] for n in ("null", "none")] == [None, 40] and got["none"]["h"] == 20
+    assert step is P.pad_sides or len(got["empty"][out]) == 0
+
+
+def test_long_lines_are_smoothed_in_strips(monkeypatch):
+    a = np.random.default_rng(4).integers(0, 256, (9, 50)).astype(np.uint8)
+    whole, level, taps = P.blur(a), P.otsu_level(a), P.gaussian_taps(1.3)
+    wide = P.blur(a, taps)
+    monkeypatch.setattr(P, "BLOCK_BYTES", 37)
+    for n in (1, 3, 16):
+        monkeypatch.setattr(P, "STRIP", n)
+        assert (P.blur(a) == whole).all() and (P.blur(a, taps) == wide).all() and P.otsu_level(a) == level
+
+
 def test_blur_by_hand():
     a = np.arange(35, dtype=np.uint8).reshape(5, 7) * 7
     k = np.array([1, 4, 6, 4, 1])
@@ -365,3 +384,8 @@ TEXTS = [None, "", "abc", "Zeile mit Wörtern ✓ " * 30, " " * 400, None, ""]
 def test_crop_of_documents_without_characters(spark, tmp_path):
     con = documents_of(spark, tmp_path, TEXTS)
     assert not differences(QUERIES["picture_crop"](spark, str(tmp_path)), con, ORACLES["picture_crop"])
+
+
+def test_ink_of_documents_without_characters(spark, tmp_path):
+    con = documents_of(spark, tmp_path, TEXTS)
+    assert not differences(QUERIES["picture_ink"](spark, str(tmp_path)), con, ORACLES["picture_ink"])
