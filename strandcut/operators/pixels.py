@@ -3,7 +3,7 @@
 A table of lines has ``image_id, dir, h, w, px`` with row-major 8-bit gray
 pixels. Each operator is a ``DataFrame -> DataFrame`` step, one image per row,
 so an image is all a task ever needs at a time. A line without pixels (null)
-stays one, and an empty one stays empty.
+stays one, and an empty one stays empty; neither has slices.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ WHITE = 255
 BLACK = 0
 # Pixels of the lines that are worked on together (or one line); a slice set is four times its line.
 BLOCK_BYTES = 1 << 20
-# Columns that are smoothed together.
+# Pixels of a line's slices that are given back together, and columns that are smoothed together.
+SET_BYTES = 4 * BLOCK_BYTES
 STRIP = 1 << 14
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -318,27 +319,33 @@ def slice_pixels(
         ]
     )
 
-    def cut(a: np.ndarray) -> np.ndarray:
-        """All slices of a picture, (n, h, size)."""
-        if a.shape[1] < size:
-            return np.empty((0, a.shape[0], size), dtype=np.uint8)
-        views = np.lib.stride_tricks.sliding_window_view(a, size, axis=1)[:, ::step]
-        return np.ascontiguousarray(views.transpose(1, 0, 2))
+    def cut(a: np.ndarray | None) -> np.ndarray:
+        """Views of all slices of a picture, (n, h, size)."""
+        if a is None or a.shape[1] < size:
+            return np.empty((0, 0 if a is None else a.shape[0], size), dtype=np.uint8)
+        return np.lib.stride_tricks.sliding_window_view(a, size, axis=1)[:, ::step].transpose(1, 0, 2)
+
+    def runs(sets: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        """The first numbers and the slices of each run: all of a block, or ``SET_BYTES`` of a line beyond them."""
+        most = [max(1, SET_BYTES // max(1, s.shape[1] * size)) for s in sets]
+        for k in range(max(1, *(-(-len(s) // m) for s, m in zip(sets, most)))):
+            yield [k * m for m in most], [np.ascontiguousarray(s[k * m:(k + 1) * m]) for s, m in zip(sets, most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches):
-            cuts = [cut(a) for a in _images(block)]
-            counts = [len(c) for c in cuts]
-            numbers = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
-            made = block.select([f.name for f in keep]).take(pa.array(np.repeat(np.arange(len(cuts)), counts), pa.int64()))
-            yield _made(made, schema, {
-                "slice_no": numbers,
-                "beg": numbers * step,
-                "end": numbers * step + (size - 1),
-                "h": np.repeat([c.shape[1] for c in cuts], counts),
-                "w": np.full(len(numbers), size, dtype=np.int32),
-                "px": [one.tobytes() for c in cuts for one in c],
-            })
+            lines_of = block.select([f.name for f in keep])
+            for firsts, cuts in runs([cut(a) for a in _images(block)]):
+                counts = [len(c) for c in cuts]
+                numbers = np.concatenate([f + np.arange(n) for f, n in zip(firsts, counts)]).astype(np.int32)
+                made = lines_of.take(pa.array(np.repeat(np.arange(len(cuts)), counts), pa.int64()))
+                yield _made(made, schema, {
+                    "slice_no": numbers,
+                    "beg": numbers * step,
+                    "end": numbers * step + (size - 1),
+                    "h": np.repeat([c.shape[1] for c in cuts], counts),
+                    "w": np.full(len(numbers), size, dtype=np.int32),
+                    "px": [one.tobytes() for c in cuts for one in c],
+                })
 
     return lines.mapInArrow(run, schema)
 

@@ -73,6 +73,25 @@ def test_blank_ends_of_lines_without_pixels():
         assert [got[name][c] for c in ("h", "w", "px", "crop_beg", "crop_end")] == [20, w, None, None, None]
 
 
+def test_lines_without_pixels_have_no_slices():
+    got = pa.Table.from_batches(P.slice_pixels(odd_lines())).to_pylist()
+    assert [(r["image_id"], r["slice_no"]) for r in got] == [("a", i) for i in range(7)]
+
+
+def test_slices_of_a_long_line_come_in_runs(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [
+        {"image_id": str(w), "dir": None, "h": 20, "w": w, "px": rng.integers(0, 256, 20 * w).astype(np.uint8).tobytes()}
+        for w in (300, 17, 3, 64)
+    ]
+    whole = P.slice_pixels(Batches(LINES, rows))
+    monkeypatch.setattr(P, "BLOCK_BYTES", 20 * 90)
+    monkeypatch.setattr(P, "SET_BYTES", 4 * 20 * 90)
+    parts = P.slice_pixels(Batches(LINES, rows))
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+    assert len(parts) == 5 and max(sum(map(len, p["px"].to_pylist())) for p in parts) <= P.SET_BYTES
+
+
 @pytest.mark.parametrize("step", [P.smooth, P.binarise, P.pad_sides, P.mark_centre, P.crop_and_pad, P.column_ink])
 def test_steps_keep_lines_without_pixels(step):
     got = by_id(step(odd_lines()))
@@ -389,3 +408,8 @@ def test_crop_of_documents_without_characters(spark, tmp_path):
 def test_ink_of_documents_without_characters(spark, tmp_path):
     con = documents_of(spark, tmp_path, TEXTS)
     assert not differences(QUERIES["picture_ink"](spark, str(tmp_path)), con, ORACLES["picture_ink"])
+
+
+def test_slices_of_documents_without_characters(spark, tmp_path):
+    con = documents_of(spark, tmp_path, TEXTS)
+    assert not differences(QUERIES["picture_slices"](spark, str(tmp_path)), con, ORACLES["picture_slices"])
